@@ -77,12 +77,12 @@ def site_graph(pages: DataFrame) -> DataFrame:
     Every page links to three pages of its site (absolute path, relative path, full URL with
     fragment), one page of another site, one missing page, and a mail address.
     """
-    size = pages.select(F.count("*").alias("n"))
+    n = pages.count()
 
     def target(k: int) -> str:
-        return f"(page_id + {SITES} * ({3 * k + 1}) * (floor(page_id / {SITES}) % 7 + 1)) % n"
+        return f"(page_id + {SITES} * ({3 * k + 1}) * (floor(page_id / {SITES}) % 7 + 1)) % {n}"
 
-    first, second, third, other = target(0), target(1), target(2), "(page_id + 1) % n"
+    first, second, third, other = target(0), target(1), target(2), f"(page_id + 1) % {n}"
     links = (
         f"concat('<a href=\"', {_graph_path(first)}, '\">a</a>'"
         f", '<a href=\"..', {_graph_path(second)}, '\">b</a>'"
@@ -91,8 +91,7 @@ def site_graph(pages: DataFrame) -> DataFrame:
         ", '<a href=\"/missing/', page_id, '\">e</a>'"
         ", '<a href=\"mailto:x@y.test\">f</a>')"
     )
-    # One row: the page count.
-    return pages.crossJoin(F.broadcast(size)).selectExpr(
+    return pages.selectExpr(
         "page_id",
         f"concat('http://', {_graph_host('page_id')}, {_graph_path('page_id')}) AS url",
         f"concat('<html lang=\"en\"><head><title>', page_id, '</title></head><body><main><h1>h</h1>', {links}, "
