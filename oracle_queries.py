@@ -203,9 +203,6 @@ UNION ALL
 SELECT page_id, 'LINK_NO_TEXT', 'Link has no accessible name (no text and no labelled content).', '<a href="/t" title="T"></a>'
 FROM planted WHERE k = 9
 UNION ALL
-SELECT page_id, 'LINK_NO_TEXT', 'Link has no accessible name (no text and no labelled content).', '<a href="#nonexistent"></a>'
-FROM planted WHERE false
-UNION ALL
 SELECT page_id, 'FORM_CONTROL_NO_LABEL', 'Form control is missing an accessible label.', '<textarea title="t"></textarea>'
 FROM planted WHERE k = 5
 UNION ALL
@@ -218,9 +215,7 @@ SQL["custom_html_rule"] = """
 SELECT page_id, 'no_tables' AS analyzer, 'HAS_TABLE' AS code, 'Page has a table.' AS message, 'k=' || (page_id % 28) AS context
 FROM pages WHERE page_id % 28 IN (15, 16, 17)"""
 SQL["analyzers"] = """
-SELECT analyzer AS name, count(*) AS issues FROM (""" + WITH_EXPECTED.replace("WITH spec", "WITH spec", 1) + (
-    " SELECT analyzer FROM expected) GROUP BY 1"
-)
+SELECT analyzer AS name, count(*) AS issues FROM (""" + WITH_EXPECTED + " SELECT analyzer FROM expected) GROUP BY 1"
 
 # -- injected pages: counts and reports ---------------------------------------------------------
 
@@ -249,3 +244,313 @@ SQL["injected_site_summary"] = WITH_EXPECTED + """
 SELECT site, count(*) AS pages, CAST(sum(total) AS BIGINT) AS issues, CAST(sum(critical) AS BIGINT) AS critical,
        CAST(sum(major) AS BIGINT) AS major, CAST(sum(minor) AS BIGINT) AS minor FROM page_counts GROUP BY 1"""
 SQL["issue_count_per_page"] = WITH_EXPECTED + "SELECT page_id, url, total, critical, major, minor FROM page_counts"
+
+# -- reports ------------------------------------------------------------------------------------
+
+
+def esc(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+ANCHOR = "substring(regexp_replace(url, '[^a-zA-Z0-9]', '-', 'g'), 1, 50)"
+STATUS = "CASE WHEN total = 0 THEN 'success' WHEN critical = 0 THEN 'warning' ELSE 'danger' END"
+EMOJI = "CASE severity WHEN 'critical' THEN '🔴' WHEN 'major' THEN '🟡' ELSE '🔵' END"
+PLACE = f"CAST(row_number() OVER (PARTITION BY page_id ORDER BY {RANK}, pos) - 1 AS INTEGER)"
+CHART = "'{\"critical\": ' || critical || ', \"major\": ' || major || ', \"minor\": ' || minor || '}'"
+
+SQL["page_overview"] = WITH_EXPECTED + (
+    f"SELECT site, page_id, url, {ANCHOR} AS anchor, total, critical, major, minor, {STATUS} AS status_class FROM page_counts"
+)
+SQL["issue_details"] = WITH_EXPECTED + f"""
+SELECT site, page_id, url, {ANCHOR} AS anchor, {PLACE} AS place, severity AS severity_class,
+       {EMOJI} || ' ' || upper(severity) AS badge, code, coalesce(wcag, '-') AS wcag, {esc('message')} AS message,
+       {esc('substring(context, 1, 100)')} || CASE WHEN length(context) > 100 THEN '...' ELSE '' END AS context
+FROM enriched"""
+SQL["site_header"] = SQL["injected_site_summary"].replace(
+    "SELECT site, count(*) AS pages", "SELECT *, " + CHART + """ AS chart_data FROM (SELECT site,
+  'Sites &amp; pages' AS title, '2024-01-01 00:00:00' AS generated, '1' AS version, count(*) AS total_pages"""
+).replace("AS issues", "AS total_issues") + ")"
+SQL["page_header"] = WITH_EXPECTED + f"""
+SELECT page_id, url, 'Accessibility Report' AS title, '2024-01-01 00:00:00' AS generated, '1' AS version,
+       total AS total_issues, critical, major, minor, {CHART} AS chart_data FROM page_counts"""
+SQL["console_pages"] = WITH_EXPECTED + """
+SELECT page_id, '  ' || CASE WHEN total = 0 THEN '✅' ELSE '⚠️' END || ' ' || url || ': ' || total || ' issues' AS line
+FROM page_counts"""
+SQL["top_issues"] = WITH_EXPECTED + f"""
+SELECT page_id, place, emoji, code, wcag, message, context FROM (
+  SELECT page_id, {PLACE} AS place, {RANK} AS r, {EMOJI} AS emoji, code, coalesce(wcag, '') AS wcag, message,
+         substring(context, 1, 40) || '...' AS context FROM enriched)
+ORDER BY r, page_id, place LIMIT 50"""
+SQL["issues_beyond"] = WITH_EXPECTED + """
+SELECT count(*) AS pages, CAST(sum(total) AS BIGINT) AS issues, CAST(sum(critical) AS BIGINT) AS critical,
+       CAST(sum(major) AS BIGINT) AS major, CAST(sum(minor) AS BIGINT) AS minor,
+       CAST(greatest(sum(total) - 50, 0) AS BIGINT) AS more FROM page_counts"""
+SQL["nested_report"] = WITH_EXPECTED + """
+, lists AS (
+  SELECT page_id, list({'code': code, 'message': message, 'context': context, 'analyzer': analyzer,
+                        'severity': severity, 'wcag': wcag, 'wcag_name': wcag_name, 'impact': impact} ORDER BY pos) AS issues
+  FROM enriched GROUP BY 1),
+codes AS (
+  SELECT page_id, string_agg(code || '=' || n, ',' ORDER BY code) AS summary
+  FROM (SELECT page_id, code, count(*) AS n FROM expected GROUP BY ALL) GROUP BY 1)
+SELECT p.page_id, p.url,
+       '{"issues":' || coalesce(to_json(l.issues), '[]') || ',"severity_summary":{"critical":' || critical || ',"major":'
+       || major || ',"minor":' || minor || '},"version":"1"}' AS report, coalesce(c.summary, '') AS summary
+FROM page_counts p LEFT JOIN lists l USING (page_id) LEFT JOIN codes c USING (page_id)"""
+SQL["report_lines"] = WITH_EXPECTED + """
+SELECT site, 0 AS part, CAST(1 AS BIGINT) AS n_lines FROM planted GROUP BY site
+UNION ALL SELECT site, 3, 1 FROM planted GROUP BY site
+UNION ALL SELECT site, 1, count(*) + 1 FROM planted GROUP BY site
+UNION ALL SELECT site, 2, CAST(sum(total + 2) AS BIGINT) FROM page_counts WHERE total > 0 GROUP BY site"""
+
+# -- colours ------------------------------------------------------------------------------------
+
+
+def hx(x: str) -> str:
+    return f"printf('%02x', CAST({x} AS INTEGER))"
+
+
+RGB = f"'#' || {hx('l_orderkey % 256')} || {hx('l_partkey % 256')} || {hx('l_suppkey % 256')}"
+BG = f"'#' || {hx('l_partkey * 31 % 256')} || {hx('l_suppkey * 17 % 256')} || {hx('l_orderkey * 7 % 256')}"
+H1 = "printf('%x', CAST({0} % 16 AS INTEGER))"
+COLOR_VALUE = f"""CASE l_linenumber
+  WHEN 1 THEN '#' || upper(substring({RGB}, 2))
+  WHEN 2 THEN ' #' || upper({H1.format('l_orderkey')}) || upper({H1.format('l_partkey')}) || {H1.format('l_suppkey')}
+  WHEN 3 THEN 'rgb(' || l_orderkey % 256 || ', ' || l_partkey % 256 || ',' || l_suppkey % 256 || ')'
+  WHEN 4 THEN 'RGBA(' || l_orderkey % 101 || '%,' || l_partkey % 256 || ' ,' || l_suppkey % 256 || ',.5)'
+  WHEN 5 THEN 'hsl(' || l_orderkey % 360 || ', ' || l_partkey % 101 || '%, ' || l_suppkey % 101 || '%)'
+  WHEN 6 THEN (['white', 'Black', 'navy ', 'orange'])[l_orderkey % 4 + 1]
+  ELSE 'var(--c' || l_partkey || ')' END"""
+DOUBLED = " || ".join(f"{H1.format(c)} || {H1.format(c)}" for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+
+
+def hue(shift: str) -> str:
+    return f"""(SELECT CASE WHEN s = 0 THEN l WHEN t < CAST(1 AS DOUBLE) / 6 THEN p + (qq - p) * 6 * t
+  WHEN t < CAST(1 AS DOUBLE) / 2 THEN qq WHEN t < CAST(2 AS DOUBLE) / 3
+  THEN p + (qq - p) * (CAST(2 AS DOUBLE) / 3 - t) * 6 ELSE p END
+  FROM (SELECT CASE WHEN h + {shift} < 0 THEN h + {shift} + 1 WHEN h + {shift} > 1 THEN h + {shift} - 1 ELSE h + {shift} END AS t))"""
+
+
+SQL["parsed_colors"] = f"""
+WITH hsl AS (SELECT *, 2 * l - qq AS p FROM (
+  SELECT *, CASE WHEN l < 0.5 THEN l * (1 + s) ELSE l + s - l * s END AS qq FROM (
+    SELECT *, CAST(l_orderkey % 360 AS DOUBLE) / 360 AS h, CAST(l_partkey % 101 AS DOUBLE) / 100 AS s,
+           CAST(l_suppkey % 101 AS DOUBLE) / 100 AS l FROM lineitem)))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {COLOR_VALUE} AS value, CASE l_linenumber
+  WHEN 1 THEN {RGB} WHEN 2 THEN '#' || {DOUBLED} WHEN 3 THEN {RGB}
+  WHEN 4 THEN '#' || {hx('l_orderkey % 101')} || substring({RGB}, 4)
+  WHEN 5 THEN '#' || {hx(f"trunc({hue('CAST(1 AS DOUBLE) / 3')} * 255)")} || {hx(f"trunc({hue('0')} * 255)")}
+                  || {hx(f"trunc({hue('-CAST(1 AS DOUBLE) / 3')} * 255)")}
+  WHEN 6 THEN (['#ffffff', '#000000', '#000080', '#ffa500'])[l_orderkey % 4 + 1] END AS color
+FROM hsl"""
+SQL["parsed_fix_colors"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {COLOR_VALUE} AS value,
+       CASE l_linenumber WHEN 1 THEN {RGB} WHEN 2 THEN '#' || {DOUBLED} WHEN 3 THEN {RGB} END AS color
+FROM lineitem"""
+
+
+def lum(r: str, g: str, b: str) -> str:
+    def lin(c: str) -> str:
+        s = f"(CAST({c} AS DOUBLE) / 255)"
+        return f"CASE WHEN {s} <= 0.03928 THEN {s} / 12.92 ELSE pow(({s} + 0.055) / 1.055, 2.4) END"
+
+    return f"0.2126 * ({lin(r)}) + 0.7152 * ({lin(g)}) + 0.0722 * ({lin(b)})"
+
+
+SQL["contrast_ratios"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, fg, bg,
+       round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 6) AS ratio, round(a, 6) AS luminance,
+       CASE WHEN (b + 0.05) / 0.05 >= 4.5 THEN '#000000' ELSE '#ffffff' END AS recommended
+FROM (SELECT *, {RGB} AS fg, {BG} AS bg,
+             {lum('l_orderkey % 256', 'l_partkey % 256', 'l_suppkey % 256')} AS a,
+             {lum('l_partkey * 31 % 256', 'l_suppkey * 17 % 256', 'l_orderkey * 7 % 256')} AS b FROM lineitem)"""
+
+# -- links, robots, crawls ------------------------------------------------------------------------
+
+GRAPH = """
+WITH RECURSIVE nodes AS (
+  SELECT page_id AS i, (SELECT count(*) FROM pages) AS n, 's' || (page_id % 5) || '.test' AS site FROM pages),
+targets AS (
+  SELECT i, site, k, CASE WHEN k < 3 THEN (i + 5 * (3 * k + 1) * (i // 5 % 7 + 1)) % n ELSE (i + 1) % n END AS j
+  FROM nodes, range(4) r(k)),
+node_url AS (
+  SELECT i, site, 'http://' || site || CASE WHEN i % 15 = 10 THEN '/private/' ELSE '/p/' END || i AS url FROM nodes),
+links AS (
+  SELECT t.i, t.site, t.k AS pos, u.site AS dst_site, u.url AS dst,
+         CASE t.k WHEN 0 THEN substring(u.url, 15) WHEN 1 THEN '..' || substring(u.url, 15)
+                  WHEN 2 THEN u.url || '#sec' ELSE u.url END AS href
+  FROM targets t JOIN node_url u ON u.i = t.j
+  UNION ALL SELECT i, site, 4, site, 'http://' || site || '/missing/' || i, '/missing/' || i FROM nodes)"""
+SQL["resolved_links"] = GRAPH + """
+SELECT i AS page_id, CAST(pos AS INTEGER) AS pos, href, dst AS dst_url, site = dst_site AS same_site FROM links
+UNION ALL SELECT i, 5, 'mailto:x@y.test', 'mailto:x@y.test', false FROM nodes"""
+
+VISITS = GRAPH + """,
+start AS (
+  SELECT site, url, [0] AS path FROM node_url WHERE i >= 10 AND i < 15
+  UNION ALL SELECT site, url, [CAST(1 + i // 5 AS INTEGER)] FROM node_url WHERE i < 10),
+walk AS (
+  SELECT 0 AS level, site, url, min(path) AS path FROM start GROUP BY ALL
+  UNION ALL
+  SELECT w.level + 1, w.site, l.dst, min(list_append(w.path, CAST(l.pos AS INTEGER)))
+  FROM walk w JOIN node_url u ON u.url = w.url AND u.i % 15 <> 10
+       JOIN links l ON l.i = u.i AND l.dst_site = l.site
+  WHERE w.level < 60 GROUP BY w.level + 1, w.site, l.dst),
+visits AS (
+  SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY level, path) AS rank, CAST(level AS INTEGER) AS level,
+         CASE WHEN url LIKE '%/private/%' THEN 'blocked' WHEN url LIKE '%/missing/%' THEN 'failed' ELSE 'ok' END AS outcome
+  FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY level, path) AS first FROM walk) WHERE first = 1
+  QUALIFY rank <= 40)
+"""
+SQL["crawl_site"] = VISITS + "SELECT * FROM visits"
+SQL["crawl_progress"] = VISITS + """
+SELECT site, level, count(*) AS visited, CAST(sum(count(*)) OVER (PARTITION BY site ORDER BY level) AS BIGINT) AS scanned
+FROM visits GROUP BY ALL"""
+SQL["scan_site"] = VISITS + """
+SELECT v.site, v.url, rank, outcome, CAST(coalesce(n, 0) AS INTEGER) AS total, CAST(coalesce(n, 0) AS INTEGER) AS critical,
+       0 AS major, 0 AS minor
+FROM visits v LEFT JOIN (SELECT url, 1 AS n FROM node_url WHERE i % 3 = 0) x ON x.url = v.url AND outcome = 'ok'"""
+SQL["crawl_basic"] = GRAPH + """,
+walk AS (
+  SELECT 0 AS level, site, url, [0] AS path FROM node_url WHERE i >= 10 AND i < 15
+  UNION ALL
+  SELECT w.level + 1, w.site, l.dst || CASE WHEN l.pos = 2 THEN '#sec' ELSE '' END,
+         min(list_append(w.path, CAST(l.pos AS INTEGER)))
+  FROM walk w JOIN node_url u ON u.url = split_part(w.url, '#', 1)
+       JOIN links l ON l.i = u.i AND l.dst_site = l.site
+  WHERE w.level < 60 GROUP BY 1, 2, 3)
+SELECT site, url, rank, 'ok' AS outcome FROM (
+  SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY level, path) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY level, path) AS first FROM walk) WHERE first = 1)
+WHERE rank <= 20 AND url NOT LIKE '%/missing/%'"""
+
+# robots text kind, group, agents, disallow, delay
+GROUPS = """(VALUES (0, 1, '*', '/a|/b # note', 2.5), (1, 1, 'sightline-scanner', '/own', NULL), (1, 2, '*', '/all', NULL),
+  (2, 1, 'SIGHTLINE', '', NULL), (2, 2, 'bingbot', '/stacked', NULL), (2, 3, '*', '/star', NULL), (3, 0, '', '/orphan', NULL),
+  (3, 1, 'other', '/x', NULL), (4, 1, '*', '', 1.0), (6, 1, '*', '/c', 0.0)) g(k, group_no, agents, disallow, crawl_delay)"""
+CHOSEN = """(VALUES (0, '/a|/b # note', 2.5), (1, '/own', 0.0), (2, '', 0.0), (4, '', 1.0), (6, '/c', 0.0)) g(k, disallow, crawl_delay)"""
+SQL["robots_rules"] = f"""
+SELECT 'c' || c_custkey || '.test' AS site, CAST(group_no AS INTEGER) AS group_no, agents, disallow,
+       CAST(crawl_delay AS DOUBLE) AS crawl_delay FROM customer JOIN {GROUPS} ON c_custkey % 7 = k"""
+SQL["robots_choice"] = f"""
+SELECT 'c' || c_custkey || '.test' AS site, disallow, CAST(crawl_delay AS DOUBLE) AS crawl_delay
+FROM customer JOIN {CHOSEN} ON c_custkey % 7 = k"""
+SQL["crawl_delay"] = f"""
+SELECT 'c' || c_custkey || '.test' AS site, CAST(greatest(coalesce(crawl_delay, 0), 1) AS DOUBLE) AS delay
+FROM customer LEFT JOIN {CHOSEN} ON c_custkey % 7 = k"""
+SQL["blocked_urls"] = """
+SELECT o_orderkey, url, CASE (o_custkey % 7) WHEN 0 THEN path LIKE '/a%' OR path LIKE '/b # note%' WHEN 1 THEN path LIKE '/own%'
+         WHEN 6 THEN path LIKE '/c%' ELSE false END AND o_custkey IN (SELECT c_custkey FROM customer) AS blocked
+FROM (SELECT *, 'http://c' || o_custkey || '.test' || raw AS url,
+             CASE WHEN raw = '' THEN '/' ELSE regexp_extract(raw, '^[^?#]*') END AS path
+      FROM (SELECT *, (['/a/1', '/all?x=/c', '', '/own', '/b # note', '/c/d', '/star'])[o_orderkey % 7 + 1] AS raw FROM orders))"""
+SQL["valid_urls"] = """
+SELECT o_orderkey, (['http://c', 'HTTPS://c', 'ftp://c', 'c', 'http:///'])[o_orderkey % 5 + 1] || o_custkey || '.test/x' AS url,
+       o_orderkey % 5 < 2 AS valid FROM orders"""
+SQL["sitemap_urls"] = """
+SELECT 'c' || c_custkey || '.test' AS site, 0 AS pos, 'http://c' || c_custkey || '.test/a?x=1&y=' || c_nationkey AS loc FROM customer
+UNION ALL SELECT 'c' || c_custkey || '.test', 1, 'http://c' || c_custkey || '.test/b' FROM customer"""
+
+# -- history and runs -------------------------------------------------------------------------------
+
+HISTORY = """
+, codes AS (SELECT page_id, string_agg(code, ',' ORDER BY pos) AS codes FROM expected GROUP BY 1)
+SELECT site, url, coalesce(codes, '') AS codes, CAST(base + length(url) AS BIGINT) AS ts
+FROM planted LEFT JOIN codes USING (page_id), (VALUES (1700000000), (1700100000)) b(base)"""
+SQL["scan_history"] = WITH_EXPECTED + HISTORY
+SQL["site_history"] = WITH_EXPECTED + HISTORY + " WHERE site = (SELECT site FROM planted ORDER BY page_id LIMIT 1)"
+RUNS = """
+WITH runs AS (
+  SELECT 'scan-' || o_orderkey AS scan_id, *, TIMESTAMP '2023-11-14 22:13:20' + o_orderkey * INTERVAL 1 MINUTE AS t FROM orders
+  WHERE o_orderkey % 11 <> 0),
+state AS (
+  SELECT scan_id, CASE WHEN o_orderkey % 7 = 0 THEN 'pending' WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
+         'http://c' || o_custkey || '.test/' AS url,
+         CAST(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 0 ELSE o_custkey % 50 END AS INTEGER) AS pages_scanned,
+         CAST(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 1000 END AS INTEGER) AS total_issues,
+         CASE WHEN o_orderkey % 7 <> 0 THEN t + INTERVAL 1 MINUTE END AS started_at,
+         CASE WHEN o_orderkey % 7 <> 0 THEN t + INTERVAL 9 MINUTE END AS completed_at,
+         CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 THEN 'timeout ' || o_orderkey END AS error
+  FROM runs)
+"""
+SQL["scan_runs"] = RUNS + "SELECT * FROM state"
+SQL["recent_runs"] = RUNS + "SELECT * FROM state ORDER BY started_at DESC NULLS LAST, scan_id LIMIT 10"
+SQL["run_after_delete"] = RUNS + (
+    "SELECT status, count(*) AS n FROM state WHERE scan_id <> (SELECT min(scan_id) FROM state) GROUP BY 1"
+)
+
+# -- fixes --------------------------------------------------------------------------------------------
+
+FIXES = """
+WITH fixes(k, pos, code, fix, context) AS (VALUES
+  (1, 0, 'IMG_MISSING_ALT', 'set alt=''logo.png''', '<img src="logo.png" alt="logo.png"/>'),
+  (2, 0, 'IMG_MISSING_ALT', 'set alt=''Icon''', '<img src="i.png" alt="Icon"/>'),
+  (3, 0, 'IMG_MISSING_ALT', 'set alt=''b.png''', '<img src="b.png" alt="b.png"/>'),
+  (7, 0, 'LOW_CONTRAST', 'set color=#000000', '<p style="color: #000000;  background-color: #ffffff">t</p>'))
+"""
+SQL["applied_fixes"] = FIXES + (
+    "SELECT page_id, CAST(pos AS INTEGER) AS pos, code, fix, context FROM pages JOIN fixes ON page_id % 28 = k"
+)
+SQL["fix_summary"] = FIXES + "SELECT code, count(*) AS n FROM pages JOIN fixes ON page_id % 28 = k GROUP BY 1"
+SQL["fix_report"] = FIXES + """
+SELECT page_id, CASE WHEN k IS NULL THEN 0 ELSE 1 END AS n, coalesce('   - ' || code || ': ' || fix, '') AS lines,
+       CAST(NULL AS VARCHAR) AS fix_error FROM pages LEFT JOIN fixes ON page_id % 28 = k"""
+SQL["alt_fixes_from_parts"] = """
+SELECT page_id, 'IMG_MISSING_ALT' AS code, 'set alt=''' || alt || '''' AS fix,
+       substring('<img src="' || src || '" id="pic" alt="' || alt || '"/>', 1, 200) AS context
+FROM (SELECT page_id, 'img' || (page_id + 1) || '.png' AS src, coalesce(p_name, 'img' || (page_id + 1) || '.png') AS alt
+      FROM pages LEFT JOIN part ON p_partkey = page_id + 1)"""
+SQL["refixed_pages"] = WITH_EXPECTED + """
+SELECT code, count(*) AS n FROM expected
+WHERE code NOT IN ('IMG_MISSING_ALT', 'LINK_IMG_MISSING_ALT') AND NOT (code = 'LOW_CONTRAST' AND k = 7) GROUP BY 1"""
+SQL["suggestion_prompts"] = WITH_EXPECTED + """
+, edited AS (SELECT page_id, url, k, CASE k """ + "{edits}" + """ ELSE html END AS html FROM planted),
+lists AS (
+  SELECT page_id, to_json(list({'code': code, 'message': message, 'context': context, 'analyzer': analyzer} ORDER BY pos)) AS issues
+  FROM expected GROUP BY 1)
+SELECT page_id, url, 'You are an accessibility expert. Given the site HTML and list of issues, '
+       || 'provide concise, actionable fixes for each issue.' || chr(10) || chr(10) || 'Found issues: '
+       || coalesce(issues, '[]') || chr(10) || chr(10) || 'HTML snippet (truncated):' || chr(10) || substring(html, 1, 4000) AS prompt
+FROM edited LEFT JOIN lists USING (page_id)"""
+
+# -- request logs ---------------------------------------------------------------------------------------
+
+LOG = """
+WITH RECURSIVE log AS (
+  SELECT *, row_number() OVER (PARTITION BY host ORDER BY t, id) AS n FROM (
+    SELECT user_id AS host, event_id AS id, CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) / 1000000 / 100000 AS t,
+           value / 20 AS response_time, event_type = 'error' AS is_error FROM events))
+"""
+SQL["rate_grants"] = LOG + """,
+g AS (
+  SELECT host, id, n, t, t AS granted FROM log WHERE n = 1
+  UNION ALL
+  SELECT l.host, l.id, l.n, l.t, greatest(l.t, g.granted + 0.5) FROM g JOIN log l ON l.host = g.host AND l.n = g.n + 1)
+SELECT host, id, round(granted, 6) AS granted, round(granted - t, 6) AS waited FROM g"""
+SQL["adaptive_rates"] = LOG + """,
+counted AS (SELECT *, count(*) FILTER (WHERE NOT is_error) OVER (PARTITION BY host ORDER BY n) AS successes FROM log),
+r AS (
+  SELECT host, CAST(0 AS BIGINT) AS n, CAST(2 AS DOUBLE) AS rate FROM log GROUP BY 1
+  UNION ALL
+  SELECT c.host, c.n, CASE WHEN is_error OR response_time > 5 THEN greatest(rate * 0.8, 0.1)
+                           WHEN successes % 10 = 0 THEN least(rate * 1.1, 10) ELSE rate END
+  FROM r JOIN counted c ON c.host = r.host AND c.n = r.n + 1)
+SELECT r.host, round(rate, 6) AS current_rate, success_count, error_count, slow_response_count
+FROM r JOIN (SELECT host, max(n) AS n, count(*) FILTER (WHERE NOT is_error) AS success_count,
+                    count(*) FILTER (WHERE is_error) AS error_count,
+                    count(*) FILTER (WHERE NOT is_error AND response_time > 5) AS slow_response_count
+             FROM log GROUP BY 1) s ON s.host = r.host AND s.n = r.n"""
+SQL["request_stats"] = """
+SELECT user_id AS host, count(*) FILTER (WHERE event_type <> 'error') AS success_count,
+       count(*) FILTER (WHERE event_type = 'error') AS error_count,
+       count(*) FILTER (WHERE event_type <> 'error' AND value / 20 > 5) AS slow_response_count
+FROM events GROUP BY 1"""
+SQL["fetch_results"] = """
+SELECT event_id, url, attempt, status, error,
+       CASE WHEN error = 'tls' THEN 'failed' WHEN error IS NOT NULL THEN CASE WHEN attempt < 3 THEN 'retry' ELSE 'failed' END
+            WHEN status IN (200, 204) THEN 'ok' WHEN status IN (404, 418) THEN 'empty' ELSE 'failed' END AS outcome
+FROM (SELECT event_id, 'http://u' || user_id || '.test/' AS url, CAST(event_id % 3 + 1 AS INTEGER) AS attempt,
+             ([200, 204, 301, 404, 429, 500, 503, 418])[user_id % 8 + 1] AS status,
+             CASE WHEN event_type = 'error' THEN (['timeout', 'connect', 'read', 'tls'])[event_id % 4 + 1] END AS error FROM events)"""

@@ -26,6 +26,7 @@ NODE = T.StructType([
     T.StructField("has_text", T.BooleanType()),
     T.StructField("text", T.StringType()),
     T.StructField("markup", T.StringType()),
+    T.StructField("outer_len", T.IntegerType()),
 ])
 PIECES = [T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType())]
 
@@ -64,6 +65,7 @@ class _Batch:
         cols["depth"].extend(page.depth)
         cols["subtree_end"].extend(page.end)
         cols["tag"].extend(page.tag)
+        cols["outer_len"].extend(map(page.outer_len, range(count)))
         cols["has_text"].extend(map(page.has_text, range(count)))
         cols["text"].extend(map(page.text, range(count)))
         if self.markup:
@@ -100,6 +102,7 @@ class _Batch:
             "has_text": pa.array(self.cols["has_text"], pa.bool_()),
             "text": pa.array(self.cols["text"], text),
             "markup": pa.array(self.cols["markup"], text),
+            "outer_len": pa.array(self.cols["outer_len"], ints),
         }
         if self.pieces:
             fields["lead"] = pa.array(self.cols["lead"], text)

@@ -145,6 +145,9 @@ class Page:
             return self.canonical[first : min(last, first + limit)]
         return None
 
+    def outer_len(self, i: int) -> int:
+        return self._span[i][2] - self._span[i][0]
+
     def pieces(self, i: int) -> tuple[str, str]:
         """The start tag, and everything up to the next start tag."""
         first, opened, _ = self._span[i]

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.functions import severity as S
-from sightline.operators import rules as R, summaries as A
+from sightline.functions import color as C, severity as S, urls as U
+from sightline.functions.text import lit, words
+from sightline.operators import fixes as X, limiter as L, rules as R, summaries as A
 from sightline.operators.dom import elements, with_dom
 from sightline.operators.links import page_links
 from sightline.operators.nodes import HEADINGS, descendants
-from sightline.functions.text import words
-from sightline.plans import corpora
+from sightline.plans import corpora, crawl as G, report as P
 from sightline.plans.scan import scan_issues, scan_pages, site_severity_summary
-from sightline.sources.pages import read_pages
+from sightline.session import scratch_path
+from sightline.sources import history, robots, runs
+from sightline.sources.pages import fetch_outcomes, read_pages
+from sightline.vocab import RETRY_ATTEMPTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,12 +68,9 @@ def elements_by_class(spark, sf):
     ).agg(F.count("*").alias("n"))
 
 
-@query
-def page_link_targets(spark, sf):
-    return page_links(with_dom(_pages(spark, sf), markup=False)).select("page_id", "pos", "href", "dst_url")
-
-
-QUERIES["page_links"] = QUERIES.pop("page_link_targets")
+QUERIES["page_links"] = lambda spark, sf: page_links(with_dom(_pages(spark, sf), markup=False)).select(
+    "page_id", "pos", "href", "dst_url"
+)
 QUERIES["site_severity_summary"] = lambda spark, sf: site_severity_summary(_pages(spark, sf))
 
 
@@ -205,3 +205,325 @@ def issue_count_per_page(spark, sf):
 @query
 def injected_site_summary(spark, sf):
     return site_severity_summary(_injected(spark, sf))
+
+
+# -- injected pages: reports ----------------------------------------------------------------------
+
+GENERATED = "2024-01-01 00:00:00"
+
+
+@query
+def page_overview(spark, sf):
+    return P.page_overview(scan_pages(_injected(spark, sf), markup=False))
+
+
+@query
+def issue_details(spark, sf):
+    return P.issue_details(scan_pages(_injected(spark, sf)))
+
+
+@query
+def site_header(spark, sf):
+    return P.site_header(scan_pages(_injected(spark, sf), markup=False), GENERATED, "Sites & pages")
+
+
+@query
+def page_header(spark, sf):
+    return P.page_header(scan_pages(_injected(spark, sf), markup=False), GENERATED)
+
+
+@query
+def console_pages(spark, sf):
+    return P.console_pages(scan_pages(_injected(spark, sf), markup=False))
+
+
+@query
+def top_issues(spark, sf):
+    return P.top_issues(scan_pages(_injected(spark, sf)))
+
+
+@query
+def issues_beyond(spark, sf):
+    return P.issues_beyond(scan_pages(_injected(spark, sf), markup=False))
+
+
+@query
+def nested_report(spark, sf):
+    report = A.nested_report(scan_pages(_injected(spark, sf)))
+    text = "to_json(struct(issues, severity_summary, version), map('ignoreNullFields', 'false'))"
+    codes = "array_join(transform(array_sort(map_entries(summary)), c -> concat(c.key, '=', c.value)), ',')"
+    return report.selectExpr("page_id", "url", f"{text} AS report", f"{codes} AS summary")
+
+
+@query
+def report_lines(spark, sf):
+    """Line counts of the HTML report of every site, by part."""
+    lines = P.report_lines(scan_pages(_injected(spark, sf)), GENERATED)
+    return lines.groupBy("site", "part").agg(F.count("*").alias("n_lines"))
+
+
+# -- colours --------------------------------------------------------------------------------------
+
+
+def _line_colors(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.line_colors(spark.read.parquet(f"{sf}/lineitem.parquet"))
+
+
+@query
+def parsed_colors(spark, sf):
+    return _line_colors(spark, sf).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value", f"{C.parse_color('value')} AS color"
+    )
+
+
+@query
+def parsed_fix_colors(spark, sf):
+    return _line_colors(spark, sf).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value", f"{C.parse_fix_color('value')} AS color"
+    )
+
+
+@query
+def contrast_ratios(spark, sf):
+    return _line_colors(spark, sf).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fg", "bg",
+        f"round({C.contrast_ratio('fg', 'bg')}, 6) AS ratio",
+        f"round({C.relative_luminance('fg')}, 6) AS luminance",
+        f"{C.recommend_foreground('bg')} AS recommended",
+    )
+
+
+# -- links, robots, crawls ------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _graph(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.site_graph(_pages(spark, sf))
+
+
+@query
+def resolved_links(spark, sf):
+    """Every link of the linked snapshot, resolved, and whether it stays on its site."""
+    links = page_links(with_dom(_graph(spark, sf), markup=False))
+    return links.selectExpr(
+        "page_id", "pos", "href", "dst_url", f"{U.netloc('dst_url')} = {U.netloc('url')} AS same_site"
+    )
+
+
+AGENT = "sightline-scanner"
+
+
+@query
+def robots_rules(spark, sf):
+    found = robots.parse_robots(corpora.customer_robots(_table(spark, sf, "customer")))
+    return found.selectExpr(
+        "site", "group_no", "array_join(agents, '|') AS agents", "array_join(disallow, '|') AS disallow", "crawl_delay"
+    )
+
+
+@query
+def robots_choice(spark, sf):
+    groups = robots.parse_robots(corpora.customer_robots(_table(spark, sf, "customer")))
+    return robots.choose_group(groups, AGENT).selectExpr(
+        "site", "array_join(disallow, '|') AS disallow", "crawl_delay"
+    )
+
+
+@query
+def crawl_delay(spark, sf):
+    """The pause between requests per site, never under one second; sites without rules included."""
+    files = corpora.customer_robots(_table(spark, sf, "customer"))
+    chosen = robots.choose_group(robots.parse_robots(files), AGENT)
+    return files.select("site").join(chosen, "site", "left").selectExpr(
+        "site", f"{robots.effective_delay('crawl_delay', 1.0)} AS delay"
+    )
+
+
+@query
+def blocked_urls(spark, sf):
+    groups = robots.parse_robots(corpora.customer_robots(_table(spark, sf, "customer")))
+    urls = corpora.order_urls(_table(spark, sf, "orders"))
+    return robots.blocked_urls(urls, robots.choose_group(groups, AGENT)).select("o_orderkey", "url", "blocked")
+
+
+@query
+def valid_urls(spark, sf):
+    """Seed addresses sorted into valid and rejected."""
+    text = "get(array('http://c', 'HTTPS://c', 'ftp://c', 'c', 'http:///'), cast(o_orderkey % 5 AS INT))"
+    seeds = _table(spark, sf, "orders").selectExpr("o_orderkey", f"concat({text}, o_custkey, '.test/x') AS url")
+    return seeds.selectExpr("o_orderkey", "url", f"{U.valid_scan_url('url')} AS valid")
+
+
+@query
+def sitemap_urls(spark, sf):
+    return robots.parse_sitemap(corpora.customer_sitemaps(_table(spark, sf, "customer"))).select("site", "pos", "loc")
+
+
+def _crawl(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    graph = _graph(spark, sf)
+    rules = robots.choose_group(robots.parse_robots(corpora.robots_files(graph)), AGENT)
+    listed = robots.parse_sitemap(corpora.sitemap_files(graph))
+    visits = G.crawl(graph, corpora.graph_seeds(graph), max_pages=40, robots=rules, sitemap=listed)
+    return graph, visits
+
+
+@query
+def crawl_site(spark, sf):
+    return _crawl(spark, sf)[1]
+
+
+@query
+def crawl_basic(spark, sf):
+    graph = _graph(spark, sf)
+    return G.crawl_basic(graph, corpora.graph_seeds(graph)).select("site", "url", "rank", "outcome")
+
+
+@query
+def crawl_progress(spark, sf):
+    return G.crawl_progress(_crawl(spark, sf)[1])
+
+
+@query
+def scan_site(spark, sf):
+    """A crawl and its scan: issues of every visited address, in visiting order."""
+    graph, visits = _crawl(spark, sf)
+    scanned = G.scan_visits(graph, visits)
+    return scanned.select("site", "url", "rank", "outcome", "total", "critical", "major", "minor")
+
+
+# -- history and runs -------------------------------------------------------------------------------
+
+
+def _history(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "scans")
+    history.init_scan_store(spark, path)
+    scanned = scan_pages(_injected(spark, sf))
+    for ts in (1_700_000_000, 1_700_100_000):
+        rows = history.scan_results(scanned, ts).withColumn("ts", F.expr("ts + length(url)"))
+        history.append_scan_results(rows, path)
+    return path
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("site", "url", "array_join(transform(issues, i -> i.code), ',') AS codes", "ts")
+
+
+@query
+def scan_history(spark, sf):
+    return _codes(history.read_scan_history(spark, _history(spark, sf)))
+
+
+@query
+def site_history(spark, sf):
+    """History of the site of the first page."""
+    site = _pages(spark, sf).orderBy("page_id").selectExpr(f"{U.netloc('url')} AS site").first()["site"]
+    return _codes(history.read_scan_history(spark, _history(spark, sf), site))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.order_runs(_table(spark, sf, "orders"))
+
+
+@query
+def scan_runs(spark, sf):
+    return runs.current_runs(_runs(spark, sf))
+
+
+@query
+def recent_runs(spark, sf):
+    return runs.recent_runs(_runs(spark, sf), 10)
+
+
+@query
+def run_after_delete(spark, sf):
+    """The runs once the first has been deleted too."""
+    events = _runs(spark, sf)
+    first = runs.current_runs(events).agg(F.min("scan_id").alias("scan_id")).first()["scan_id"]
+    gone = runs.deletion(events, first)
+    return runs.current_runs(events.unionByName(gone)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# -- fixes ------------------------------------------------------------------------------------------
+
+ALT_TEXTS = {"i.png": "Icon"}
+
+
+@query
+def applied_fixes(spark, sf):
+    return X.fix_rows(X.apply_fixes(_injected(spark, sf), ALT_TEXTS)).select("page_id", "pos", "code", "fix", "context")
+
+
+@query
+def fix_summary(spark, sf):
+    return X.fix_summary(X.apply_fixes(_injected(spark, sf), ALT_TEXTS))
+
+
+@query
+def fix_report(spark, sf):
+    report = X.fix_report(X.apply_fixes(_injected(spark, sf), ALT_TEXTS))
+    return report.selectExpr("page_id", "n", "array_join(lines, '\n') AS lines", "fix_error")
+
+
+@query
+def alt_fixes_from_parts(spark, sf):
+    """Alternative texts looked up in a table."""
+    texts = corpora.part_names(_table(spark, sf, "part"))
+    fixed = X.apply_fixes(corpora.planted_images(_pages(spark, sf)), texts)
+    return X.fix_rows(fixed).select("page_id", "code", "fix", "context")
+
+
+@query
+def fixed_pages(spark, sf):
+    """The rewritten pages themselves."""
+    return X.apply_fixes(_injected(spark, sf), ALT_TEXTS).select("page_id", "url", "fixed_html")
+
+
+@query
+def refixed_pages(spark, sf):
+    """Fixes still needed after fixing, and the issues of the fixed pages."""
+    fixed = X.apply_fixes(_injected(spark, sf), ALT_TEXTS)
+    again = scan_issues(fixed.selectExpr("page_id", "url", "fixed_html AS html"))
+    return again.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query
+def suggestion_prompts(spark, sf):
+    pages = _injected(spark, sf)
+    scanned = R.page_issues(with_dom(pages.withColumn("source", F.col("html")))).withColumnRenamed("source", "html")
+    return X.suggestion_prompts(scanned)
+
+
+# -- request logs -------------------------------------------------------------------------------------
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return L.request_log(_table(spark, sf, "events"), 100_000)
+
+
+@query
+def rate_grants(spark, sf):
+    return L.rate_grants(_log(spark, sf).select("host", "id", "t"), 2.0).selectExpr(
+        "host", "id", "round(granted, 6) AS granted", "round(waited, 6) AS waited"
+    )
+
+
+@query
+def adaptive_rates(spark, sf):
+    return L.adaptive_rates(_log(spark, sf)).selectExpr(
+        "host", "round(current_rate, 6) AS current_rate", "success_count", "error_count", "slow_response_count"
+    )
+
+
+@query
+def request_stats(spark, sf):
+    return L.request_stats(_log(spark, sf))
+
+
+@query
+def fetch_results(spark, sf):
+    return fetch_outcomes(corpora.fetch_log(_table(spark, sf, "events")), RETRY_ATTEMPTS).select(
+        "event_id", "url", "attempt", "status", "error", "outcome"
+    )

@@ -75,7 +75,8 @@ def site_graph(pages: DataFrame) -> DataFrame:
     """The pages as a linked snapshot of five sites (``page_id, url, html``).
 
     Every page links to three pages of its site (absolute path, relative path, full URL with
-    fragment), one page of another site, one missing page, and a mail address.
+    fragment), one page of another site, one missing page, and a mail address; every third page has an
+    image without alternative text.
     """
     n = pages.count()
 
@@ -89,7 +90,8 @@ def site_graph(pages: DataFrame) -> DataFrame:
         f", '<a href=\"http://', {_graph_host(third)}, {_graph_path(third)}, '#sec\">c</a>'"
         f", '<a href=\"http://', {_graph_host(other)}, {_graph_path(other)}, '\">d</a>'"
         ", '<a href=\"/missing/', page_id, '\">e</a>'"
-        ", '<a href=\"mailto:x@y.test\">f</a>')"
+        ", '<a href=\"mailto:x@y.test\">f</a>'"
+        ", CASE WHEN page_id % 3 = 0 THEN '<img src=\"x.png\">' ELSE '' END)"
     )
     return pages.selectExpr(
         "page_id",
@@ -124,3 +126,113 @@ def graph_seeds(graph: DataFrame) -> DataFrame:
     return graph.where(f"page_id >= {2 * SITES} AND page_id < {3 * SITES}").selectExpr(
         f"concat('s', page_id % {SITES}, '.test') AS site", "url"
     )
+
+
+ROBOTS_TEXTS = [
+    "User-agent: *\nDisallow: /a\nDisallow: /b # note\nCrawl-delay: 2.5",
+    "User-agent: sightline-scanner\nDisallow: /own\nUser-agent: *\nDisallow: /all",
+    "User-agent: SIGHTLINE\nUser-agent: bingbot\nDisallow: /stacked\nUser-agent: *\nDisallow: /star\nCrawl-delay: x",
+    "# c\n\nDisallow: /orphan\nUser-agent: other\nDisallow: /x",
+    "User-agent: *\nDisallow:\nCrawl-delay: 1\nCrawl-delay: bad",
+    "",
+    "user-AGENT:   *  \r\n  disallow:/c\rCrawl-Delay:0",
+]
+
+
+def customer_robots(customer: DataFrame) -> DataFrame:
+    """A robots file for every customer's site, one of seven kinds."""
+    texts = ", ".join(map(lit, ROBOTS_TEXTS))
+    return customer.selectExpr(
+        "concat('c', c_custkey, '.test') AS site",
+        f"get(array({texts}), cast(c_custkey % {len(ROBOTS_TEXTS)} AS INT)) AS robots_txt",
+    )
+
+
+def customer_sitemaps(customer: DataFrame) -> DataFrame:
+    """A sitemap for every customer's site."""
+    return customer.selectExpr(
+        "concat('c', c_custkey, '.test') AS site",
+        "concat('<urlset>\n<url><loc> http://c', c_custkey, '.test/a?x=1&amp;y=', c_nationkey, '\n</loc></url>"
+        "<url><LOC xml:lang=\"en\">http://c', c_custkey, '.test/b</LOC></url></urlset>') AS sitemap_xml",
+    )
+
+
+def order_urls(orders: DataFrame) -> DataFrame:
+    """An address on the customer's site for every order."""
+    paths = "array('/a/1', '/all?x=/c', '', '/own', '/b # note', '/c/d', '/star')"
+    return orders.selectExpr(
+        "o_orderkey", "concat('c', o_custkey, '.test') AS site",
+        f"concat('http://c', o_custkey, '.test', get({paths}, cast(o_orderkey % 7 AS INT))) AS url",
+    )
+
+
+def order_runs(orders: DataFrame) -> DataFrame:
+    """A log of scan runs, one run per order: most complete, some fail, some never start, some are deleted."""
+    start = "timestamp_seconds(1700000000 + o_orderkey * 60)"
+    event = (
+        "struct({at} AS event_time, {status} AS status, {url} AS url, {pages} AS pages_scanned, {issues} AS total_issues, "
+        "{started} AS started_at, {completed} AS completed_at, {error} AS error)"
+    )
+    blank = {
+        "url": "cast(NULL AS STRING)", "pages": "cast(NULL AS INT)", "issues": "cast(NULL AS INT)",
+        "started": "cast(NULL AS TIMESTAMP)", "completed": "cast(NULL AS TIMESTAMP)", "error": "cast(NULL AS STRING)",
+    }
+    pending = event.format(**blank | {
+        "at": start, "status": "'pending'", "url": "concat('http://c', o_custkey, '.test/')"})
+    running_at, done_at = f"{start} + INTERVAL 1 MINUTE", f"{start} + INTERVAL 9 MINUTES"
+    running = event.format(**blank | {"at": running_at, "status": "'running'", "started": running_at})
+    failed = event.format(**blank | {
+        "at": done_at, "status": "'failed'", "completed": done_at, "error": "concat('timeout ', o_orderkey)"})
+    completed = event.format(**blank | {
+        "at": done_at, "status": "'completed'", "completed": done_at,
+        "pages": "cast(o_custkey % 50 AS INT)", "issues": "cast(o_orderkey % 1000 AS INT)"})
+    deleted = event.format(**blank | {"at": f"{start} + INTERVAL 1 DAY", "status": "'deleted'"})
+    events = (
+        f"concat(array({pending}), CASE WHEN o_orderkey % 7 = 0 THEN array() WHEN o_orderkey % 5 = 0 "
+        f"THEN array({running}, {failed}) ELSE array({running}, {completed}) END, "
+        f"CASE WHEN o_orderkey % 11 = 0 THEN array({deleted}) ELSE array() END)"
+    )
+    return orders.selectExpr("concat('scan-', o_orderkey) AS scan_id", f"explode({events}) AS e").select("scan_id", "e.*")
+
+
+def planted_images(pages: DataFrame) -> DataFrame:
+    """Every page with one image without alternative text, named after its number."""
+    return pages.withColumn("html", F.expr(
+        f"replace(html, {lit(FOOTER)}, concat('<img src=\"img', page_id + 1, '.png\" id=\"pic\">', {lit(FOOTER)}))"
+    ))
+
+
+def part_names(part: DataFrame) -> DataFrame:
+    """Alternative texts by image file: the part of the same number."""
+    return part.selectExpr("concat('img', p_partkey, '.png') AS key", "p_name AS alt")
+
+
+def fetch_log(events: DataFrame) -> DataFrame:
+    """Events as attempts to fetch a page."""
+    return events.selectExpr(
+        "event_id", "concat('http://u', user_id, '.test/') AS url", "cast(event_id % 3 + 1 AS INT) AS attempt",
+        "get(array(200, 204, 301, 404, 429, 500, 503, 418), cast(user_id % 8 AS INT)) AS status",
+        "CASE event_type WHEN 'error' THEN get(array('timeout', 'connect', 'read', 'tls'), cast(event_id % 4 AS INT)) "
+        "END AS error",
+    )
+
+
+def line_colors(lineitem: DataFrame) -> DataFrame:
+    """Two colours per order line, written in eight ways."""
+    red, green, blue = "l_orderkey % 256", "l_partkey % 256", "l_suppkey % 256"
+    forms = (
+        f"array(concat('#', lpad(hex({red}), 2, '0'), lpad(hex({green}), 2, '0'), lpad(hex({blue}), 2, '0')), "
+        "concat(' #', hex(l_orderkey % 16), hex(l_partkey % 16), lower(hex(l_suppkey % 16))), "
+        f"concat('rgb(', {red}, ', ', {green}, ',', {blue}, ')'), "
+        f"concat('RGBA(', l_orderkey % 101, '%,', {green}, ' ,', {blue}, ',.5)'), "
+        "concat('hsl(', l_orderkey % 360, ', ', l_partkey % 101, '%, ', l_suppkey % 101, '%)'), "
+        "get(array('white', 'Black', 'navy ', 'orange'), cast(l_orderkey % 4 AS INT)), "
+        "concat('var(--c', l_partkey, ')'))"
+    )
+    return lineitem.selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        f"get({forms}, cast(l_linenumber - 1 AS INT)) AS value",
+        f"concat('#', lpad(lower(hex({red})), 2, '0'), lpad(lower(hex({green})), 2, '0'), lpad(lower(hex({blue})), 2, '0')) AS fg",
+        "concat('#', lpad(lower(hex(l_partkey * 31 % 256)), 2, '0'), lpad(lower(hex(l_suppkey * 17 % 256)), 2, '0'), "
+        "lpad(lower(hex(l_orderkey * 7 % 256)), 2, '0')) AS bg",
+    )

@@ -60,3 +60,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcastable(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; looks at no more than one beyond that."""
+    return df.limit(rows + 1).count() <= rows
