@@ -6,6 +6,8 @@ the expected issues of every variant and joins them to the pages.
 
 from __future__ import annotations
 
+from sightline.plans.corpora import EDITS, SNIPPETS
+
 S = "'"
 
 
@@ -406,8 +408,8 @@ visits AS (
 """
 SQL["crawl_site"] = VISITS + "SELECT * FROM visits"
 SQL["crawl_progress"] = VISITS + """
-SELECT site, level, count(*) AS visited, CAST(sum(count(*)) OVER (PARTITION BY site ORDER BY level) AS BIGINT) AS scanned
-FROM visits GROUP BY ALL"""
+SELECT site, level, visited, CAST(sum(visited) OVER (PARTITION BY site ORDER BY level) AS BIGINT) AS scanned
+FROM (SELECT site, level, count(*) AS visited FROM visits GROUP BY ALL)"""
 SQL["scan_site"] = VISITS + """
 SELECT v.site, v.url, rank, outcome, CAST(coalesce(n, 0) AS INTEGER) AS total, CAST(coalesce(n, 0) AS INTEGER) AS critical,
        0 AS major, 0 AS minor
@@ -506,7 +508,10 @@ SQL["refixed_pages"] = WITH_EXPECTED + """
 SELECT code, count(*) AS n FROM expected
 WHERE code NOT IN ('IMG_MISSING_ALT', 'LINK_IMG_MISSING_ALT') AND NOT (code = 'LOW_CONTRAST' AND k = 7) GROUP BY 1"""
 SQL["suggestion_prompts"] = WITH_EXPECTED + """
-, edited AS (SELECT page_id, url, k, CASE k """ + "{edits}" + """ ELSE html END AS html FROM planted),
+, edited AS (SELECT page_id, url, k, CASE k """ + " ".join(
+    f"WHEN {k} THEN replace(html, {q(a)}, {q(b)})"
+    for k, (a, b) in ({k: ("<footer>", x + "<footer>") for k, x in SNIPPETS.items()} | EDITS).items()
+) + """ ELSE html END AS html FROM planted),
 lists AS (
   SELECT page_id, to_json(list({'code': code, 'message': message, 'context': context, 'analyzer': analyzer} ORDER BY pos)) AS issues
   FROM expected GROUP BY 1)
@@ -554,3 +559,13 @@ SELECT event_id, url, attempt, status, error,
 FROM (SELECT event_id, 'http://u' || user_id || '.test/' AS url, CAST(event_id % 3 + 1 AS INTEGER) AS attempt,
              ([200, 204, 301, 404, 429, 500, 503, 418])[user_id % 8 + 1] AS status,
              CASE WHEN event_type = 'error' THEN (['timeout', 'connect', 'read', 'tls'])[event_id % 4 + 1] END AS error FROM events)"""
+
+# -- streams: the same answers as in batch ------------------------------------------------------------------
+
+SQL["stream_scan"] = WITH_EXPECTED + HISTORY.replace("CAST(base + length(url) AS BIGINT)", "CAST(base AS BIGINT)").replace(
+    "(1700000000), (1700100000)", "(1700000000)"
+)
+SQL["stream_seen_urls"] = "SELECT DISTINCT url FROM pages"
+SQL["stream_severity_counts"] = SQL["injected_site_summary"]
+SQL["stream_rate_grants"] = SQL["rate_grants"]
+SQL["stream_adaptive_rates"] = SQL["adaptive_rates"]

@@ -114,6 +114,6 @@ def request_log(events: DataFrame, time_scale: float) -> DataFrame:
     """An event table as a request log: users as hosts, scaled time, values as response times."""
     return events.selectExpr(
         "user_id AS host", "event_id AS id",
-        f"(unix_micros(ts) - unix_micros(TIMESTAMP '2024-01-01 00:00:00')) / 1000000D / {time_scale}D AS t",
+        f"(unix_micros(cast(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00')) / 1000000D / {time_scale}D AS t",
         "value / 20 AS response_time", "event_type = 'error' AS is_error",
     )

@@ -14,9 +14,10 @@ from sightline.operators.links import page_links
 from sightline.operators.nodes import HEADINGS, descendants
 from sightline.plans import corpora, crawl as G, report as P
 from sightline.plans.scan import scan_issues, scan_pages, site_severity_summary
-from sightline.session import scratch_path
+from sightline.session import materialize, scratch_path
 from sightline.sources import history, robots, runs
 from sightline.sources.pages import fetch_outcomes, read_pages
+from sightline.streaming import limiter_stream as LS, scan_stream as SS
 from sightline.vocab import RETRY_ATTEMPTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,7 +259,7 @@ def nested_report(spark, sf):
 @query
 def report_lines(spark, sf):
     """Line counts of the HTML report of every site, by part."""
-    lines = P.report_lines(scan_pages(_injected(spark, sf)), GENERATED)
+    lines = P.report_lines(materialize(scan_pages(_injected(spark, sf)), "scan"), GENERATED)
     return lines.groupBy("site", "part").agg(F.count("*").alias("n_lines"))
 
 
@@ -400,7 +401,7 @@ def scan_site(spark, sf):
 def _history(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "scans")
     history.init_scan_store(spark, path)
-    scanned = scan_pages(_injected(spark, sf))
+    scanned = materialize(scan_pages(_injected(spark, sf)).select("site", "url", "issues"), "scan")
     for ts in (1_700_000_000, 1_700_100_000):
         rows = history.scan_results(scanned, ts).withColumn("ts", F.expr("ts + length(url)"))
         history.append_scan_results(rows, path)
@@ -527,3 +528,74 @@ def fetch_results(spark, sf):
     return fetch_outcomes(corpora.fetch_log(_table(spark, sf, "events")), RETRY_ATTEMPTS).select(
         "event_id", "url", "attempt", "status", "error", "outcome"
     )
+
+
+# -- streams --------------------------------------------------------------------------------------------
+
+
+def _drained(query) -> None:
+    """Wait until a stream has taken in everything there is."""
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def _appended(frame: DataFrame, label: str) -> DataFrame:
+    """Run a stream to its end into files and read them."""
+    spark, path = frame.sparkSession, scratch_path(frame.sparkSession, label)
+    _drained(
+        frame.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    return spark.read.schema(frame.schema).parquet(f"{path}/out")
+
+
+def _updated(frame: DataFrame, label: str, key: str) -> DataFrame:
+    spark, path = frame.sparkSession, scratch_path(frame.sparkSession, label)
+    _drained(LS.write_updates(frame, f"{path}/out", f"{path}/state"))
+    return LS.latest_updates(spark, f"{path}/out", key)
+
+
+def _page_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.injected(SS.stream_pages(spark, sf, glob="pages.parquet"))
+
+
+def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = _table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return L.request_log(events, 100_000)
+
+
+@query
+def stream_scan(spark, sf):
+    """The history table as the streaming scan writes it."""
+    path = scratch_path(spark, "stream-scan")
+    _drained(SS.stream_history(_page_stream(spark, sf), f"{path}/out", f"{path}/state", ts=1_700_000_000))
+    return _codes(history.read_scan_history(spark, f"{path}/out"))
+
+
+@query
+def stream_seen_urls(spark, sf):
+    """Every address of two copies of each page, once."""
+    doubled = _page_stream(spark, sf).select(F.explode(F.array("url", "url")).alias("url"))
+    return _appended(SS.first_sightings(doubled), "stream-seen")
+
+
+@query
+def stream_severity_counts(spark, sf):
+    return _updated(SS.running_severity_counts(_page_stream(spark, sf)), "stream-counts", "site")
+
+
+@query
+def stream_rate_grants(spark, sf):
+    granted = LS.stream_rate_grants(_log_stream(spark, sf).select("host", "id", "t"), 2.0)
+    return _appended(granted, "stream-grants").selectExpr(
+        "host", "id", "round(granted, 6) AS granted", "round(waited, 6) AS waited"
+    )
+
+
+@query
+def stream_adaptive_rates(spark, sf):
+    return _updated(LS.stream_adaptive_rates(_log_stream(spark, sf)), "stream-rates", "host").withColumn(
+        "current_rate", F.round("current_rate", 6)
+    )

@@ -168,14 +168,14 @@ def order_urls(orders: DataFrame) -> DataFrame:
 
 def order_runs(orders: DataFrame) -> DataFrame:
     """A log of scan runs, one run per order: most complete, some fail, some never start, some are deleted."""
-    start = "timestamp_seconds(1700000000 + o_orderkey * 60)"
+    start = "TIMESTAMP_NTZ '2023-11-14 22:13:20' + make_dt_interval(0, 0, cast(o_orderkey AS INT), 0)"
     event = (
         "struct({at} AS event_time, {status} AS status, {url} AS url, {pages} AS pages_scanned, {issues} AS total_issues, "
         "{started} AS started_at, {completed} AS completed_at, {error} AS error)"
     )
     blank = {
         "url": "cast(NULL AS STRING)", "pages": "cast(NULL AS INT)", "issues": "cast(NULL AS INT)",
-        "started": "cast(NULL AS TIMESTAMP)", "completed": "cast(NULL AS TIMESTAMP)", "error": "cast(NULL AS STRING)",
+        "started": "cast(NULL AS TIMESTAMP_NTZ)", "completed": "cast(NULL AS TIMESTAMP_NTZ)", "error": "cast(NULL AS STRING)",
     }
     pending = event.format(**blank | {
         "at": start, "status": "'pending'", "url": "concat('http://c', o_custkey, '.test/')"})
