@@ -59,7 +59,7 @@ def resolve_url(base: str, href: str) -> str:
     own_path = "regexp_extract(u.href, '^([^?#]*)', 1)"
     rest = "regexp_extract(u.href, '(?s)^([^?#]*)(.*)$', 2)"
     folder = "coalesce(nullif(regexp_extract(u.path, '^(.*/)[^/]*$', 1), ''), '/')"
-    relative = f"concat({folder}, {own_path})"
+    relative = f"regexp_replace(concat({folder}, {own_path}), '//+', '/')"
     return let("u", parts, (
         "CASE WHEN u.href = '' THEN u.base "
         f"WHEN {own_scheme} <> '' THEN CASE WHEN lower({own_scheme}) = u.scheme "

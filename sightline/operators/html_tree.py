@@ -15,7 +15,7 @@ TOKEN = re.compile(
     r"|!(?P<decl>[^>]*+)>?"
     r"|\?(?P<pi>[^>]*+)>?"
     r"|/(?P<end>[A-Za-z][^\s/>]*+)[^>]*+>?"
-    r"|(?P<start>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"
+    r"|(?P<start>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
     r")",
     re.S,
 )
@@ -272,6 +272,8 @@ class Page:
             position = match.end()
             kind = match.lastgroup
             if kind == "attrs":
+                if html[position - 1] != ">":
+                    return  # the page ends inside a tag
                 tag = match["start"].lower()
                 attrs, closed = attributes(match["attrs"]) if match["attrs"] else ({}, False)
                 self._start(tag, attrs)
