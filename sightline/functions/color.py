@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from sightline import vocab
 from sightline.functions.text import let, lit, strip, words
 
@@ -97,26 +100,36 @@ def hex_to_rgb(color: str) -> str:
     return f"struct({channel(2)} AS r, {channel(4)} AS g, {channel(6)} AS b)"
 
 
+def _named(x: str, body: Callable[[str], str]) -> str:
+    """``body`` of ``x``; anything longer than a name is computed once first."""
+    return body(x) if re.fullmatch(r"[\w.]+|'[^']*'", x) else let("shade", x, body("shade"))
+
+
 def relative_luminance(color: str) -> str:
-    channels = f"transform(array(rgb.r, rgb.g, rgb.b), c -> c / 255D)"
-    linear = f"transform({channels}, s -> CASE WHEN s <= 0.03928D THEN s / 12.92D ELSE pow((s + 0.055D) / 1.055D, 2.4D) END)"
-    weighted = let("lin", linear, "0.2126D * lin[0] + 0.7152D * lin[1] + 0.0722D * lin[2]")
-    return let("rgb", hex_to_rgb(color), weighted)
+    """Weighted brightness; written out plainly, so that on columns it compiles to straight code."""
+    def linear(c: str, at: int) -> str:
+        s = f"(cast(conv(substring({c}, {at}, 2), 16, 10) AS INT) / 255D)"
+        return f"CASE WHEN {s} <= 0.03928D THEN {s} / 12.92D ELSE pow(({s} + 0.055D) / 1.055D, 2.4D) END"
+
+    return _named(color, lambda c: (
+        f"(0.2126D * ({linear(c, 2)}) + 0.7152D * ({linear(c, 4)}) + 0.0722D * ({linear(c, 6)}))"
+    ))
 
 
 def contrast_ratio(first: str, second: str) -> str:
     """Contrast of two colours, 1 to 21; null where either cannot be read."""
-    lights = f"transform(array({first}, {second}), shade -> {relative_luminance('shade')})"
-    ratio = "(greatest(light[0], light[1]) + 0.05D) / (least(light[0], light[1]) + 0.05D)"
-    return let("light", lights, f"CASE WHEN light[0] IS NOT NULL AND light[1] IS NOT NULL THEN {ratio} END")
+    a, b = f"({relative_luminance(first)} + 0.05D)", f"({relative_luminance(second)} + 0.05D)"
+    return f"CASE WHEN {a} >= {b} THEN {a} / {b} ELSE {b} / {a} END"
 
 
 def recommend_foreground(background: str) -> str:
     """Black where it is readable on ``background``, white otherwise."""
-    ratio = contrast_ratio("'#000000'", background)
-    return let("ratio", ratio, (
-        f"CASE WHEN ratio >= {vocab.CONTRAST_THRESHOLDS['AA']} THEN '#000000' WHEN ratio IS NOT NULL THEN '#ffffff' END"
-    ))
+    def chosen(color: str) -> str:
+        black = contrast_ratio("'#000000'", color)
+        readable = f"({black}) >= {vocab.CONTRAST_THRESHOLDS['AA']}D"
+        return f"CASE WHEN {readable} THEN '#000000' WHEN NOT {readable} THEN '#ffffff' END"
+
+    return _named(background, chosen)
 
 
 def style_declarations(style: str) -> str:

@@ -185,7 +185,7 @@ def write_fixed_html(fixed: DataFrame, path: str, *, file_per_page: bool = False
     """
     named = fixed.where("fixed_html IS NOT NULL").selectExpr(f"{page_file_name('url')} AS fname", "fixed_html AS html")
     if file_per_page:
-        named.write.option("lineSep", "").partitionBy("fname").text(path)
+        named.write.partitionBy("fname").text(path)
     else:
         named.write.parquet(path)
 
