@@ -4,7 +4,8 @@ A set is either the elements themselves or their ids. Ids index the list directl
 read from ``within`` (the enclosing elements a rule may ask about), so "has a descendant", "has none"
 and "first descendant" are set operations on ids, each linear in the page.
 
-Conditions are written over one element called ``e``.
+Conditions are written over one element called ``e``. The built-in rules look through ``marked``, the elements
+any of them can be about; paragraphs and the like are passed over once, not once per rule.
 """
 
 from __future__ import annotations
@@ -17,13 +18,23 @@ from sightline.functions.text import blank, empty, let, lit, words
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
+MARKED_TAGS = (
+    "html body title main nav a img label input textarea select button iframe table caption tr th video audio track"
+).split() + list(HEADINGS)
+MARKED_ATTRIBUTES = ("role", "style", "aria-hidden", "tabindex", "contenteditable")
+MARKED = (
+    f"filter(dom, e -> e.tag IN ({words(MARKED_TAGS)}) OR (size(e.attrs) > 0 "
+    f"AND arrays_overlap(map_keys(e.attrs), array({words(MARKED_ATTRIBUTES)}))))"
+)
+
+
 def attr(name: str, e: str = "e") -> str:
     return f"{e}.attrs[{lit(name)}]"
 
 
 def select(where: str) -> str:
-    """Elements of the page that satisfy ``where``, in document order."""
-    return f"filter(dom, e -> {where})"
+    """Marked elements of the page that satisfy ``where``, in document order."""
+    return f"filter(marked, e -> {where})"
 
 
 def by_tag(*names: str) -> str:
@@ -35,8 +46,8 @@ def by_attr(name: str, *values: str) -> str:
     return select(f"{attr(name)} IN ({words(values)})" if values else f"{attr(name)} IS NOT NULL")
 
 
-def exists(where: str) -> str:
-    return f"exists(dom, e -> coalesce({where}, false))"
+def exists(where: str, among: str = "marked") -> str:
+    return f"exists({among}, e -> coalesce({where}, false))"
 
 
 def ids(elements: str) -> str:

@@ -11,7 +11,7 @@ from sightline import vocab
 from sightline.functions.color import contrast_ratio, last_value, parse_color, style_declarations
 from sightline.functions.text import blank, empty, let, lit, strip, words
 from sightline.operators.nodes import (
-    FOCUSABLE, HEADINGS, IS_MAIN, IS_NAVIGATION, NAMELESS,
+    FOCUSABLE, HEADINGS, IS_MAIN, IS_NAVIGATION, MARKED, NAMELESS,
     all_blank, at, attr, by_attr, by_tag, containers_of, exists, first_inside, ids, inside, owners, repeated, select,
 )
 
@@ -26,8 +26,8 @@ ISSUE_ORDER = ("analyzer_ord", "loop_ord", "node_id", "check_ord")
 class Check:
     """One kind of issue a rule reports.
 
-    ``found`` is an expression for the list of findings, structs with at least a ``node_id``;
-    message and context are expressions over one finding ``e``. Issues come out by ``loop``, then
+    ``found`` is an expression over ``dom`` for the list of findings, structs with at least a
+    ``node_id``; message and context are expressions over one finding ``e``. Issues come out by ``loop``, then
     in document order, then by ``step``.
     """
 
@@ -299,7 +299,7 @@ SKIP_FRAGMENT = (
 
 SKIP = (
     Check("BROKEN_SKIP_LINK",
-          f"filter({SKIP_FRAGMENT}, l -> NOT {exists(f'{attr("id")} = l.target')})",
+          f"filter({SKIP_FRAGMENT}, l -> NOT {exists(f'{attr("id")} = l.target', among='dom')})",
           printf(vocab.MSG_BROKEN_SKIP_LINK, "e.target")),
     Check("NO_SKIP_LINK",
           on_page(f"body IS NOT NULL AND size({SKIP_LINK}) = 0 AND {exists(f'{IN_BODY} AND {IS_NAVIGATION}')} "
@@ -382,7 +382,8 @@ def page_issues(doms: DataFrame, rules: RuleSet | None = None, exclude: Iterable
     lists = [_issues(rule, position, check) for position, rule in enumerate(active) for check in rule.checks]
     keys = [name for name in doms.columns if name not in ("dom", "prolog")]
     found = ", ".join([f"cast(array() AS {ISSUE_TYPE})", *lists])
-    shared = doms.selectExpr(*keys, "dom", *[f"{made} AS {name}" for name, made in SHARED.items()])
+    marked = doms.selectExpr(*keys, "dom", f"{MARKED} AS marked")
+    shared = marked.selectExpr(*keys, "dom", "marked", *[f"{made} AS {name}" for name, made in SHARED.items()])
     return shared.selectExpr(*keys, f"cast(array_sort(concat({found})) AS {ISSUE_TYPE}) AS issues")
 
 
