@@ -569,3 +569,14 @@ SQL["stream_seen_urls"] = "SELECT DISTINCT url FROM pages"
 SQL["stream_severity_counts"] = SQL["injected_site_summary"]
 SQL["stream_rate_grants"] = SQL["rate_grants"]
 SQL["stream_adaptive_rates"] = SQL["adaptive_rates"]
+
+# -- scan requests --------------------------------------------------------------------------------------------
+
+SQL["accepted_requests"] = """
+SELECT url, true AS valid, 36 AS id_length FROM pages
+UNION ALL SELECT 'ftp://nowhere.test/' || page_id, false, 36 FROM pages
+UNION ALL SELECT 'http://nowhere.test/' || page_id, true, 36 FROM pages"""
+SQL["request_results"] = WITH_EXPECTED + """
+SELECT url, 'completed' AS status, 1 AS pages_scanned, CAST(total AS INTEGER) AS total_issues, CAST(NULL AS VARCHAR) AS error
+FROM page_counts
+UNION ALL SELECT 'http://nowhere.test/' || page_id, 'failed', 0, 0, 'page not found' FROM pages"""

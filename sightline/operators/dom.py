@@ -31,6 +31,8 @@ NODE = T.StructType([
 PIECES = [T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType())]
 
 BATCH_CHARS = 8_000_000
+SMALL_INPUT_BYTES = 1 << 30
+SPLIT_BYTES = 1 << 16
 
 
 class _Batch:
@@ -118,11 +120,16 @@ class _Batch:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer splits than cores; larger inputs are left where they lie."""
+    """Spread a small input, which may sit in a single split, over the cores.
+
+    Decided on the optimizer's size estimate, without running anything. Inputs of a gigabyte and more
+    have splits enough and stay where they lie, so at scale no markup is ever shuffled for this.
+    """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES)
+    return df.repartition(parts) if size < SMALL_INPUT_BYTES and parts > 1 else df
 
 
 def with_dom(pages: DataFrame, *, markup: bool = True, pieces: bool = False) -> DataFrame:

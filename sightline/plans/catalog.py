@@ -12,7 +12,7 @@ from sightline.operators import fixes as X, limiter as L, rules as R, summaries
 from sightline.operators.dom import elements, with_dom
 from sightline.operators.links import page_links
 from sightline.operators.nodes import HEADINGS, descendants
-from sightline.plans import corpora, crawl as G, report as P
+from sightline.plans import corpora, crawl as G, report as P, requests as V
 from sightline.plans.scan import scan_issues, scan_pages, site_severity_summary
 from sightline.session import materialize, scratch_path
 from sightline.sources import history, robots, runs
@@ -37,6 +37,11 @@ def _injected(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.injected(_pages(spark, sf))
 
 
+def _kept_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan written out once, for results that are sorted or read several times."""
+    return materialize(scan_pages(_injected(spark, sf)), "scan")
+
+
 # -- plain pages ------------------------------------------------------------------------------
 
 
@@ -159,7 +164,7 @@ def enriched_issues(spark, sf):
 @query
 def issues_sorted(spark, sf):
     """Issues in severity order, with their place on the page."""
-    scanned = scan_pages(_injected(spark, sf))
+    scanned = _kept_scan(spark, sf)
     ranked = (
         f"array_sort(transform(issues, i -> struct({S.severity_rank('i.severity')} AS severity_rank, i.analyzer_ord, "
         "i.loop_ord, i.node_id, i.check_ord, i.code, i.severity)))"
@@ -215,7 +220,7 @@ GENERATED = "2024-01-01 00:00:00"
 
 @query
 def page_overview(spark, sf):
-    return P.page_overview(scan_pages(_injected(spark, sf), markup=False))
+    return P.page_overview(_kept_scan(spark, sf))
 
 
 @query
@@ -235,7 +240,7 @@ def page_header(spark, sf):
 
 @query
 def console_pages(spark, sf):
-    return P.console_pages(scan_pages(_injected(spark, sf), markup=False))
+    return P.console_pages(_kept_scan(spark, sf))
 
 
 @query
@@ -259,7 +264,7 @@ def nested_report(spark, sf):
 @query
 def report_lines(spark, sf):
     """Line counts of the HTML report of every site, by part."""
-    lines = P.report_lines(materialize(scan_pages(_injected(spark, sf)), "scan"), GENERATED)
+    lines = P.report_lines(_kept_scan(spark, sf), GENERATED)
     return lines.groupBy("site", "part").agg(F.count("*").alias("n_lines"))
 
 
@@ -401,7 +406,7 @@ def scan_site(spark, sf):
 def _history(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "scans")
     history.init_scan_store(spark, path)
-    scanned = materialize(scan_pages(_injected(spark, sf)).select("site", "url", "issues"), "scan")
+    scanned = _kept_scan(spark, sf)
     for ts in (1_700_000_000, 1_700_100_000):
         rows = history.scan_results(scanned, ts).withColumn("ts", F.expr("ts + length(url)"))
         history.append_scan_results(rows, path)
@@ -599,3 +604,25 @@ def stream_adaptive_rates(spark, sf):
     return _updated(LS.stream_adaptive_rates(_log_stream(spark, sf)), "stream-rates", "host").withColumn(
         "current_rate", F.round("current_rate", 6)
     )
+
+
+# -- scan requests --------------------------------------------------------------------------------------
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.page_requests(_pages(spark, sf))
+
+
+@query
+def accepted_requests(spark, sf):
+    """Scan requests sorted into accepted and rejected, with the id each run gets."""
+    return V.with_scan_ids(_requests(spark, sf)).select("url", "valid", F.length("scan_id").alias("id_length"))
+
+
+@query
+def request_results(spark, sf):
+    """The final state of a run per accepted request for a page."""
+    events = V.run_page_requests(_injected(spark, sf), V.with_scan_ids(_requests(spark, sf)))
+    return runs.current_runs(materialize(events, "events")).select(
+        "url", "status", "pages_scanned", "total_issues", "error"
+    )

@@ -236,3 +236,12 @@ def line_colors(lineitem: DataFrame) -> DataFrame:
         "concat('#', lpad(lower(hex(l_partkey * 31 % 256)), 2, '0'), lpad(lower(hex(l_suppkey * 17 % 256)), 2, '0'), "
         "lpad(lower(hex(l_orderkey * 7 % 256)), 2, '0')) AS bg",
     )
+
+
+def page_requests(pages: DataFrame) -> DataFrame:
+    """A scan request for every page, an invalid one and one for a page that does not exist."""
+    at = "timestamp_seconds(1700000000 + page_id)"
+    return pages.selectExpr(
+        "explode(array(url, concat('ftp://nowhere.test/', page_id), concat('http://nowhere.test/', page_id))) AS url",
+        f"{at} AS requested_at",
+    )

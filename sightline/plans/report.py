@@ -1,6 +1,7 @@
 """Reports as tables: overview, details, headers, console lines, and report files.
 
-All take the output of ``scan_pages``.
+All take the output of ``scan_pages``. A sorted report reads its input twice (once to find the ranges), and
+several reports read it several times: keep the scan with ``materialize`` first.
 """
 
 from __future__ import annotations

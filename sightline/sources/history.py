@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sightline.session import materialize
+
 SCANS = "site string, url string, issues_json string, ts bigint"
 ISSUES = (
     "array<struct<code:string,message:string,context:string,analyzer:string,severity:string,"
@@ -30,9 +32,11 @@ def append_scan_results(rows: DataFrame, path: str) -> None:
     """Append history rows.
 
     Range partitioning by site and page keeps the files of small sites together and spreads a big
-    site over many tasks.
+    site over many tasks. The rows are written out first, as finding the ranges reads them one more
+    time and the scan behind them should not run twice.
     """
-    rows.repartitionByRange("site", "url").write.mode("append").partitionBy("site").parquet(path)
+    stored = materialize(rows, "scans")
+    stored.repartitionByRange("site", "url").write.mode("append").partitionBy("site").parquet(path)
 
 
 def read_scan_history(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
