@@ -577,6 +577,11 @@ SELECT url, true AS valid, 36 AS id_length FROM pages
 UNION ALL SELECT 'ftp://nowhere.test/' || page_id, false, 36 FROM pages
 UNION ALL SELECT 'http://nowhere.test/' || page_id, true, 36 FROM pages"""
 SQL["request_results"] = WITH_EXPECTED + """
-SELECT url, 'completed' AS status, 1 AS pages_scanned, CAST(total AS INTEGER) AS total_issues, CAST(NULL AS VARCHAR) AS error
-FROM page_counts
+SELECT p.url, 'completed' AS status, 1 AS pages_scanned, CAST(last.total AS INTEGER) AS total_issues, CAST(NULL AS VARCHAR) AS error
+FROM page_counts p JOIN (SELECT split_part(url, '#', 1) AS address, arg_max(total, page_id) AS total
+                         FROM page_counts GROUP BY 1) last ON last.address = split_part(p.url, '#', 1)
 UNION ALL SELECT 'http://nowhere.test/' || page_id, 'failed', 0, 0, 'page not found' FROM pages"""
+SQL["site_request_results"] = VISITS + """
+SELECT min(CASE WHEN level = 0 AND rank = 1 THEN v.url END) AS url, 'completed' AS status,
+       CAST(count(*) AS INTEGER) AS pages_scanned, CAST(count(x.url) AS INTEGER) AS total_issues
+FROM visits v LEFT JOIN (SELECT url FROM node_url WHERE i % 3 = 0) x ON x.url = v.url AND outcome = 'ok' GROUP BY site"""

@@ -626,3 +626,14 @@ def request_results(spark, sf):
     return runs.current_runs(materialize(events, "events")).select(
         "url", "status", "pages_scanned", "total_issues", "error"
     )
+
+
+@query
+def site_request_results(spark, sf):
+    """The final state of a run per requested site of the linked snapshot."""
+    graph = _graph(spark, sf)
+    rules = robots.choose_group(robots.parse_robots(corpora.robots_files(graph)), AGENT)
+    listed = robots.parse_sitemap(corpora.sitemap_files(graph))
+    asked = V.with_scan_ids(corpora.graph_seeds(graph).selectExpr("url", "timestamp_seconds(1700000000) AS requested_at"))
+    events = V.run_site_requests(graph, asked, max_pages=40, robots=rules, sitemap=listed)
+    return runs.current_runs(events).select("url", "status", "pages_scanned", "total_issues")

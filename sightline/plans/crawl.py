@@ -8,6 +8,8 @@ shared scratch folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sightline import vocab
@@ -50,12 +52,14 @@ def crawl(
     robots: DataFrame | None = None,
     sitemap: DataFrame | None = None,
     keep_fragment: bool = False,
+    on_level: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
     """Addresses visited per site (``site, url, rank, level, outcome``), at most ``max_pages`` each.
 
     ``seeds`` has one start address per site (``site, url``); ``robots`` the chosen rules
     (``site, disallow``); ``sitemap`` locations (``site, pos, loc``). The outcome of a visit is ``ok``,
-    ``blocked`` or ``failed``; all three count.
+    ``blocked`` or ``failed``; all three count. ``on_level`` is told the level and the number of
+    addresses visited so far.
     """
     spark = pages.sparkSession
     index = materialize(link_index(pages, seeds, keep_fragment=keep_fragment), "links")
@@ -75,6 +79,8 @@ def crawl(
         visited = spark.read.parquet(store)
         if fresh.isEmpty():
             break
+        if on_level:
+            on_level(level, visited.count())
         candidates = fresh.where("outcome = 'ok'").select(
             "site", F.col("rank").alias("parent"), F.posexplode("targets").alias("pos", "url")
         )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.functions.urls import valid_scan_url, without_fragment
+from sightline.functions.urls import netloc, valid_scan_url, without_fragment
 from sightline.operators.rules import RuleSet
+from sightline.plans.crawl import crawl, scan_visits
 from sightline.plans.scan import scan_pages
 from sightline.sources.runs import EVENTS
+from sightline.vocab import CRAWL_MAX_PAGES
 
 FIELDS = {
     "url": "string", "pages_scanned": "int", "total_issues": "int", "started_at": "timestamp",
@@ -32,22 +36,50 @@ def _event(status: str, at: str, **fields: str) -> str:
     return f"struct({at} AS event_time, '{status}' AS status, {values})"
 
 
-def run_page_requests(pages: DataFrame, requests: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+def run_page_requests(
+    pages: DataFrame, requests: DataFrame, rules: RuleSet | None = None, exclude: Iterable[str] = ()
+) -> DataFrame:
     """Run every valid request for a single page against the snapshot; returns the event log of the runs.
 
     A request for a page the snapshot lacks fails. Rejected requests leave no events. Issues are counted
     where the pages are read; only addresses and counts are joined to the requests.
     """
     accepted = requests.where("valid").withColumn("address", F.expr(without_fragment("url")))
-    scanned = scan_pages(pages, rules=rules, markup=False)
+    scanned = scan_pages(pages, rules=rules, exclude=exclude, markup=False)
     counted = scanned.groupBy(F.expr(without_fragment("url")).alias("address")).agg(
         F.max_by("total", "page_id").alias("found")
     )
-    joined = accepted.join(counted, "address", "left")
+    return _run_events(accepted.join(counted.withColumn("pages", F.lit(1)), "address", "left"))
+
+
+def run_site_requests(
+    pages: DataFrame,
+    requests: DataFrame,
+    *,
+    max_pages: int = CRAWL_MAX_PAGES,
+    robots: DataFrame | None = None,
+    sitemap: DataFrame | None = None,
+    rules: RuleSet | None = None,
+) -> DataFrame:
+    """Run every valid request for a whole site: crawl from the requested address, scan what was fetched.
+
+    Several requests for one site share the crawl from the first of them. Returns the event log.
+    """
+    accepted = requests.where("valid").withColumn("site", F.expr(netloc("url")))
+    seeds = accepted.groupBy("site").agg(F.min_by("url", F.struct("requested_at", "url")).alias("url"))
+    visits = crawl(pages, seeds, max_pages=max_pages, robots=robots, sitemap=sitemap)
+    counted = scan_visits(pages, visits, rules).groupBy("site").agg(
+        F.sum("total").alias("found"), F.count("*").alias("pages")
+    )
+    return _run_events(accepted.join(counted, "site", "left"))
+
+
+def _run_events(joined: DataFrame) -> DataFrame:
+    """The events of runs that found ``found`` issues on ``pages`` pages, or nothing at all."""
     start, end = "requested_at + INTERVAL 1 SECOND", "requested_at + INTERVAL 2 SECONDS"
     done = (
         f"CASE WHEN found IS NULL THEN {_event('failed', end, completed_at=end, error=repr('page not found'))} "
-        f"ELSE {_event('completed', end, completed_at=end, pages_scanned='1', total_issues='found')} END"
+        f"ELSE {_event('completed', end, completed_at=end, pages_scanned='pages', total_issues='found')} END"
     )
     events = f"array({_event('pending', 'requested_at', url='url')}, {_event('running', start, started_at=start)}, {done})"
     names = [field.split()[0] for field in EVENTS.split(", ")]
