@@ -525,7 +525,7 @@ FROM edited LEFT JOIN lists USING (page_id)"""
 LOG = """
 WITH RECURSIVE log AS (
   SELECT *, row_number() OVER (PARTITION BY host ORDER BY t, id) AS n FROM (
-    SELECT user_id AS host, event_id AS id, CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) / 1000000 / 100000 AS t,
+    SELECT user_id AS host, event_id AS id, CAST((epoch_us(ts) - 1704067200000000) // 97656250 AS DOUBLE) / 1024 AS t,
            value / 20 AS response_time, event_type = 'error' AS is_error FROM events))
 """
 SQL["rate_grants"] = LOG + """,

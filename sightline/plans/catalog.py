@@ -505,8 +505,11 @@ def suggestion_prompts(spark, sf):
 # -- request logs -------------------------------------------------------------------------------------
 
 
+TICK_MICROS = 97_656_250  # a month of events in under half a minute
+
+
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    return L.request_log(_table(spark, sf, "events"), 100_000)
+    return L.request_log(_table(spark, sf, "events"), TICK_MICROS)
 
 
 @query
@@ -568,7 +571,7 @@ def _page_stream(spark: SparkSession, sf: str) -> DataFrame:
 def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = _table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return L.request_log(events, 100_000)
+    return L.request_log(events, TICK_MICROS)
 
 
 @query
