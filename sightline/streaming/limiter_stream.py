@@ -1,4 +1,9 @@
-"""Request limiters over live logs: one small state per host."""
+"""Request limiters over live logs: one small state per host.
+
+A host's requests of one micro-batch are handled in one task, so the trigger's file or offset limit bounds
+what a busy host brings at a time. Backlogs are better worked off with the batch functions, which cut hosts
+into chunks.
+"""
 
 from __future__ import annotations
 
