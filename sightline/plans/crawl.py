@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sightline import vocab
 from sightline.functions.urls import netloc, resolve_url, without_fragment
@@ -76,7 +76,7 @@ def crawl(
         accepted = _accept(candidates, visited, index, robots, max_pages)
         accepted.write.mode("overwrite").parquet(f"{store}/level={level}")
         fresh = spark.read.schema(accepted.schema).parquet(f"{store}/level={level}")
-        visited = spark.read.parquet(store)
+        visited = spark.read.schema(T.StructType([*accepted.schema.fields, T.StructField("level", T.IntegerType())])).parquet(store)
         if fresh.isEmpty():
             break
         if on_level:
@@ -85,7 +85,7 @@ def crawl(
             "site", F.col("rank").alias("parent"), F.posexplode("targets").alias("pos", "url")
         )
         level += 1
-    return visited.select("site", "url", "rank", F.col("level").cast("int").alias("level"), "outcome")
+    return visited.select("site", "url", "rank", "level", "outcome")
 
 
 def _accept(candidates, visited, index, robots, max_pages) -> DataFrame:
