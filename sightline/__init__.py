@@ -1,0 +1,8 @@
+"""Web accessibility analytics on Spark."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions that run in Python workers travel with their job, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
