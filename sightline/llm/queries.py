@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, near_dedup, quality_rules, secret_scan, substring_dedup
+from sightline.llm import decontamination, near_dedup, pii_scan, quality_rules, secret_scan, substring_dedup
 from sightline.llm.tables import read_table
 
 
+def op2_pii_scan(spark, sf_dir):
+    scanned = pii_scan.scanned_documents(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(pii_scan.BASE))
+    return scanned.select(
+        "doc_id", *(_number(kind).alias(f"n_{kind}") for kind in pii_scan.BASE),
+        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
+    )
+
+
+def _number(kind):
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+
+def _listed(spans):
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -26,23 +44,17 @@ def op6_quality_rules(spark, sf_dir):
 def op9_secret_scan(spark, sf_dir):
     scanned = secret_scan.scanned_documents(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(secret_scan.SURE))
-    number = lambda kind: F.coalesce(F.size(F.filter("spans", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
     return scanned.withColumn("spans", F.coalesce("spans", F.array())).select(
-        "doc_id", *(number(kind).alias(f"n_{kind}") for kind in secret_scan.SURE),
+        "doc_id", *(_number(kind).alias(f"n_{kind}") for kind in secret_scan.SURE),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
 
 
-def _listed(spans):
-    """Spans as ``kind:start:end``, comma-joined."""
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-
-
 def op10_substring_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     kept = substring_dedup.without_spans(docs, substring_dedup.repeated_spans(docs))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontamination, op6_quality_rules, op9_secret_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op6_quality_rules, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {}
