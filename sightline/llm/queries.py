@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, near_dedup, pii_scan, quality_rules, secret_scan, substring_dedup
+from sightline.llm import decontamination, near_dedup, pii_scan, quality_rules, secret_scan, sharding, substring_dedup
 from sightline.llm.tables import read_table
 
 
@@ -35,6 +35,13 @@ def op4_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "start", "n_agreeing", "n_compared")
 
 
+def op5_histogram_shards(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sharding.assigned(docs.withColumn("text_crc32", F.crc32("text"))).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judged_documents(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -56,5 +63,5 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op6_quality_rules, op9_secret_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {}
