@@ -5,10 +5,14 @@ are one row from there on. Each class has ``TREES`` orders of ``DEPTH`` MinHash
 first ``START`` values form a region, and those next to each other share the longest common prefix.
 
 1. Neighbours in the first orders are confirmed on their sets and joined to components: nearly all links.
-2. In every order, every region that still holds several components is completed: all its pairs across components
-   are screened by signature and confirmed on sets. Regions adapt their depth: where more than ``MINOR`` classes lie outside
-   the largest component, the region splits by one more value, up to ``DEPTH``; what remains is compared in full, in
-   blocks over many tasks. Nothing is capped or sampled.
+2. In every order, every region that still holds several components is screened: members of the smaller components are held
+   against all members by signature, and components that may be linked are joined to families. Regions adapt their depth:
+   where more than ``MINOR`` classes lie outside the largest component, the region splits by one more value, up to
+   ``DEPTH``; what remains is screened whole.
+3. In every family, all pairs across components are decided on full sets, as products of incidence matrices.
+
+Large regions and families are cut into blocks over many tasks, and a task returns one link for each two components it joins, so
+that no step emits the pairs of a group. Nothing is capped or sampled.
 
 A pair at a similarity of 0.8 shares a region with probability 1 - (1 - 0.8**3)**16 = 0.99999, and more above. Confirmation is
 exact, so there are no false links.
@@ -33,6 +37,8 @@ TREES, DEPTH, START = 16, 8, 3
 FIRST_TREES = 3
 MINOR = 4096
 BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 21
+COLUMNS = 2048
 SCREEN = 0.64
 
 _draw = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, (2, TREES * DEPTH), dtype=np.int64).view(np.uint64)
@@ -57,8 +63,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
     tried = materialize(_neighbours(members.where(F.col("tree") < FIRST_TREES)), "neighbours")
     labels = materialize(components(_confirmed(tried, sets, percent)), "components")
-    more = _across(members, labels, sets.select("node", "signature")).join(tried, ["a", "b"], "left_anti")
-    links = _confirmed(materialize(more, "pairs"), sets, percent)
+    maybe = _across(members, labels, sets.select("node", "signature"))
+    families = materialize(components(labels.toDF("a", "b").unionByName(maybe)), "families")
+    links = _completed(families.withColumnRenamed("component", "family"), labels, sets, percent)
     labels = components(labels.toDF("a", "b").unionByName(links))
     return placed.join(labels, "node", "left").select(
         "doc_id", "n_shingles",
@@ -224,54 +231,141 @@ def _across(members, labels, signatures):
     return found.distinct()
 
 
-def _screened(rows, signatures):
-    """Members outside a region's largest component against all its members, block by block."""
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    probes = F.ceil(F.col("minor") / MINOR).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("probes", probes)
+def _cells(rows, group, blocks, probes):
+    """Rows dealt to cells of ``group``: every row outside the largest component meets every row in some cell."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("probes", probes.cast("int"))
     held = rows.select(
-        "region", F.pmod(F.hash("node"), "blocks").alias("block"),
+        F.col(group).alias("group"), F.pmod(F.hash("node"), "blocks").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("probe"), "node", "component", F.lit(False).alias("minor"),
     )
     asked = rows.where("component != major").select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col(group).alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.hash("node", F.lit(1)), "probes").alias("probe"), "node", "component", F.lit(True).alias("minor"),
     )
+    return held.unionByName(asked)
+
 
-    def screen(batches):
+def _by_cell(cells, data, compare):
+    """Links from ``compare(rows of a cell)``; a task holds one batch and one cell."""
+
+    def run(batches):
         kept = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if kept is not None:
                 table = pa.concat_tables([kept, table])
-            group = [table.column(c).to_numpy() for c in ("region", "block", "probe")]
-            cut = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1 if table.num_rows else np.zeros(0, int)
-            done = int(cut[-1]) if len(cut) else 0
-            yield _pairs(table.slice(0, done), np.append(0, cut))
-            kept = table.slice(done)
-        if kept is not None and kept.num_rows:
-            yield _pairs(kept, np.array([0, kept.num_rows]))
-
-    cells = ["region", "block", "probe"]
-    return (
-        held.unionByName(asked).join(signatures, "node").repartition(*cells).sortWithinPartitions(*cells)
-        .select(*cells, "node", "component", "minor", "signature").mapInArrow(screen, "a long, b long").distinct()
-    )
+            group = [table.column(c).to_numpy() for c in CELL]
+            cuts = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1 if table.num_rows else []
+            cuts = [0, *map(int, cuts)]
+            yield _links(compare, table, cuts)
+            kept = table.slice(cuts[-1])
+        if kept is not None:
+            yield _links(compare, kept, [0, kept.num_rows])
+
+    placed = cells.join(data, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+CELL = ["group", "block", "probe"]
+
 
+def _links(compare, table, cuts):
+    found = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            found += compare(table.slice(lo, hi - lo))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+
+def _split(table):
+    node, part, minor = (table.column(c).to_numpy() for c in ("node", "component", "minor"))
+    return node, part, np.flatnonzero(minor), np.flatnonzero(~minor)
+
+
+def _joining(node, part, ask, own, close):
+    """One of the close pairs for each two components that they join; ``close``: row of ``ask``, row of ``own``."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    x, y = ask[close[0]], own[close[1]]
+    both = np.stack([part[x], part[y]], axis=1)
+    apart = np.flatnonzero(both[:, 0] != both[:, 1])
+    if len(apart):
+        _, first = np.unique(both[apart], axis=0, return_index=True)
+        for k in apart[first]:
+            a, b = root(int(part[x[k]])), root(int(part[y[k]]))
+            if a != b:
+                parent[b] = a
+                out.append((int(node[x[k]]), int(node[y[k]])))
+    return out
+
+
+def _screened(rows, signatures):
+    """Members outside a region's largest component against all its members, by signature."""
 
-def _pairs(table, cuts):
-    out = [np.zeros((0, 2), np.int64)]
-    if table.num_rows:
-        node, part, minor = (table.column(c).to_numpy() for c in ("node", "component", "minor"))
+    def compare(table):
+        node, part, ask, own = _split(table)
         signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            ask = lo + np.flatnonzero(minor[lo:hi])
-            own = lo + np.flatnonzero(~minor[lo:hi])
-            for k in ask:
-                other = own[part[own] != part[k]]
-                close = other[np.mean(signs[other] == signs[k], axis=1) >= SCREEN]
-                if len(close):
-                    pair = np.stack([np.minimum(node[close], node[k]), np.maximum(node[close], node[k])], axis=1)
-                    out.append(pair)
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        found = []
+        for n, k in enumerate(ask):
+            near = np.flatnonzero(part[own] != part[k])
+            near = near[np.mean(signs[own[near]] == signs[k], axis=1) >= SCREEN]
+            found.append(np.stack([np.full(len(near), n), near]))
+        return _joining(node, part, ask, own, np.concatenate(found, axis=1)) if found else []
+
+    return _by_cell(_cells(rows, "region", F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("minor") / MINOR)), signatures, compare)
+
+
+def _completed(families, labels, sets, percent):
+    """Links across the components of each family, decided on full sets."""
+    rows = families.join(labels, "node", "left").select("family", "node", F.coalesce("component", "node").alias("component"))
+    sized = rows.join(sets.select("node", F.octet_length("shingles").alias("held")), "node")
+    parts = sized.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    stats = parts.groupBy("family").agg(
+        F.sum("n").alias("n"), F.sum("held").alias("held"), F.count("*").alias("parts"),
+        F.max(F.struct("n", F.col("component").alias("id"))).alias("most"),
+    ).where("parts > 1").select("family", "n", "held", F.col("most.id").alias("major"), (F.col("n") - F.col("most.n")).alias("minor"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("held") / (8 * BLOCK_SHINGLES)))
+    probes = F.ceil(F.greatest(F.col("minor") / BLOCK_ROWS, F.col("held") / F.col("n") * F.col("minor") / (8 * BLOCK_SHINGLES)))
+
+    def compare(table):
+        node, part, ask, own = _split(table)
+        held = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+        size = np.array([len(h) for h in held])
+        both = _common([held[k] for k in ask], [held[k] for k in own])
+        union = size[ask][:, None] + size[own][None, :] - both
+        return _joining(node, part, ask, own, np.nonzero(100 * both >= percent * union))
+
+    return _by_cell(_cells(rows.join(stats, "family"), "family", blocks, probes), sets.select("node", "shingles"), compare)
+
+
+def _common(left, right):
+    """Sizes of the intersections of every set of ``left`` with every set of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right)]
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    shared = np.intersect1d(*flat)
+    column = []
+    for k in range(2):
+        at = np.minimum(np.searchsorted(shared, flat[k]), max(len(shared) - 1, 0))
+        real = shared[at] == flat[k] if len(shared) else np.zeros(len(flat[k]), bool)
+        at, rows[k] = at[real], rows[k][real]
+        order = np.argsort(at, kind="stable")
+        column.append(at[order])
+        rows[k] = rows[k][order]
+    for lo in range(0, len(shared), COLUMNS):
+        part = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            a, b = np.searchsorted(column[k], (lo, lo + COLUMNS))
+            dense = np.zeros((n, min(COLUMNS, len(shared) - lo)), np.float32)
+            dense[rows[k][a:b], column[k][a:b] - lo] = 1
+            part.append(dense)
+        out += np.rint(part[0] @ part[1].T).astype(np.int64)
+    return out

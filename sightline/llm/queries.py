@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, near_dedup, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup
+from sightline.llm import decontamination, near_dedup, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 from sightline.llm.tables import read_table
 
 
@@ -52,6 +52,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(packing.token_pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark, sf_dir):
     scanned = secret_scan.scanned_documents(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(secret_scan.SURE))
@@ -67,5 +71,5 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op9_secret_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {}
