@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, near_dedup, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, toxicity
+from sightline.llm import decontamination, near_dedup, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, token_files, toxicity
 from sightline.llm.tables import read_table
+from sightline.session import scratch_path
+
+
+def op1_token_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read_tokens(spark, path)
 
 
 def op2_pii_scan(spark, sf_dir):
@@ -71,5 +78,5 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {}
