@@ -216,8 +216,23 @@ FROM pages JOIN (VALUES (15, 2, 0, 2), (16, 2, 2, 2), (17, 2, 0, 2)) t(k, tr, th
 SQL["custom_html_rule"] = """
 SELECT page_id, 'no_tables' AS analyzer, 'HAS_TABLE' AS code, 'Page has a table.' AS message, 'k=' || (page_id % 28) AS context
 FROM pages WHERE page_id % 28 IN (15, 16, 17)"""
-SQL["analyzers"] = """
-SELECT analyzer AS name, count(*) AS issues FROM (""" + WITH_EXPECTED + " SELECT analyzer FROM expected) GROUP BY 1"
+# The rules and their descriptions.
+RULES = """(VALUES
+  ('alt_text', 'Detect missing alt text on images and linked images'),
+  ('form_labels', 'Detect form controls without accessible labels'),
+  ('heading_order', 'Detect heading level jumps that confuse screen readers'),
+  ('contrast', 'Detect low contrast in inline style colors'),
+  ('link_text', 'Detect links missing accessible text'),
+  ('language', 'Detect missing or invalid lang attribute on HTML element'),
+  ('button', 'Detect buttons without accessible names'),
+  ('document_structure', 'Detect document structure issues (missing landmarks, multiple h1, etc.)'),
+  ('table', 'Detect table accessibility issues (missing headers, captions)'),
+  ('aria', 'Detect ARIA usage issues (invalid roles, aria-hidden on focusable)'),
+  ('skip_link', 'Detect missing or broken skip navigation links'),
+  ('media', 'Detect media accessibility issues (missing captions, transcripts)')) AS rules(name, description)"""
+SQL["analyzers"] = f"""
+SELECT name, description, coalesce(issues, 0) AS issues FROM {RULES} LEFT JOIN (
+  SELECT analyzer, count(*) AS issues FROM (""" + WITH_EXPECTED + " SELECT analyzer FROM expected) GROUP BY 1) ON analyzer = name"
 
 # -- injected pages: counts and reports ---------------------------------------------------------
 
@@ -547,6 +562,7 @@ FROM r JOIN (SELECT host, max(n) AS n, count(*) FILTER (WHERE NOT is_error) AS s
                     count(*) FILTER (WHERE is_error) AS error_count,
                     count(*) FILTER (WHERE NOT is_error AND response_time > 5) AS slow_response_count
              FROM log GROUP BY 1) s ON s.host = r.host AND s.n = r.n"""
+SQL["busy_adaptive_rates"] = SQL["adaptive_rates"].replace("user_id AS host", "user_id % 3 AS host")
 SQL["request_stats"] = """
 SELECT user_id AS host, count(*) FILTER (WHERE event_type <> 'error') AS success_count,
        count(*) FILTER (WHERE event_type = 'error') AS error_count,

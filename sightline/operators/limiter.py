@@ -58,15 +58,20 @@ def request_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def _combined(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Combine consecutive steps ``x -> min(max(factor * x, low), high)`` into one per key."""
+def _combined(steps: DataFrame, keys: list[str], order: str, lowest: float, highest: float) -> DataFrame:
+    """Combine consecutive steps ``x -> min(max(factor * x, low), high)`` into one per key.
+
+    Rates stay between ``lowest`` and ``highest``, so a combined step has finite bounds: what it makes of those two. Where
+    they meet, the step is a constant and its factor, which may no longer be a number that can be held, is set to 1.
+    """
     ordered = f"array_sort(collect_list(struct({order} AS at, factor, low, high)))"
     # The bounds of the next step apply to the bounds so far as they do to the rate itself.
     def bound(b: str) -> str:
         return f"least(greatest(s.factor * {b}, s.low), s.high)"
 
-    start = "struct(1D AS factor, double('-Infinity') AS low, double('Infinity') AS high)"
-    fold = f"aggregate({ordered}, {start}, (a, s) -> struct(a.factor * s.factor AS factor, {bound('a.low')} AS low, {bound('a.high')} AS high))"
+    start = f"struct(1D AS factor, {lowest}D AS low, {highest}D AS high)"
+    factor = f"CASE WHEN {bound('a.low')} >= {bound('a.high')} THEN 1D ELSE a.factor * s.factor END"
+    fold = f"aggregate({ordered}, {start}, (a, s) -> struct({factor} AS factor, {bound('a.low')} AS low, {bound('a.high')} AS high))"
     return steps.groupBy(*keys).agg(F.expr(f"{fold} AS step")).select(*keys, "step.*")
 
 
@@ -98,13 +103,14 @@ def adaptive_rates(
         f"CASE WHEN {slower} THEN {lowest}D ELSE double('-Infinity') END AS low",
         f"CASE WHEN NOT ({slower}) AND {faster} THEN {highest}D ELSE double('Infinity') END AS high",
     )
-    by_chunk = _combined(steps.where("factor <> 1"), ["host", "chunk"], "struct(t, id)")
+    reach = min(lowest, initial), max(highest, initial)
+    by_chunk = _combined(steps.where("factor <> 1"), ["host", "chunk"], "struct(t, id)", *reach)
     # Chunks of chunks, so that no list grows with a host's log.
     place = F.row_number().over(Window.partitionBy("host").orderBy("chunk"))
     grouped = by_chunk.withColumn("part", F.shiftright(place, bits)).withColumn("t", F.col("chunk"))
-    by_part = _combined(grouped, ["host", "part"], "t")
-    by_host = _combined(by_part, ["host"], "part")
-    rate = f"least(greatest(coalesce(factor, 1D) * {initial}D, coalesce(low, double('-Infinity'))), coalesce(high, double('Infinity')))"
+    by_part = _combined(grouped, ["host", "part"], "t", *reach)
+    by_host = _combined(by_part, ["host"], "part", *reach)
+    rate = f"least(greatest(coalesce(factor, 1D) * {initial}D, coalesce(low, {reach[0]}D)), coalesce(high, {reach[1]}D))"
     return request_stats(log).join(by_host, "host", "left").selectExpr(
         "host", f"{rate} AS current_rate", "success_count", "error_count", "slow_response_count"
     )

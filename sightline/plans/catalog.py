@@ -146,10 +146,21 @@ def custom_html_rule(spark, sf):
 
 @query
 def analyzers(spark, sf):
-    """Every rule with the number of issues it reports on the injected pages."""
-    counts = scan_issues(_injected(spark, sf)).groupBy("analyzer").agg(F.count("*").alias("issues"))
+    """Every rule with its description and the number of issues it reports on the injected pages."""
+    return _rule_counts(spark, _injected(spark, sf))
+
+
+@query
+def idle_analyzers(spark, sf):
+    """The same over the plain pages, where most rules find nothing."""
+    return _rule_counts(spark, _pages(spark, sf))
+
+
+def _rule_counts(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    counts = scan_issues(pages).groupBy("analyzer").agg(F.count("*").alias("issues"))
     names = R.default_rules().table(spark)
-    return F.broadcast(names).join(counts, names["name"] == counts["analyzer"]).select("name", "issues")
+    joined = names.join(F.broadcast(counts), names["name"] == counts["analyzer"], "left")
+    return joined.select("name", "description", F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
 # -- injected pages: counts -----------------------------------------------------------------------
@@ -526,6 +537,15 @@ def adaptive_rates(spark, sf):
     )
 
 
+@query
+def busy_adaptive_rates(spark, sf):
+    """The same log folded onto three hosts, so that each is cut into many chunks."""
+    log = _log(spark, sf).withColumn("host", F.col("host") % 3)
+    return L.adaptive_rates(log, bits=7).selectExpr(
+        "host", "round(current_rate, 6) AS current_rate", "success_count", "error_count", "slow_response_count"
+    )
+
+
 @query
 def request_stats(spark, sf):
     return L.request_stats(_log(spark, sf))

@@ -20,11 +20,13 @@ FIELDS = {
 
 
 def with_scan_ids(requests: DataFrame) -> DataFrame:
-    """Requests (``url, requested_at``) with ``valid`` and the ``scan_id`` of their run.
+    """Requests (``url, requested_at``, and ``request_key`` where given) with ``valid`` and the ``scan_id`` of their run.
 
-    The id is made from address and time, so that a task that is run again makes the same one.
+    The id is made from address, time and key, so that a task that is run again makes the same one. Only the key tells
+    requests for one address in one moment apart.
     """
-    digest = "md5(concat_ws('|', url, requested_at))"
+    key = ", request_key" if "request_key" in requests.columns else ""
+    digest = f"md5(concat_ws('|', url, requested_at{key}))"
     shape = r"'^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5'"
     return requests.selectExpr(
         "*", f"{valid_scan_url('url')} AS valid", f"regexp_replace({digest}, {shape}) AS scan_id"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sightline.functions.color import DECIMAL
 from sightline.functions.text import lit, strip
 from sightline.functions.urls import path
 
@@ -30,7 +31,8 @@ def parse_robots(files: DataFrame) -> DataFrame:
         ordered = f"array_sort(collect_list(struct(pos, value)) FILTER (WHERE kind = {lit(kind)}))"
         return f"transform({ordered}, x -> x.value)"
 
-    delay = "max_by(try_cast(value AS DOUBLE), pos) FILTER (WHERE kind = 'delay' AND try_cast(value AS DOUBLE) IS NOT NULL)"
+    # The cast alone would take suffixes such as the d of 5d.
+    delay = f"max_by(double(value), pos) FILTER (WHERE kind = 'delay' AND value RLIKE {DECIMAL})"
     return numbered.groupBy("site", "group_no").agg(
         F.expr(f"{values('agent')} AS agents"),
         F.expr(f"{values('disallow')} AS disallow"),

@@ -10,6 +10,7 @@ EVENTS = (
 )
 FIELDS = ("url", "pages_scanned", "total_issues", "started_at", "completed_at", "error")
 DELETED = "deleted"
+LIFE = ("pending", "running", "failed", "completed", DELETED)
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -19,14 +20,20 @@ def append_events(events: DataFrame, path: str) -> None:
 def current_runs(events: DataFrame) -> DataFrame:
     """The state of every run: latest status, and of each field the latest value given.
 
-    Maxima combine before the shuffle, so a run with very many events costs no more than others.
+    Of events of the same time the one further on in a run's life counts. A deleted run is gone for good, whatever is
+    appended later. Maxima combine before the shuffle, so a run with very many events costs no more than others.
     """
+    known = ", ".join(f"'{status}'" for status in LIFE)
+    events = events.withColumn("moment", F.expr(f"struct(event_time, array_position(array({known}), status) AS stage, status)"))
     latest = [
-        F.expr(f"max_by({name}, event_time) FILTER (WHERE {name} IS NOT NULL) AS {name}") for name in FIELDS
+        F.expr(f"max_by({name}, moment) FILTER (WHERE {name} IS NOT NULL) AS {name}") for name in FIELDS
     ]
-    state = events.groupBy("scan_id").agg(F.max_by("status", "event_time").alias("status"), *latest)
+    state = events.groupBy("scan_id").agg(
+        F.max_by("status", "moment").alias("status"),
+        F.bool_or(F.col("status") == DELETED).alias("gone"), *latest,
+    )
     counted = {name: F.coalesce(name, F.lit(0)) for name in ("pages_scanned", "total_issues")}
-    return state.where(F.col("status") != DELETED).withColumns(counted)
+    return state.where("not coalesce(gone, false)").drop("gone").withColumns(counted)
 
 
 def recent_runs(events: DataFrame, limit: int = 10) -> DataFrame:

@@ -1,16 +1,18 @@
 """Scanning pages as they arrive.
 
 All rules are local to a page, so the streaming scan is the batch plan without any state: it can append
-to files exactly once and its tasks share nothing.
+to the history exactly once and its tasks share nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sightline.plans.scan import scan_pages
-from sightline.sources.history import scan_results
+from sightline.sources.history import append_scan_results, scan_results
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -26,12 +28,18 @@ def stream_pages(spark: SparkSession, folder: str, *, glob: str = "*.parquet", f
 def stream_history(pages: DataFrame, path: str, checkpoint: str, ts: int | None = None, **trigger) -> StreamingQuery:
     """Scan a stream of pages and append the results to the history table.
 
-    The file sink commits every micro-batch once, so a restart neither loses nor repeats a page.
+    Every micro-batch is a batch of the store under a name made from the checkpoint and its number, so one that is repeated
+    after a failure replaces itself, and batch jobs may append to the same store.
     """
     rows = scan_results(scan_pages(pages), ts)
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:16]
+
+    def append(batch: DataFrame, number: int) -> None:
+        append_scan_results(batch, path, f"{stream}-{number:010d}")
+
     return (
-        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("site").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -29,7 +29,7 @@ def test_history(spark, pages_of, tmp_path):
     assert [(r.url, r.ts, [i.code for i in r.issues]) for r in own.collect()][0] == ("http://a.test/0", 30, ["IMG_MISSING_ALT"])
     assert own.where("url = 'http://a.test/1'").first().issues == []
     plan = own._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(site" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan  # a site is read from its bucket alone
 
 
 def test_runs(spark, tmp_path):
@@ -136,6 +136,27 @@ def test_adaptive_rates_agree_with_one_request_at_a_time(spark, bits, scale):
         assert abs(got[host][0] - rate) < 1e-9 and list(got[host][1:]) == counts
 
 
+@pytest.mark.parametrize("bits", [1, 10, 16])
+def test_rates_hold_their_bounds_over_many_chunks(spark, bits):
+    from pyspark.sql import functions as F
+
+    size = 150_000 if bits > 1 else 3_000
+    schema = "host long, id long, t double, response_time double, is_error boolean"
+    errors = spark.range(size).select(
+        F.lit(1).cast("long").alias("host"), "id", F.col("id").cast("double").alias("t"), F.lit(0.1).alias("response_time"),
+        F.lit(True).alias("is_error"),
+    )
+    good = [(1, size + k, float(size + k), 0.1, False) for k in range(10)]
+    steady = [(2, k, float(k), 0.1, False) for k in range(4000)] + [(2, 4000 + k, 4000.0 + k, 0.1, True) for k in range(3)]
+    last = L.adaptive_rates(errors, bits=bits).first().current_rate
+    assert abs(last - 0.1) < 1e-12
+    log = errors.unionByName(spark.createDataFrame(good + steady, schema))
+    got = {r.host: r.current_rate for r in L.adaptive_rates(log, bits=bits).collect()}
+    assert abs(got[1] - 0.11) < 1e-12 and abs(got[2] - 10 * 0.8**3) < 1e-9
+    outside = {r.host: r.current_rate for r in L.adaptive_rates(log, initial=20.0, bits=bits).where("host = 2").collect()}
+    assert abs(outside[2] - 10 * 0.8**3) < 1e-9
+
+
 def test_stats_of_a_short_log(spark):
     rows = [(1, 0, 0.0, 0.1, False), (1, 1, 1.0, 6.0, False), (1, 2, 2.0, 0.0, True)]
     log = spark.createDataFrame(rows, "host long, id long, t double, response_time double, is_error boolean")
@@ -160,6 +181,35 @@ def test_scan_stream_takes_each_page_once_over_restarts(spark, pages_of, tmp_pat
     assert [(r.site, r.ts, len(r.issues)) for r in rows] == [("s2.test", 2, 2), ("s1.test", 1, 1), ("s0.test", 0, 0)]
 
 
+def test_batches_and_streams_share_a_store(spark, pages_of, tmp_path):
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    rows = lambda ts, site: H.scan_results(scan_pages(pages_of(PAGE.format("<img>"), site=site)), ts)
+    H.append_scan_results(rows(1, "http://a.test"), out, "first")
+    H.append_scan_results(rows(1, "http://a.test"), out, "first")
+    pages_of(PAGE.format("<img>"), PAGE.format(""), site="http://b.test").write.parquet(source)
+    run(SS.stream_history(SS.stream_pages(spark, source), out, state, ts=2))
+    H.append_scan_results(rows(3, "http://a.test"), out)
+    assert [(r.site, r.ts) for r in H.read_scan_history(spark, out).collect()] == [
+        ("a.test", 3), ("b.test", 2), ("b.test", 2), ("a.test", 1),
+    ]
+    assert H.read_scan_history(spark, out, "b.test").count() == 2
+
+
+def test_deleted_runs_stay_deleted(spark):
+    from datetime import datetime
+
+    from sightline.sources import runs
+
+    def event(at, status, url=None):
+        return ("x", datetime(2024, 1, 1, 0, 0, at), status, url, None, None, None, None, None)
+
+    made = spark.createDataFrame([event(1, "pending", "u"), event(1, "running"), event(2, "completed")], runs.EVENTS)
+    assert runs.get_run(made, "x").first().status == "completed"
+    assert runs.current_runs(made.where("status <> 'completed'")).first().status == "running"
+    gone = made.unionByName(runs.deletion(made, "x")).unionByName(spark.createDataFrame([event(50, "completed", "v")], runs.EVENTS))
+    assert runs.current_runs(gone).collect() == [] and runs.recent_runs(gone).collect() == []
+
+
 def test_counts_stream_accumulates(spark, pages_of, tmp_path):
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     for n in (1, 2):
