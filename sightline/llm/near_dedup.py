@@ -67,10 +67,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     families = materialize(components(labels.toDF("a", "b").unionByName(maybe)), "families")
     links = _completed(families.withColumnRenamed("component", "family"), labels, sets, percent)
     labels = components(labels.toDF("a", "b").unionByName(links))
-    return placed.join(labels, "node", "left").select(
-        "doc_id", "n_shingles",
-        F.coalesce("component", "node", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "node", "doc_id"), F.lit(True)).alias("kept"),
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return placed.join(labels, "node", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)),
     )
 
 
