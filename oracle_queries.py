@@ -233,6 +233,9 @@ RULES = """(VALUES
 SQL["analyzers"] = f"""
 SELECT name, description, coalesce(issues, 0) AS issues FROM {RULES} LEFT JOIN (
   SELECT analyzer, count(*) AS issues FROM (""" + WITH_EXPECTED + " SELECT analyzer FROM expected) GROUP BY 1) ON analyzer = name"
+SQL["idle_analyzers"] = f"""
+SELECT name, description, CASE WHEN name = 'document_structure' THEN n ELSE 0 END AS issues
+FROM {RULES}, (SELECT count(*) AS n FROM pages WHERE html NOT LIKE '%<main%')"""
 
 # -- injected pages: counts and reports ---------------------------------------------------------
 
@@ -422,6 +425,7 @@ visits AS (
   QUALIFY rank <= 40)
 """
 SQL["crawl_site"] = VISITS + "SELECT * FROM visits"
+SQL["crawl_all"] = VISITS.replace("QUALIFY rank <= 40", "") + "SELECT * FROM visits"
 SQL["crawl_progress"] = VISITS + """
 SELECT site, level, visited, CAST(sum(visited) OVER (PARTITION BY site ORDER BY level) AS BIGINT) AS scanned
 FROM (SELECT site, level, count(*) AS visited FROM visits GROUP BY ALL)"""

@@ -387,6 +387,24 @@ def page_issues(doms: DataFrame, rules: RuleSet | None = None, exclude: Iterable
     return shared.selectExpr(*keys, f"cast(array_sort(concat({found})) AS {ISSUE_TYPE}) AS issues")
 
 
+def page_totals(doms: DataFrame, rules: RuleSet | None = None, exclude: Iterable[str] = ()) -> DataFrame:
+    """One row per page with the number of issues found, ``total`` and by severity.
+
+    The severity of a check is known when the plan is made, so lists are only measured: no message or context is put
+    together and nothing is sorted.
+    """
+    known = {row[0]: row[1] for row in vocab.SEVERITY_ROWS}
+    sizes: dict[str, list[str]] = {name: [] for name in vocab.SEVERITIES}
+    for rule in (rules or default_rules()).active(exclude):
+        for check in rule.checks:
+            sizes[known.get(check.code, vocab.MINOR)].append(f"size({check.found})")
+    keys = [name for name in doms.columns if name not in ("dom", "prolog", "parse_error")]
+    marked = doms.selectExpr(*keys, "dom", f"{MARKED} AS marked")
+    shared = marked.selectExpr(*keys, "dom", "marked", *[f"{made} AS {name}" for name, made in SHARED.items()])
+    counted = shared.selectExpr(*keys, *[f"{' + '.join(['0', *found])} AS {name}" for name, found in sizes.items()])
+    return counted.selectExpr(*keys, f"{' + '.join(vocab.SEVERITIES)} AS total", *vocab.SEVERITIES)
+
+
 def issue_rows(pages: DataFrame) -> DataFrame:
     """One row per issue of the output of ``page_issues``."""
     keys = [name for name in pages.columns if name not in ("issues", "parse_error")]

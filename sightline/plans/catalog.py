@@ -379,11 +379,11 @@ def sitemap_urls(spark, sf):
     return robots.parse_sitemap(corpora.customer_sitemaps(_table(spark, sf, "customer"))).select("site", "pos", "loc")
 
 
-def _crawl(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _crawl(spark: SparkSession, sf: str, max_pages: int | None = 40) -> tuple[DataFrame, DataFrame]:
     graph = _graph(spark, sf)
     rules = robots.choose_group(robots.parse_robots(corpora.robots_files(graph)), AGENT)
     listed = robots.parse_sitemap(corpora.sitemap_files(graph))
-    visits = G.crawl(graph, corpora.graph_seeds(graph), max_pages=40, robots=rules, sitemap=listed)
+    visits = G.crawl(graph, corpora.graph_seeds(graph), max_pages=max_pages, robots=rules, sitemap=listed)
     return graph, visits
 
 
@@ -392,6 +392,12 @@ def crawl_site(spark, sf):
     return _crawl(spark, sf)[1]
 
 
+@query
+def crawl_all(spark, sf):
+    """The same crawl to its end."""
+    return _crawl(spark, sf, None)[1]
+
+
 @query
 def crawl_basic(spark, sf):
     graph = _graph(spark, sf)

@@ -2,7 +2,7 @@
 
 The crawl visits what a first-in-first-out crawler would: the start page, the sitemap, then links in the
 order their pages were visited. Each level of the search is one set of joins; only the visited
-addresses, never more than ``max_pages`` per site, pass from level to level, through files in the
+addresses, never more than ``max_pages`` per site where that is set, pass from level to level, through files in the
 shared scratch folder.
 """
 
@@ -22,6 +22,11 @@ from sightline.sources.pages import with_site
 from sightline.sources.robots import is_blocked
 
 
+# Up to here Spark limits the rows of a group before they are shuffled.
+GROUP_LIMIT = 1000
+CHUNK_BITS = 16
+
+
 def link_index(pages: DataFrame, sites: DataFrame, *, keep_fragment: bool = False) -> DataFrame:
     """Same-site link targets of every page of the given sites, one row per fetched address.
 
@@ -48,13 +53,14 @@ def crawl(
     pages: DataFrame,
     seeds: DataFrame,
     *,
-    max_pages: int = vocab.CRAWL_MAX_PAGES,
+    max_pages: int | None = vocab.CRAWL_MAX_PAGES,
     robots: DataFrame | None = None,
     sitemap: DataFrame | None = None,
     keep_fragment: bool = False,
     on_level: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
-    """Addresses visited per site (``site, url, rank, level, outcome``), at most ``max_pages`` each.
+    """Addresses visited per site (``site, url, rank, level, outcome``), at most ``max_pages`` each, all that can be reached
+    if it is None.
 
     ``seeds`` has one start address per site (``site, url``); ``robots`` the chosen rules
     (``site, disallow``); ``sitemap`` locations (``site, pos, loc``). The outcome of a visit is ``ok``,
@@ -88,6 +94,19 @@ def crawl(
     return visited.select("site", "url", "rank", "level", "outcome")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Numbers the rows of each site in visiting order, however many they are, in chunks of neighbouring rows."""
+    order = ["site", "place.parent", "place.pos"]
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = materialize(laid.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "frontier")
+    sizes = held.groupBy("site", "chunk").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("site").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("site", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("site", "chunk").orderBy("place.parent", "place.pos")
+    numbered = held.withColumn("in_chunk", F.row_number().over(inside)).join(base, ["site", "chunk"])
+    return numbered.withColumn("row", F.col("base") + F.col("in_chunk")).drop("chunk", "base", "in_chunk")
+
+
 def _accept(candidates, visited, index, robots, max_pages) -> DataFrame:
     """The candidates that are visited next, with rank, outcome and links."""
     first = candidates.groupBy("site", "url").agg(F.expr("min(struct(parent, pos)) AS place"))
@@ -96,17 +115,25 @@ def _accept(candidates, visited, index, robots, max_pages) -> DataFrame:
     else:
         counts = visited.groupBy("site").agg(F.count("*").alias("seen"))
         unseen = first.join(visited.select("site", "url"), ["site", "url"], "left_anti").join(counts, "site")
-    # The limit on the row number lets every task drop what cannot be visited before the shuffle.
-    in_site = Window.partitionBy("site").orderBy("place.parent", "place.pos")
-    ranked = unseen.withColumn("row", F.row_number().over(in_site)).where(f"row <= {max_pages}")
-    taken = ranked.withColumn("rank", F.expr("cast(seen + row AS BIGINT)")).where(f"rank <= {max_pages}")
+    if max_pages is not None and max_pages <= GROUP_LIMIT:
+        # The limit on the row number lets every task drop what cannot be visited before the shuffle.
+        in_site = Window.partitionBy("site").orderBy("place.parent", "place.pos")
+        ranked = unseen.withColumn("row", F.row_number().over(in_site)).where(f"row <= {max_pages}")
+    else:
+        ranked = _numbered(unseen)
+    taken = ranked.withColumn("rank", F.expr("cast(seen + row AS BIGINT)"))
+    if max_pages is not None:
+        taken = taken.where(f"rank <= {max_pages}")
     if robots is None:
         ruled = taken.withColumn("blocked", F.lit(False))
     else:
         ruled = taken.join(robots.select("site", "disallow"), "site", "left").withColumn(
             "blocked", F.expr(is_blocked("url", "disallow"))
         )
-    fetched = ruled.withColumn("address", F.expr(without_fragment("url"))).join(index, "address", "left")
+    asked = ruled.withColumn("address", F.expr(without_fragment("url")))
+    # The small frontier meets the index in an inner join, in which it may be broadcast; the index stays where it is then.
+    known = index.join(asked.select("address").distinct(), "address")
+    fetched = asked.join(known, "address", "left")
     return fetched.selectExpr(
         "site", "url", "rank",
         "CASE WHEN blocked THEN 'blocked' WHEN coalesce(ok, false) THEN 'ok' ELSE 'failed' END AS outcome",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sightline.functions.urls import netloc, valid_scan_url, without_fragment
 from sightline.operators.rules import RuleSet
 from sightline.plans.crawl import crawl, scan_visits
-from sightline.plans.scan import scan_pages
+from sightline.plans.scan import count_pages
 from sightline.sources.runs import EVENTS
 from sightline.vocab import CRAWL_MAX_PAGES
 
@@ -47,7 +47,7 @@ def run_page_requests(
     where the pages are read; only addresses and counts are joined to the requests.
     """
     accepted = requests.where("valid").withColumn("address", F.expr(without_fragment("url")))
-    scanned = scan_pages(pages, rules=rules, exclude=exclude, markup=False)
+    scanned = count_pages(pages, rules=rules, exclude=exclude)
     counted = scanned.groupBy(F.expr(without_fragment("url")).alias("address")).agg(
         F.max_by("total", "page_id").alias("found")
     )

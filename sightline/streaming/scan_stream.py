@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sightline.plans.scan import scan_pages
+from sightline.plans.scan import count_pages, scan_pages
 from sightline.sources.history import append_scan_results, scan_results
 
 PAGES = "page_id bigint, url string, html string"
@@ -55,7 +55,7 @@ def first_sightings(pages: DataFrame, event_time: str | None = None, delay: str
 
 def running_severity_counts(pages: DataFrame) -> DataFrame:
     """Pages and issues by severity per site, growing as pages arrive (update or complete mode)."""
-    scanned = scan_pages(pages, markup=False)
+    scanned = count_pages(pages)
     return scanned.groupBy("site").agg(
         F.count("*").alias("pages"),
         F.sum("total").alias("issues"),

@@ -8,15 +8,11 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import compare
+from oracle_queries import SQL
+from sightline.plans.catalog import QUERIES
 from tests.conftest import SMALL
 
-CHOSEN = [
-    "page_elements_by_tag", "page_links", "elements_by_class", "injected_issues", "legacy_rules", "issues_excluding",
-    "table_contents", "analyzers", "enriched_issues", "issues_sorted", "page_site_totals", "issue_details",
-    "nested_report", "report_lines", "parsed_colors", "contrast_ratios", "resolved_links", "robots_rules",
-    "robots_choice", "blocked_urls", "sitemap_urls", "crawl_site", "scan_history", "scan_runs", "applied_fixes",
-    "alt_fixes_from_parts", "suggestion_prompts", "rate_grants", "adaptive_rates", "fetch_results", "request_results",
-]
+CHOSEN = sorted(name for name in QUERIES if name in SQL)
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +31,8 @@ def test_query_agrees_with_its_sql(spark, database, name):
 
 def test_registration():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"fixed_pages"}
+    assert set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(oracle_sql()) == {"fixed_pages"}
     codes = {row.split("_", 1)[1] for row in queries() if row.startswith("rule_")}
     assert len(codes) == 22
 
