@@ -96,7 +96,7 @@ def test_quality_counts_and_verdicts(docs, rows, clashing):
 
 
 def test_hosts_are_shrunk_towards_all(spark):
-    good, bad = " ".join(prose(1, 40)), " ".join(prose(2, 12)) + " #" * 9
+    good, bad = " ".join(prose(1, 40)), " ".join(w + "###" for w in prose(2, 12))
     rows = [(k, bad if h == "bad" or (h == "mid" and k % 3 == 0) else good, "", h, 0) for k, h in enumerate(
         ["bad"] * 60 + ["tiny"] * 1 + ["fine"] * 200 + ["mid"] * 60)]
     rows[60] = (60, bad, "", "tiny", 0)
