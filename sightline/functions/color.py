@@ -116,20 +116,26 @@ def relative_luminance(color: str) -> str:
     ))
 
 
+def luminance_ratio(first: str, second: str) -> str:
+    """Contrast of two brightnesses; where many colours are compared, have these computed in a projection of their own."""
+    a, b = f"({first} + 0.05D)", f"({second} + 0.05D)"
+    return f"CASE WHEN {a} >= {b} THEN {a} / {b} ELSE {b} / {a} END"
+
+
 def contrast_ratio(first: str, second: str) -> str:
     """Contrast of two colours, 1 to 21; null where either cannot be read."""
-    a, b = f"({relative_luminance(first)} + 0.05D)", f"({relative_luminance(second)} + 0.05D)"
-    return f"CASE WHEN {a} >= {b} THEN {a} / {b} ELSE {b} / {a} END"
+    return luminance_ratio(relative_luminance(first), relative_luminance(second))
+
+
+def foreground_on(luminance: str) -> str:
+    """Black where it is readable on a background of this brightness, white otherwise."""
+    readable = f"({luminance_ratio('0D', luminance)}) >= {vocab.CONTRAST_THRESHOLDS['AA']}D"
+    return f"CASE WHEN {readable} THEN '#000000' WHEN NOT {readable} THEN '#ffffff' END"
 
 
 def recommend_foreground(background: str) -> str:
     """Black where it is readable on ``background``, white otherwise."""
-    def chosen(color: str) -> str:
-        black = contrast_ratio("'#000000'", color)
-        readable = f"({black}) >= {vocab.CONTRAST_THRESHOLDS['AA']}D"
-        return f"CASE WHEN {readable} THEN '#000000' WHEN NOT {readable} THEN '#ffffff' END"
-
-    return _named(background, chosen)
+    return _named(background, lambda color: foreground_on(relative_luminance(color)))
 
 
 def style_declarations(style: str) -> str:

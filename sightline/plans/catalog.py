@@ -302,11 +302,13 @@ def parsed_fix_colors(spark, sf):
 
 @query
 def contrast_ratios(spark, sf):
-    return _line_colors(spark, sf).selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fg", "bg",
-        f"round({C.contrast_ratio('fg', 'bg')}, 6) AS ratio",
-        f"round({C.relative_luminance('fg')}, 6) AS luminance",
-        f"{C.recommend_foreground('bg')} AS recommended",
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fg", "bg"]
+    bright = _line_colors(spark, sf).selectExpr(
+        *keys, f"{C.relative_luminance('fg')} AS fg_light", f"{C.relative_luminance('bg')} AS bg_light"
+    )
+    return bright.selectExpr(
+        *keys, f"round({C.luminance_ratio('fg_light', 'bg_light')}, 6) AS ratio", "round(fg_light, 6) AS luminance",
+        f"{C.foreground_on('bg_light')} AS recommended",
     )
 
 
