@@ -59,7 +59,8 @@ class _Batch:
             page = Page("")
             self.errors.append(f"{type(problem).__name__}: {problem}")
         else:
-            self.errors.append(None)
+            lost = page.left_out
+            self.errors.append(f"the page ends inside a tag; its last {lost} characters are left out" if lost else None)
         count = len(page.tag)
         cols = self.cols
         cols["node_id"].extend(range(count))

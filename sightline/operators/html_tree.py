@@ -123,6 +123,7 @@ class Page:
         self._counts: dict[str, int] = {}
         self._containers: list[int] = []
         self._unseen = 0
+        self.left_out = 0
         self._root = self._head = self._body = -1
         self._read(html)
         while self._open:
@@ -273,7 +274,8 @@ class Page:
             kind = match.lastgroup
             if kind == "attrs":
                 if html[position - 1] != ">":
-                    return  # the page ends inside a tag
+                    self.left_out = size - match.start()  # the page ends inside a tag
+                    return
                 tag = match["start"].lower()
                 attrs, closed = attributes(match["attrs"]) if match["attrs"] else ({}, False)
                 self._start(tag, attrs)

@@ -414,13 +414,17 @@ def issue_rows(pages: DataFrame) -> DataFrame:
 
 
 def html_rule(
-    pages: DataFrame, name: str, analyze: Callable[[str], list[dict]], keys: Iterable[str] = ("page_id", "url")
+    pages: DataFrame, name: str, analyze: Callable[[str], list[dict]], keys: Iterable[str] = ("page_id", "url"),
+    errors: bool = False,
 ) -> DataFrame:
-    """Issues of a user's own Python check over raw markup; a page it fails on contributes none."""
+    """Issues of a user's own Python check over raw markup; a page it fails on contributes none.
+
+    With ``errors`` such a page has a row without a code, and its failure in a column ``error``.
+    """
     names = list(keys)
     fields = [pages.schema[key] for key in names]
     schema = T.StructType(fields + [
-        T.StructField(column, T.StringType()) for column in ("analyzer", "code", "message", "context")
+        T.StructField(column, T.StringType()) for column in ("analyzer", "code", "message", "context", *(["error"] if errors else []))
     ])
 
     def run(batches):
@@ -429,12 +433,14 @@ def html_rule(
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
+                key, none = [record[k] for k in names], [None] if errors else []
                 try:
                     found = list(analyze(record["html"]))
-                except Exception:
+                except Exception as problem:
+                    if errors:
+                        rows.append([*key, name, None, None, None, f"{type(problem).__name__}: {problem}"])
                     continue
-                key = [record[k] for k in names]
-                rows += [[*key, name, i.get("code"), i.get("message"), i.get("context")] for i in found]
+                rows += [[*key, name, i.get("code"), i.get("message"), i.get("context"), *none] for i in found]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return pages.select(*names, "html").mapInPandas(run, schema)

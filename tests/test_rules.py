@@ -204,3 +204,18 @@ def test_checking_needs_no_shuffle_and_one_python_step(pages_of, spark):
     wide = pages.repartition(64)
     plan = with_dom(wide)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the caller's own
+
+
+def test_lost_markup_and_failing_rules_are_visible(spark, pages_of):
+    pages = pages_of("<p>a</p><img src='x", "<p>whole</p>")
+    errors = {r.page_id: r.parse_error for r in with_dom(pages).select("page_id", "parse_error").collect()}
+    assert errors == {0: "the page ends inside a tag; its last 11 characters are left out", 1: None}
+
+    def analyze(html):
+        if "whole" in html:
+            raise ValueError("no")
+        return [{"code": "X", "message": "m", "context": None}]
+
+    got = R.html_rule(pages, "own", analyze, errors=True).orderBy("page_id").collect()
+    assert [(r.code, r.error) for r in got] == [("X", None), (None, "ValueError: no")]
+    assert [r.code for r in R.html_rule(pages, "own", analyze).collect()] == ["X"]
