@@ -11,6 +11,7 @@ first ``START`` values form a region, and those next to each other share the lon
    ``DEPTH``; what remains is screened whole.
 3. In every family, all pairs across components are decided on full sets, as products of incidence matrices.
 
+Joins of tables that grow with the corpus are merge joins at every size; none of them has a bound for a broadcast.
 Large regions and families are cut into blocks over many tasks, and a task returns one link for each two components it joins, so
 that no step emits the pairs of a group. Nothing is capped or sampled.
 
@@ -52,14 +53,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     scanned = materialize(_signatures(plain, shingle), "signatures")
     full = scanned.where("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    placed = scanned.join(classes, ["s1", "s2", "n_shingles"], "left")
+    placed = scanned.join(classes.hint("merge"), ["s1", "s2", "n_shingles"], "left")
     heads = placed.where("doc_id = node").select("node", "signature")
 
     members = materialize(_members(heads), "forest")
     nodes = members.select("node").distinct()
     sets = materialize(
-        _sets(plain.join(nodes, plain.doc_id == nodes.node, "left_semi"), shingle)
-        .join(heads.groupBy("node").agg(F.first("signature").alias("signature")), "node"), "shingle-sets",
+        _sets(plain.join(nodes.hint("merge"), plain.doc_id == nodes.node, "left_semi"), shingle)
+        .join(heads.groupBy("node").agg(F.first("signature").alias("signature")).hint("merge"), "node"), "shingle-sets",
     )
     tried = materialize(_neighbours(members.where(F.col("tree") < FIRST_TREES)), "neighbours")
     labels = materialize(components(_confirmed(tried, sets, percent)), "components")
@@ -68,7 +69,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = _completed(families.withColumnRenamed("component", "family"), labels, sets, percent)
     labels = components(labels.toDF("a", "b").unionByName(links))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return placed.join(labels, "node", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return placed.join(labels.hint("merge"), "node", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)),
     )
 
@@ -77,7 +78,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one with the least id; repeated rows of one id collapse to one row."""
     id_col = options.get("id_col", "doc_id")
     verdicts = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).join(verdicts, F.col(id_col) == F.col("kept_id"), "left_semi")
+    once = docs.where(F.col(id_col).isNotNull()).join(verdicts.hint("merge"), F.col(id_col) == F.col("kept_id"), "left_semi")
     return once.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
@@ -140,7 +141,7 @@ def _members(heads):
     shared = (
         regions.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region")
     )
-    return regions.join(shared, "region").select("tree", "key", "node", "region")
+    return regions.join(shared.hint("merge"), "region").select("tree", "key", "node", "region")
 
 
 def _region(depth):
@@ -204,7 +205,7 @@ def _confirmed(pairs, sets, percent):
                 good[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
 def _across(members, labels, signatures):
@@ -261,7 +262,7 @@ def _by_cell(cells, data, compare):
         if kept is not None:
             yield _links(compare, kept, [0, kept.num_rows])
 
-    placed = cells.join(data, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    placed = cells.join(data.hint("merge"), "node").repartition(*CELL).sortWithinPartitions(*CELL)
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
