@@ -102,13 +102,15 @@ def splitters(keys: DataFrame, total: tuple[int, int], parts: int, slack: float)
     _searched(keys, "key", searches, slack)
     found = []
     for s in searches:
-        if abs(s.best()[1][0] - s.target) <= slack:
+        if abs(s.best()[1][0] - s.target) <= slack or s.below_high[1] - s.below_low[1] <= 1:
             place, below = s.best()
             found.append((place, LEAST, below[1]))
             continue
         # Between s.low and s.high lies one hash, s.low, whose rows alone exceed the tolerance.
         group = keys.where(F.col("key") == s.low).select("id", "size")
-        inner = Search(s.target - s.below_low[0], LEAST, MOST, (0, 0), tuple(b - a for a, b in zip(s.below_low, s.below_high)))
+        least, most = group.agg(F.min("id"), F.max("id")).first()
+        whole = tuple(b - a for a, b in zip(s.below_low, s.below_high))
+        inner = Search(s.target - s.below_low[0], least, most + 1, (0, 0), whole)
         found.append((s.low, group, inner, s.below_low[1]))
     # Splitters within one group are searched together.
     for hashed in {f[0] for f in found if len(f) == 4}:
