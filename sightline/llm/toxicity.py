@@ -156,7 +156,7 @@ def _features(data, offsets, terms, weights, second):
 
 
 def _sampled(labels: DataFrame, parts) -> DataFrame:
-    """At most about ``SAMPLE`` rows of either label from the given parts, by a hash of the id."""
+    """At most about ``SAMPLE`` rows of either label from the given parts, by a hash of the id: few enough to be broadcast."""
     rows = labels.where(part_of(F.col("doc_id")).isin(list(parts)))
     n = dict(rows.groupBy("label").count().collect())
     share = {label: min(1.0, SAMPLE / count) for label, count in n.items()}
@@ -168,11 +168,11 @@ def scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
     plain = id_and_text(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    texts = materialize(plain.join(_sampled(known, LEXICON_PARTS), "doc_id").select("text", "label"), "toxicity-lexicon")
+    texts = materialize(plain.join(F.broadcast(_sampled(known, LEXICON_PARTS)), "doc_id").select("text", "label"), "toxicity-lexicon")
     measured = materialize(text_features(plain, learned_lexicon(texts)), "toxicity-features")
     held_out = F.coalesce(part_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
 
-    train = materialize(measured.join(_sampled(known, TREE_PARTS), "doc_id"), "toxicity-train")
+    train = materialize(measured.join(F.broadcast(_sampled(known, TREE_PARTS)), "doc_id"), "toxicity-train")
     n = dict(train.groupBy("label").count().collect())
     if not n.get(0) or not n.get(1):
         share = F.lit(float(n.get(1, 0)) / max(sum(n.values()), 1))
