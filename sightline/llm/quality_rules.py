@@ -118,4 +118,4 @@ def passing_documents(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col, host_col = (options.pop(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source")))
     numbered = docs.withColumn(row, F.struct(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(host_col).alias("c")))
     kept = judged_documents(numbered, row, text_col, host_col, **options).where("kept").select(F.col("doc_id").alias(row)).distinct()
-    return numbered.join(kept, numbered[row].eqNullSafe(kept[row]), "left_semi").drop(row)
+    return numbered.join(kept.hint("merge"), numbered[row].eqNullSafe(kept[row]), "left_semi").drop(row)
