@@ -80,6 +80,27 @@ def test_blocks_of_a_family_lose_nothing(spark, monkeypatch):
     test_a_large_group_of_near_copies(spark)
 
 
+def test_a_large_sparse_family_keeps_its_links_at_the_threshold(spark, monkeypatch):
+    """Pages at about 0.7 to each other, in pairs at exactly 0.8: no region may be left out for its size."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(near_dedup, "MINOR", 2)
+    monkeypatch.setattr(near_dedup, "FIRST_TREES", 1)
+    draw, base, texts = random.Random(8), [f"word{k}" for k in range(91)], []
+    for n in range(300):
+        places = [k + draw.randrange(2) for k in draw.sample(range(1, 88, 3), 9)]
+        text = list(base)
+        for k in places[:4]:
+            text[k] = f"own{n}at{k}"
+        twin = list(text)
+        for k in places[4:]:
+            twin[k] = f"twin{n}at{k}"
+        texts += [" ".join(text), " ".join(twin)]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA), shingle=2).collect()
+    want = {i: c for i, _, c in plain.classes(list(enumerate(texts)))}
+    assert sum(c < i for i, c in want.items()) >= 300
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_one_document_of_each_group_stays(docs, clashing, rows):
     got = near_dedup.without_near_duplicates(clashing, shingle=2)
     assert got.columns == clashing.columns
