@@ -50,7 +50,8 @@ def op5_histogram_shards(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules.judged_documents(read_table(spark, sf_dir, "documents")).select(
+    # The SQL of this query fixes the limit.
+    return quality_rules.judged_documents(read_table(spark, sf_dir, "documents"), limit=quality_rules.HOST_LIMIT).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
 

@@ -106,6 +106,23 @@ def test_hosts_are_shrunk_towards_all(spark):
     assert made[60].host_rate < 1 and not made[300].host_rejected and made[300].kept
 
 
+def test_host_verdicts_act_on_the_given_documents(spark):
+    judged = quality_rules.judged_documents(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    mild = [r for r in judged if r.mild_failed and not r.base_failed]
+    assert mild and any(not r.kept for r in mild)
+    assert all(r.kept == (not r.base_failed) for r in judged if not r.mild_failed)
+
+
+def test_evenly_spread_junk_goes_and_a_better_host_is_excused(spark):
+    good, bad = " ".join(prose(1, 40)), " ".join(w + "###" for w in prose(2, 12))
+    rows = [(k, bad if k % 10 == 0 else good, "", f"h{k % 7}", 0) for k in range(700)]
+    made = quality_rules.judged_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.kept == (r.doc_id % 10 > 0) for r in made)
+    rows += [(k, bad if k == 1000 else good, "", "fine", 0) for k in range(1000, 1400)]
+    made = {r.doc_id: r for r in quality_rules.judged_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert made[1000].kept and made[1000].mild_failed and not made[0].kept
+
+
 def test_passages_with_replaced_words(spark, docs):
     item = prose(20, 40)
     changed = [w if k % 6 else "zzz" for k, w in enumerate(item)]
