@@ -1,9 +1,10 @@
-"""Token ids in compressed binary files: an adaptive range coder over mixed predictions of order 0 to 2.
+"""Token ids in compressed binary files: an adaptive range coder with escapes from order 2 over order 1 to order 0.
 
 A block holds up to ``BLOCK`` ids and starts from a fresh model, so that blocks are decoded independently; each carries a CRC-32 of
-its ids. For the next id, order 2 and order 1 each predict the id that followed their context last. How far both are to be
-trusted together is learned per pair of confidences, and gives the intervals of "order 2 is right", "order 1 is right" and
-"neither". In the last case order 0 decides: an adaptive distribution over ``CELLS`` ranges of ids, then the place in the range.
+its ids. This is escape coding, not context mixing: no probabilities of the orders are combined. Order 2 and order 1 each offer
+one id, the one that followed their context last, from hashed tables of ``SLOTS2`` and ``SLOTS1`` places. The widths of "order 2 is
+right", "order 1 is right" and "neither" are learned per pair of confidences. In the last case order 0 decides at the level of
+ranges: an adaptive distribution over ``CELLS`` ranges of ids, then the place in the range, all places alike.
 
 Blocks of a segment are coded in lockstep, one numpy lane per block: low and range have 64 bits, 32-bit words are written when
 the range falls below 2**32, and carries run back into the words already written.
