@@ -111,3 +111,29 @@ def counts(text):
         if windows[tuple(w[k : k + 5])] > 1:
             inside[k : k + 5] = [True] * 5
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dups, sum(inside)
+
+
+def passing(rows):
+    """Ids of the (doc_id, text, source) rows that pass the rules: base failures go, and mild ones unless their host fails less than expected."""
+    judged = []
+    for i, text, source in rows:
+        n, chars, symbols, dups, repeats = counts(text)
+        lines = sum(bool(WORD.search(line)) for line in (text or "").split("\n"))
+        base = n < 10 or 100 * repeats > 20 * n
+        mild = 100 * symbols > 10 * chars or 100 * dups > 30 * lines or chars < 2 * n or chars > 20 * n
+        judged.append((i, source, base, mild))
+    docs, failed = Counter(), Counter()
+    for _, source, base, mild in judged:
+        if source is not None:
+            docs[source] += 1
+            failed[source] += base or mild
+    rates = [failed[s] / docs[s] for s in docs]
+    mean = sum(rates) / len(rates) if rates else 0.0
+    spread = sum((r - mean) ** 2 for r in rates) / len(rates) if rates else 0.0
+    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread else 1e6
+    excused = set()
+    for s, n in docs.items():
+        rate = (failed[s] + mean * strength) / (n + strength)
+        if rate + 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 < mean:
+            excused.add(s)
+    return {i for i, source, base, mild in judged if not base and (not mild or source in excused)}
