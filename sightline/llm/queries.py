@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, decontamination, near_dedup, oracle, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, token_files, toxicity
+from sightline.llm import byte_bpe, conversation_repair, decontamination, near_dedup, oracle, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, token_files, toxicity
 from sightline.llm.tables import read_table
 from sightline.session import scratch_path
 
@@ -79,11 +79,23 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    conversations = read_table(spark, sf_dir, "conversations")
+    found = conversation_repair.audits(conversation_repair.repaired(conversation_repair.damaged(conversations)))
+    found = found.withColumnRenamed("conv_id", "found_id")
+    asked = conversations.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return asked.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(read_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup, op12_conversation_repair, op13_byte_bpe)}
 SQL: dict[str, str] = {
     "op3_near_dedup": oracle.OP3,
     "op4_decontamination": oracle.OP4,

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,3 +138,64 @@ def passing(rows):
         if rate + 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 < mean:
             excused.add(s)
     return {i for i, source, base, mild in judged if not base and (not mild or source in excused)}
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired lines) of the (turn, role, text) rows of one conversation, in order."""
+    faults, seen = [], set()
+    for _, role, text in rows:
+        solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+        again = (role, text) in seen
+        seen.add((role, text))
+        faults.append("blank" if not solid else "duplicate" if again else "truncated" if solid[-1] not in ".!?" else "")
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    steps = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    def cheapest(i, state, memo, inserts=0):
+        """(cost, letters, lines) from row ``i`` on; lists of edits in full, without any table."""
+        if (i, state, inserts) not in memo:
+            found = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+            if inserts < 4:
+                for to, role in (("u", "user"), ("a", "assistant")):
+                    if to in steps[state]:
+                        c, e, o = cheapest(i, to, memo, inserts + 1)
+                        found.append((2 + c, "I" + e, (f"{role}:", *o)))
+            if i < len(rows):
+                c, e, o = cheapest(i + 1, state, memo)
+                found.append((3 + c, "D" + e, o))
+                if faults[i] not in ("blank", "duplicate"):
+                    _, role, text = rows[i]
+                    more = faults[i] == "truncated"
+                    if initials[i] in steps[state]:
+                        c, e, o = cheapest(i + 1, steps[state][initials[i]], memo)
+                        found.append((more + c, "K" + e, (f"{role}:{text}", *o)))
+                    for to, name in (("u", "user"), ("a", "assistant")):
+                        if to in steps[state]:
+                            c, e, o = cheapest(i + 1, to, memo)
+                            found.append((2 + more + c, "R" + e, (f"{name}:{text}", *o)))
+            memo[i, state, inserts] = min(found) if found else (10**9, "", ())
+        return memo[i, state, inserts]
+
+    memo: dict = {}
+    for i in range(len(rows), -1, -1):
+        for state in steps:
+            cheapest(i, state, memo)
+    cost, audit, lines = memo[0, "", 0]
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, lines
+
+
+def damaged(rows):
+    """(conv_id, turn, role, text) rows after the planted damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        address = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        kind = zlib.crc32(address.encode()) % 20
+        role, text = role if role is not None else " ", text if text is not None else " "
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
