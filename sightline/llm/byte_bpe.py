@@ -41,7 +41,6 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 APOSTROPHE, BLANK = 0x27, 0x20
 
 _U = np.uint64
-_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def default_path() -> str:
@@ -119,28 +118,6 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) ->
     return at[starts]
 
 
-class PieceBytes:
-    """Pieces of a byte array, read eight bytes at a time."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        self._eights = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
-        self.starts, self.sizes = starts, sizes
-
-    def eight(self, k: int, which: np.ndarray) -> np.ndarray:
-        """Bytes ``8 k`` to ``8 k + 7`` of the pieces ``which``, which must be longer than ``8 k``; zeros beyond their end."""
-        return self._eights[self.starts[which] + 8 * k] & _LOW_BYTES[np.minimum(self.sizes[which] - 8 * k, 8)]
-
-    def hashes(self) -> np.ndarray:
-        out = wa.mixed(self.sizes.astype(np.uint64))
-        which, k = np.arange(len(self.sizes)), 0
-        while len(which):
-            out[which] = wa.mixed(out[which] ^ self.eight(k, which))
-            k += 1
-            which = which[self.sizes[which] > 8 * k]
-        return out
-
-
 class PerfectHash:
     """A minimal perfect hash: ``n`` distinct 64-bit keys to the numbers 0 to ``n - 1``.
 
@@ -223,7 +200,7 @@ class ByteBPE:
         starts = wa.prefix(sizes)[:-1]
         data = np.frombuffer(b"".join(tokens), np.uint8)
         self.longest = int(sizes.max())
-        own = PieceBytes(data, starts, sizes)
+        own = wa.PieceBytes(data, starts, sizes)
         keys = own.hashes()
         self.hash = PerfectHash(keys)
         slots = self.hash.slots(keys)
@@ -244,12 +221,11 @@ class ByteBPE:
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def whole(self, pieces: PieceBytes) -> np.ndarray:
+    def whole(self, pieces: wa.PieceBytes) -> np.ndarray:
         """Tier one: ids of the pieces that are tokens, -1 for the others."""
         out = np.full(len(pieces.sizes), -1, np.int64)
         fits = np.flatnonzero(pieces.sizes <= self.longest)
-        inside = PieceBytes.__new__(PieceBytes)
-        inside._eights, inside.starts, inside.sizes = pieces._eights, pieces.starts[fits], pieces.sizes[fits]
+        inside = pieces.taken(fits)
         slots = self.hash.slots(inside.hashes())
         same = self.slot_size[slots] == inside.sizes
         which, k = np.flatnonzero(same), 0
@@ -266,7 +242,7 @@ class ByteBPE:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         starts = piece_starts(data, offsets, self.classes)
         ends = np.append(starts[1:], len(data))
-        ids = self.whole(PieceBytes(data, starts, ends - starts))
+        ids = self.whole(wa.PieceBytes(data, starts, ends - starts))
         counts = np.ones(len(ids), np.int64)
         missing = np.flatnonzero(ids < 0)
         entries = self._merged(data, starts[missing], ends[missing])

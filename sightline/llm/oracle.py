@@ -158,3 +158,31 @@ best AS (
   FROM agree)
 SELECT doc_id, item_id, "start", n_agreeing::INT AS n_agreeing, n_compared::INT AS n_compared FROM best WHERE 100 * n_agreeing >= 80 * n_compared
 """
+
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+phrases AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3)) AS sizes(size)
+  WHERE i + size - 1 <= len(ws)),
+f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE size > 1 AND a >= 10),
+inner_parts AS (
+  SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS longer FROM candidates WHERE size = 3),
+kept AS (
+  SELECT * FROM candidates ANTI JOIN (SELECT i.lang, i.phrase FROM inner_parts i JOIN candidates c USING (lang, phrase)
+    WHERE 100 * i.longer >= 50 * c.a) USING (lang, phrase)),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (1000000 * c.a * c.a) // (x.a * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

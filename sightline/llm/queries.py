@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, conversation_repair, decontamination, near_dedup, oracle, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, token_files, toxicity
+from sightline.llm import byte_bpe, collocations, conversation_repair, decontamination, near_dedup, oracle, packing, pii_scan, quality_rules, secret_scan, sharding, substring_dedup, token_files, toxicity
 from sightline.llm.tables import read_table
 from sightline.session import scratch_path
 
@@ -79,6 +79,10 @@ def op10_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.top_collocations(collocations.collocations(read_table(spark, sf_dir, "documents")))
+
+
 def op12_conversation_repair(spark, sf_dir):
     conversations = read_table(spark, sf_dir, "conversations")
     found = conversation_repair.audits(conversation_repair.repaired(conversation_repair.damaged(conversations)))
@@ -95,11 +99,12 @@ def op13_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(read_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup, op12_conversation_repair, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii_scan, op3_near_dedup, op4_decontamination, op5_histogram_shards, op6_quality_rules, op7_best_fit_packing, op8_toxicity, op9_secret_scan, op10_substring_dedup, op11_collocations, op12_conversation_repair, op13_byte_bpe)}
 SQL: dict[str, str] = {
     "op3_near_dedup": oracle.OP3,
     "op4_decontamination": oracle.OP4,
     "op6_quality_rules": oracle.OP6,
     "op9_secret_scan": oracle.OP9,
     "op10_substring_dedup": oracle.OP10,
+    "op11_collocations": oracle.OP11,
 }

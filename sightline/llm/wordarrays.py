@@ -11,6 +11,7 @@ kept where equality decides anything across documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ _U = np.uint64
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 WORD_BASES = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 IS_NEWLINE = np.zeros(256, bool)
@@ -206,3 +209,31 @@ def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     steps[at] += 1
     steps[at + size] -= 1
     return np.cumsum(steps[:-1]) > 0
+
+
+class PieceBytes:
+    """Pieces of a byte array, read eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self._eights = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
+        self.starts, self.sizes = starts, sizes
+
+    def eight(self, k: int, which: np.ndarray) -> np.ndarray:
+        """Bytes ``8 k`` to ``8 k + 7`` of the pieces ``which``, which must be longer than ``8 k``; zeros beyond their end."""
+        return self._eights[self.starts[which] + 8 * k] & _LOW_BYTES[np.minimum(self.sizes[which] - 8 * k, 8)]
+
+    def taken(self, which: np.ndarray) -> "PieceBytes":
+        out = copy(self)
+        out.starts, out.sizes = self.starts[which], self.sizes[which]
+        return out
+
+    def hashes(self, reach: int | None = None) -> np.ndarray:
+        """A hash of each piece: of its length and its bytes, or of the first ``reach`` of them (a multiple of 8)."""
+        out = mixed(self.sizes.astype(np.uint64))
+        which, k = np.flatnonzero(self.sizes), 0
+        while len(which) and k * 8 != reach:
+            out[which] = mixed(out[which] ^ self.eight(k, which))
+            k += 1
+            which = which[self.sizes[which] > 8 * k]
+        return out

@@ -199,3 +199,28 @@ def damaged(rows):
         text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
         out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
     return out
+
+
+def collocations(rows, threshold=10, top=2000):
+    """Rows of (lang, rank, phrase, a, l, r, n, score) from (text, lang) rows."""
+    counts, totals = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            for size in (1, 2, 3):
+                counts.update((lang, tuple(w[k : k + size])) for k in range(len(w) - size + 1))
+    found = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= threshold}
+    dropped = {(g, part) for (g, p), a in found.items() if len(p) == 3 for part in (p[:2], p[1:]) if 100 * a >= 50 * counts[g, part]}
+    out = []
+    for (lang, p), a in found.items():
+        if (lang, p) not in dropped:
+            cuts = [(1000000 * a * a // (counts[lang, p[:k]] * counts[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            out.append((lang, -score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]]))
+    ranks = Counter()
+    for lang, score, a, p, left, right in sorted(out):
+        ranks[lang] += 1
+        if ranks[lang] <= top:
+            yield lang, ranks[lang], p.decode(), -a, left, right, totals[lang], -score
