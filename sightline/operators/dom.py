@@ -22,7 +22,6 @@ NODE = T.StructType([
     T.StructField("subtree_end", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("within", T.ArrayType(T.IntegerType())),
     T.StructField("has_text", T.BooleanType()),
     T.StructField("text", T.StringType()),
     T.StructField("markup", T.StringType()),
@@ -46,7 +45,6 @@ class _Batch:
         self.cols: dict[str, list] = {name: [] for name in NODE.names}
         self.cols |= {"lead": [], "tail": []}
         self.attr_offsets, self.keys, self.values = [0], [], []
-        self.within_offsets, self.within = [0], []
         self.errors: list[str | None] = []
         self.prologs: list[str | None] = []
 
@@ -79,9 +77,6 @@ class _Batch:
             self.keys.extend(attrs)
             self.values.extend(attrs.values())
             self.attr_offsets.append(len(self.keys))
-        for owners in page.within:
-            self.within.extend(owners)
-            self.within_offsets.append(len(self.within))
         if self.pieces:
             for i in range(count):
                 lead, tail = page.pieces(i)
@@ -101,7 +96,6 @@ class _Batch:
             "attrs": pa.MapArray.from_arrays(
                 pa.array(self.attr_offsets, ints), pa.array(self.keys, text), pa.array(self.values, text)
             ),
-            "within": pa.ListArray.from_arrays(pa.array(self.within_offsets, ints), pa.array(self.within, ints)),
             "has_text": pa.array(self.cols["has_text"], pa.bool_()),
             "text": pa.array(self.cols["text"], text),
             "markup": pa.array(self.cols["markup"], text),

@@ -64,7 +64,6 @@ CLOSED_BY = {
 # An end tag does not reach across an open element that outranks it.
 END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190}
 
-CONTAINER_TAGS = frozenset("a button label table video".split())
 NAMED_TEXT = frozenset("a button title label h1 h2 h3 h4 h5 h6".split())
 QUOTED_TAGS = frozenset(
     "html img a input textarea select button h1 h2 h3 h4 h5 h6 table th video audio".split()
@@ -113,7 +112,6 @@ class Page:
         self.depth: list[int] = []
         self.end: list[int] = []
         self.attrs: list[dict[str, str]] = []
-        self.within: list[list[int]] = []
         self._texts: list[str] = []
         self._text_span: list[list[int]] = []
         self._out: list[str] = []
@@ -121,7 +119,6 @@ class Page:
         self._span: list[list[int]] = []
         self._open: list[int] = []
         self._counts: dict[str, int] = {}
-        self._containers: list[int] = []
         self._unseen = 0
         self.left_out = 0
         self._root = self._head = self._body = -1
@@ -169,7 +166,6 @@ class Page:
         self.attrs.append(attrs)
         self.parent.append(self._open[-1] if self._open else -1)
         self.depth.append(len(self._open))
-        self.within.append(self._containers.copy())
         self.end.append(node)
         self._text_span.append([len(self._texts), len(self._texts)])
         first = self._length
@@ -179,8 +175,6 @@ class Page:
             self._open.append(node)
             self._counts[tag] = self._counts.get(tag, 0) + 1
             self._unseen += tag in UNSEEN_TEXT
-            if tag in CONTAINER_TAGS or "role" in attrs or "aria-hidden" in attrs:
-                self._containers.append(node)
         return node
 
     def _pop(self) -> None:
@@ -188,8 +182,6 @@ class Page:
         tag = self.tag[node]
         self._counts[tag] -= 1
         self._unseen -= tag in UNSEEN_TEXT
-        if self._containers and self._containers[-1] == node:
-            self._containers.pop()
         self._write(f"</{tag}>")
         self.end[node] = len(self.tag) - 1
         self._text_span[node][1] = len(self._texts)

@@ -1,8 +1,9 @@
 """Element sets of a page as SQL expressions over its ``dom`` list.
 
-A set is either the elements themselves or their ids. Ids index the list directly, and containment is
-read from ``within`` (the enclosing elements a rule may ask about), so "has a descendant", "has none"
-and "first descendant" are set operations on ids, each linear in the page.
+A set is a list of elements in document order. Ids index the list of the page directly, and an element contains those whose ids
+follow its own up to ``subtree_end``. Containment is asked by way of ``following``: for a set, the id of its first element at
+or after every place of the page. "Has a descendant", "has two" and "first descendant" are then one or two look-ups per element, linear
+in the page however deep it is nested.
 
 Conditions are written over one element called ``e``. The built-in rules look through ``marked``, the elements
 any of them can be about; paragraphs and the like are passed over once, not once per rule.
@@ -10,7 +11,7 @@ any of them can be about; paragraphs and the like are passed over once, not once
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from sightline import vocab
 from sightline.functions.text import blank, empty, let, lit, words
@@ -54,40 +55,40 @@ def ids(elements: str) -> str:
     return f"transform({elements}, e -> e.node_id)"
 
 
-def at(node_ids: str) -> str:
-    """The elements with the given ids."""
-    return f"transform({node_ids}, id -> get(dom, id))"
+def _steps(places: str, value: str) -> str:
+    """A list over the places of a page up to the last of ``places`` (sorted ids): ``value`` of the next one, ``s``, and its number, ``k``."""
+    return let("places", places, (
+        f"flatten(transform(places, (s, k) -> array_repeat({value}, s - coalesce(get(places, k - 1), -1))))"
+    ))
 
 
-def containers_of(elements: str) -> str:
-    """Ids of all elements that enclose any of ``elements``, once per enclosed element."""
-    return f"flatten(transform({elements}, e -> e.within))"
+def following(elements: str) -> str:
+    """For every place of the page the id of the first of ``elements`` at or after it; nothing behind the last."""
+    return _steps(ids(elements), "s")
 
 
-def repeated(node_ids: str) -> str:
-    """Ids that occur at least twice."""
-    return let("sorted", f"array_sort({node_ids})", "filter(sorted, (x, i) -> i > 0 AND x = get(sorted, i - 1))")
+def first_in(places: str, e: str = "e") -> str:
+    """The id of the first element inside ``e``, by what ``following`` made; null if there is none."""
+    return f"nullif(least(get({places}, {e}.node_id + 1), {e}.subtree_end + 1), {e}.subtree_end + 1)"
 
 
-def first_inside(elements: str, facts: str = "") -> str:
-    """For every enclosing element its first enclosed one: ``array<struct<owner, node_id, facts>>``."""
-    extra = f", {facts}" if facts else ""
-    pairs = (
-        f"flatten(transform({elements}, e -> transform(e.within, "
-        f"owner -> struct(owner AS owner, e.node_id AS node_id{extra}))))"
-    )
-    return let("sorted", f"array_sort({pairs})", (
-        "filter(sorted, (p, i) -> i = 0 OR p.owner <> get(sorted, i - 1).owner)"
-    ))
+def holds(places: str, e: str = "e") -> str:
+    """Whether ``e`` has one of the elements inside."""
+    return f"coalesce(get({places}, {e}.node_id + 1) <= {e}.subtree_end, false)"
+
+
+def holds_two(places: str, e: str = "e") -> str:
+    return f"coalesce(get({places}, get({places}, {e}.node_id + 1) + 1) <= {e}.subtree_end, false)"
 
 
-def owners(pairs: str) -> str:
-    return f"transform({pairs}, p -> p.owner)"
+def before(places: str) -> str:
+    """For every place of the page how many of ``places`` (sorted ids, repeats count) lie before it, up to the last of them."""
+    return _steps(places, "k")
 
 
-def inside(tag: str) -> str:
-    """Whether an element lies inside an element of the given kind."""
-    return f"exists(e.within, id -> get(dom, id).tag = {lit(tag)})"
+def inside(begun: str, ended: str, n: str, e: str = "e") -> str:
+    """Whether ``e`` lies inside any of ``n`` elements, by the places ``before`` it at which they begin and end."""
+    return f"coalesce(get({begun}, {e}.node_id), {n}) > coalesce(get({ended}, {e}.node_id), {n})"
 
 
 def all_blank(*names: str, e: str = "e") -> str:
@@ -107,11 +108,20 @@ IS_MAIN = f"(e.tag = 'main' OR coalesce({attr('role')} = 'main', false))"
 IS_NAVIGATION = f"(e.tag = 'nav' OR coalesce({attr('role')} = 'navigation', false))"
 
 
-def descendants(elements: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Containment as a relation: one row per element and enclosing element (``container_id``).
+CONTAINER_TAGS = ("a", "button", "label", "table", "video")
+IS_CONTAINER = (
+    f"(e.tag IN ({words(CONTAINER_TAGS)}) OR {attr('role')} IS NOT NULL OR {attr('aria-hidden')} IS NOT NULL)"
+)
+
+
+def descendants(doms: DataFrame, where: str = "true", containers: str = IS_CONTAINER, facts: tuple[str, ...] = ("tag",)) -> DataFrame:
+    """Containment as a relation: one row per container (``container_id``) and element inside it that satisfies ``where``.
 
-    Groups on the keys and ``container_id`` give facts about everything inside a container; they
-    combine before the shuffle, since the elements of a page are read together.
+    Takes the output of ``with_dom``; keeps the page's columns and, of an element, ``node_id`` and ``facts``. Groups on the page and
+    ``container_id`` combine before the shuffle, since the elements of a page are read together.
     """
-    kept = [name for name in elements.columns if name not in (*keys, "within")]
-    return elements.selectExpr(*keys, "explode(within) AS container_id", *kept)
+    keys = [name for name in doms.columns if name not in ("dom", "parse_error", "prolog")]
+    shown = ", ".join(f"e.{name} AS {name}" for name in ("node_id", *facts))
+    inner = f"filter(slice(dom, c.node_id + 2, c.subtree_end - c.node_id), e -> {where})"
+    pairs = f"flatten(transform(filter(dom, e -> {containers}), c -> transform({inner}, e -> struct(c.node_id AS container_id, {shown}))))"
+    return doms.select(*keys, F.explode(F.expr(pairs)).alias("pair")).select(*keys, "pair.*")

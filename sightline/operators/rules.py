@@ -12,7 +12,7 @@ from sightline.functions.color import contrast_ratio, last_value, parse_color, s
 from sightline.functions.text import blank, empty, let, lit, strip, words
 from sightline.operators.nodes import (
     FOCUSABLE, HEADINGS, IS_MAIN, IS_NAVIGATION, MARKED, NAMELESS,
-    all_blank, at, attr, by_attr, by_tag, containers_of, exists, first_inside, ids, inside, owners, repeated, select,
+    all_blank, attr, before, by_attr, by_tag, exists, first_in, following, holds, holds_two, ids, inside, select,
 )
 
 ISSUE_TYPE = (
@@ -83,20 +83,21 @@ def rule_names(listing: str) -> list[str]:
 
 LAYOUT_TABLE = f"coalesce(lower({attr('role')}) IN ({words(vocab.LAYOUT_TABLE_ROLES)}), false)"
 
+LABELS = by_tag("label")
 # Lists several checks read, computed once per page.
 SHARED = {
-    "first_images": first_inside(by_tag("img"), f"NOT {blank(attr('alt'))} AS named"),
+    "images_from": following(by_tag("img")),
     "label_targets": f"transform({select(f"e.tag = 'label' AND {attr('for')} IS NOT NULL")}, e -> {attr('for')})",
+    "labels_begun": before(ids(LABELS)),
+    "labels_ended": before(f"array_sort(transform({LABELS}, e -> e.subtree_end))"),
+    "n_labels": f"size({LABELS})",
     "headings": (
         f"transform({by_tag(*HEADINGS)}, "
         "e -> struct(e.node_id AS node_id, cast(substring(e.tag, 2, 1) AS INT) AS level))"
     ),
     "h1s": by_tag("h1"),
-    "table_headers": by_tag("th"),
-    "data_tables": (
-        f"array_intersect({ids(select(f"e.tag = 'table' AND NOT {LAYOUT_TABLE}"))}, "
-        f"{repeated(containers_of(by_tag('tr')))})"
-    ),
+    "headers_from": following(by_tag("th")),
+    "data_tables": let("rows_from", following(by_tag("tr")), select(f"e.tag = 'table' AND NOT {LAYOUT_TABLE} AND {holds_two('rows_from')}")),
     "body": f"get({by_tag('body')}, 0)",
 }
 
@@ -114,10 +115,9 @@ def on_page(condition: str, facts: str = "") -> str:
 # -- alternative text ---------------------------------------------------------------------
 
 IMAGES_WITHOUT_ALT = select(f"e.tag = 'img' AND {blank(attr('alt'))}")
-TEXTLESS_LINKS = ids(select("e.tag = 'a' AND NOT e.has_text"))
-LINKED_UNNAMED_IMAGES = at(
-    f"array_intersect({TEXTLESS_LINKS}, {owners('filter(first_images, p -> NOT p.named)')})"
-)
+TEXTLESS_LINK = "e.tag = 'a' AND NOT e.has_text"
+FIRST_IMAGE_NAMED = f"NOT {blank(f"get(dom, {first_in('images_from')}).attrs['alt']")}"
+LINKED_UNNAMED_IMAGES = select(f"{TEXTLESS_LINK} AND {holds('images_from')} AND NOT ({FIRST_IMAGE_NAMED})")
 
 ALT_TEXT = (
     Check("IMG_MISSING_ALT", IMAGES_WITHOUT_ALT, lit(vocab.MSG_IMG_MISSING_ALT)),
@@ -133,7 +133,7 @@ def unlabelled(skipped_types: Iterable[str], naming: Iterable[str]) -> str:
     return select(
         "e.tag IN ('input', 'textarea', 'select') "
         f"AND NOT coalesce(lower({attr('type')}), '') IN ({words(skipped_types)}) "
-        f"AND NOT ({named}) AND NOT {targeted} AND NOT {inside('label')}"
+        f"AND NOT ({named}) AND NOT {targeted} AND NOT {inside('labels_begun', 'labels_ended', 'n_labels')}"
     )
 
 
@@ -193,7 +193,7 @@ def contrast(level: str = "AA") -> tuple[Check, ...]:
 
 LINK_TEXT = (
     Check("LINK_NO_TEXT",
-          at(f"array_except({ids(select(f"e.tag = 'a' AND {NAMELESS}"))}, {owners('first_images')})"),
+          select(f"e.tag = 'a' AND {NAMELESS} AND NOT {holds('images_from')}"),
           lit(vocab.MSG_LINK_NO_TEXT)),
 )
 
@@ -213,8 +213,7 @@ LANGUAGE = (
 
 
 def unnamed_buttons(where: str) -> str:
-    named_by_image = owners("filter(first_images, p -> p.named)")
-    return at(f"array_except({ids(select(f'{where} AND {NAMELESS}'))}, {named_by_image})")
+    return select(f"{where} AND {NAMELESS} AND NOT ({holds('images_from')} AND {FIRST_IMAGE_NAMED})")
 
 
 UNNAMED_INPUTS = select(
@@ -248,20 +247,18 @@ DOCUMENT_STRUCTURE = (
 
 # -- tables ---------------------------------------------------------------------------------
 
-UNNAMED_TABLES = f"filter(data_tables, id -> {all_blank('aria-label', 'aria-labelledby', 'summary', e='get(dom, id)')})"
+UNNAMED_TABLES = f"filter(data_tables, e -> {all_blank('aria-label', 'aria-labelledby', 'summary')})"
 FIRST_UNSCOPED = let(
-    "chosen",
-    f"array_intersect(data_tables, {repeated(containers_of('table_headers'))})",
-    f"transform(filter({first_inside(f'filter(table_headers, e -> {blank(attr("scope"))})')}, "
-    "p -> array_contains(chosen, p.owner)), "
-    "p -> struct(p.owner AS node_id, get(dom, p.node_id).markup AS markup))",
+    "bare_from",
+    following(select(f"e.tag = 'th' AND {blank(attr('scope'))}")),
+    f"transform(filter(data_tables, e -> {holds_two('headers_from')} AND {holds('bare_from')}), "
+    f"e -> struct(e.node_id AS node_id, get(dom, {first_in('bare_from')}).markup AS markup))",
 )
+UNCAPTIONED = let("captions_from", following(by_tag("caption")), f"filter({UNNAMED_TABLES}, e -> NOT {holds('captions_from')})")
 
 TABLE = (
-    Check("TABLE_NO_HEADERS", at(f"array_except(data_tables, {containers_of('table_headers')})"),
-          lit(vocab.MSG_TABLE_NO_HEADERS), step=0),
-    Check("TABLE_NO_CAPTION", at(f"array_except({UNNAMED_TABLES}, {containers_of(by_tag('caption'))})"),
-          lit(vocab.MSG_TABLE_NO_CAPTION), step=1),
+    Check("TABLE_NO_HEADERS", f"filter(data_tables, e -> NOT {holds('headers_from')})", lit(vocab.MSG_TABLE_NO_HEADERS), step=0),
+    Check("TABLE_NO_CAPTION", UNCAPTIONED, lit(vocab.MSG_TABLE_NO_CAPTION), step=1),
     Check("TABLE_MISSING_SCOPE", FIRST_UNSCOPED, lit(vocab.MSG_TABLE_MISSING_SCOPE), step=2),
 )
 
@@ -272,14 +269,18 @@ ROLES = (
     f"lower({strip(attr('role'))}) AS role))"
 )
 HIDDEN = by_attr("aria-hidden", "true")
+# Most pages hide nothing; what can be focused is only looked for on the others.
+HIDING = let("hidden", HIDDEN, let(
+    "focusable_from", f"CASE WHEN size(hidden) > 0 THEN {following(select(FOCUSABLE))} END",
+    f"filter(hidden, e -> {holds('focusable_from')})",
+))
 
 ARIA = (
     Check("INVALID_ARIA_ROLE", f"filter({ROLES}, e -> e.role <> '' AND NOT e.role IN ({words(vocab.ARIA_ROLES)}))",
           printf(vocab.MSG_INVALID_ARIA_ROLE, "e.role")),
     Check("ARIA_HIDDEN_FOCUSABLE", f"filter({HIDDEN}, e -> {FOCUSABLE})", lit(vocab.MSG_ARIA_HIDDEN_SELF),
           loop=1, step=0),
-    Check("ARIA_HIDDEN_FOCUSABLE", at(f"array_intersect({ids(HIDDEN)}, {containers_of(select(FOCUSABLE))})"),
-          lit(vocab.MSG_ARIA_HIDDEN_INSIDE), loop=1, step=1),
+    Check("ARIA_HIDDEN_FOCUSABLE", HIDING, lit(vocab.MSG_ARIA_HIDDEN_INSIDE), loop=1, step=1),
 )
 
 # -- skip links -----------------------------------------------------------------------------
@@ -320,7 +321,7 @@ def autoplaying(tag: str) -> str:
 CAPTION_TRACKS = select(f"e.tag = 'track' AND {attr('kind')} IN ({words(vocab.CAPTION_TRACK_KINDS)})")
 
 MEDIA = (
-    Check("VIDEO_NO_CAPTIONS", at(f"array_except({ids(by_tag('video'))}, {containers_of(CAPTION_TRACKS)})"),
+    Check("VIDEO_NO_CAPTIONS", let("tracks_from", following(CAPTION_TRACKS), select(f"e.tag = 'video' AND NOT {holds('tracks_from')}")),
           lit(vocab.MSG_VIDEO_NO_CAPTIONS), step=0),
     Check("AUTOPLAY_NO_CONTROLS", autoplaying("video"), lit(vocab.MSG_VIDEO_AUTOPLAY), step=1),
     Check("AUTOPLAY_NO_CONTROLS", autoplaying("audio"), lit(vocab.MSG_AUDIO_AUTOPLAY), loop=1),
@@ -331,7 +332,7 @@ MEDIA = (
 LEGACY = (
     Check("IMG_MISSING_ALT", IMAGES_WITHOUT_ALT, lit(vocab.MSG_IMG_MISSING_ALT)),
     Check("LINK_IMG_MISSING_ALT", LINKED_UNNAMED_IMAGES, lit(vocab.MSG_LINK_IMG_MISSING_ALT), loop=1),
-    Check("LINK_NO_TEXT", at(f"array_except({TEXTLESS_LINKS}, {owners('first_images')})"),
+    Check("LINK_NO_TEXT", select(f"{TEXTLESS_LINK} AND NOT {holds('images_from')}"),
           lit(vocab.MSG_LINK_NO_TEXT), loop=1, step=1),
     Check("HEADING_ORDER", HEADING_JUMP, lit(vocab.MSG_HEADING_ORDER_LEGACY), HEADING_LEVELS, loop=2),
     Check("FORM_CONTROL_NO_LABEL",

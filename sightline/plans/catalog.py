@@ -123,9 +123,8 @@ def legacy_rules(spark, sf):
 @query
 def table_contents(spark, sf):
     """Rows, headers and cells of every table, from the containment relation."""
-    found = elements(with_dom(_injected(spark, sf), markup=False)).select("page_id", "tag", "within")
-    parts = found.where("tag IN ('tr', 'th', 'td')")
-    return descendants(parts).groupBy("page_id", "container_id").agg(
+    parsed = with_dom(_injected(spark, sf), markup=False).select("page_id", "dom")
+    return descendants(parsed, "e.tag IN ('tr', 'th', 'td')").groupBy("page_id", "container_id").agg(
         F.expr("count_if(tag = 'tr')").alias("n_rows"),
         F.expr("count_if(tag = 'th')").alias("n_headers"),
         F.expr("count_if(tag = 'td')").alias("n_cells"),
