@@ -589,6 +589,7 @@ SQL["stream_seen_urls"] = "SELECT DISTINCT url FROM pages"
 SQL["stream_severity_counts"] = SQL["injected_site_summary"]
 SQL["stream_rate_grants"] = SQL["rate_grants"]
 SQL["stream_adaptive_rates"] = SQL["adaptive_rates"]
+SQL["stream_busy_rates"] = SQL["busy_adaptive_rates"]
 
 # -- scan requests --------------------------------------------------------------------------------------------
 

@@ -17,26 +17,34 @@ from sightline.session import materialize
 CHUNK_BITS = 16
 
 
-def chunked(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+def chunked(log: DataFrame, bits: int = CHUNK_BITS, work: str | None = None) -> DataFrame:
     """The log in order of host and time with a ``chunk`` of at most ``2**bits`` neighbouring requests.
 
-    Written out once, since the numbering depends on how the rows were laid out.
+    Written out once, since the numbering depends on how the rows were laid out: to a new scratch folder, or to ``work``, in
+    place of what is there.
     """
     order = ["host", "t", "id"]
     laid_out = log.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(laid_out.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), bits)), "log")
+    rows = laid_out.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), bits))
+    if work is None:
+        return materialize(rows, "log")
+    rows.write.mode("overwrite").parquet(work)
+    return log.sparkSession.read.schema(rows.schema).parquet(work)
 
 
-def rate_grants(log: DataFrame, rate: float, bits: int = CHUNK_BITS) -> DataFrame:
+def rate_grants(
+    log: DataFrame, rate: float, bits: int = CHUNK_BITS, last: DataFrame | None = None, work: str | None = None
+) -> DataFrame:
     """When each request may go out at ``rate`` requests per second: ``granted`` and ``waited``.
 
     A request goes out at its own time or one interval after the one before, whichever is later. With
-    n requests so far that is the running maximum of ``t - n * interval``, plus ``n * interval``.
+    n requests so far that is the running maximum of ``t - n * interval``, plus ``n * interval``. ``last`` says when a host's last
+    request before this log went out (``host, last``).
     """
     if rate <= 0:
         return log.withColumns({"granted": F.col("t"), "waited": F.lit(0.0)})
     step = 1.0 / rate
-    rows = chunked(log, bits)
+    rows = chunked(log, bits, work)
     within = Window.partitionBy("host", "chunk").orderBy("t", "id")
     local = rows.withColumn("n", F.row_number().over(within))
     local = local.withColumn("peak", F.max(F.col("t") - F.col("n") * step).over(within))
@@ -44,6 +52,9 @@ def rate_grants(log: DataFrame, rate: float, bits: int = CHUNK_BITS) -> DataFram
     before = Window.partitionBy("host").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
     offsets = offsets.withColumn("carried", F.max(F.col("peak") - F.col("base") * step).over(before))
+    if last is not None:
+        # As if the request before this log were one of no number.
+        offsets = offsets.join(last.select("host", "last"), "host", "left").withColumn("carried", F.greatest("carried", "last"))
     joined = local.join(offsets.select("host", "chunk", "base", "carried"), ["host", "chunk"])
     granted = F.greatest("carried", F.col("peak") - F.col("base") * step) + (F.col("base") + F.col("n")) * step
     return joined.select(*log.columns, granted.alias("granted")).withColumn("waited", F.col("granted") - F.col("t"))
@@ -81,19 +92,27 @@ def adaptive_rates(
     lowest: float = vocab.MIN_RATE,
     highest: float = vocab.MAX_RATE,
     bits: int = CHUNK_BITS,
+    state: DataFrame | None = None,
+    work: str | None = None,
 ) -> DataFrame:
-    """The rate each host ends up with, and its request counts.
+    """The rate each host of the log ends up with, and its request counts.
 
     Errors and slow successes slow a host down; every tenth success that is not slow speeds it up. The
-    log also has ``response_time`` and ``is_error``.
+    log also has ``response_time`` and ``is_error``. ``state`` is a result for what came before this log.
     """
-    rows = chunked(log, bits)
+    rows = chunked(log, bits, work)
     within = Window.partitionBy("host", "chunk").orderBy("t", "id")
     good = F.expr("int(NOT is_error)")
     local = rows.withColumn("successes", F.sum(good).over(within))
     before = Window.partitionBy("host").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = rows.groupBy("host", "chunk").agg(F.sum(good).alias("successes"))
     offsets = per_chunk.select("host", "chunk", F.coalesce(F.sum("successes").over(before), F.lit(0)).alias("base"))
+    counts = ("success_count", "error_count", "slow_response_count")
+    if state is None:
+        known = rows.select("host").where("false").selectExpr("host", "0D AS known_rate", *(f"0L AS known_{name}" for name in counts))
+    else:
+        known = state.selectExpr("host", "current_rate AS known_rate", *(f"{name} AS known_{name}" for name in counts))
+        offsets = offsets.join(known, "host", "left").selectExpr("host", "chunk", "base + coalesce(known_success_count, 0) AS base")
     joined = local.join(offsets, ["host", "chunk"]).withColumn("count", F.expr("base + successes"))
     slower = f"is_error OR response_time > {vocab.SLOW_SECONDS}"
     faster = f"NOT is_error AND count % {vocab.SUCCESSES_PER_SPEEDUP} = 0"
@@ -110,9 +129,10 @@ def adaptive_rates(
     grouped = by_chunk.withColumn("part", F.shiftright(place, bits)).withColumn("t", F.col("chunk"))
     by_part = _combined(grouped, ["host", "part"], "t", *reach)
     by_host = _combined(by_part, ["host"], "part", *reach)
-    rate = f"least(greatest(coalesce(factor, 1D) * {initial}D, coalesce(low, {reach[0]}D)), coalesce(high, {reach[1]}D))"
-    return request_stats(log).join(by_host, "host", "left").selectExpr(
-        "host", f"{rate} AS current_rate", "success_count", "error_count", "slow_response_count"
+    started = f"coalesce(known_rate, {initial}D)"
+    rate = f"least(greatest(coalesce(factor, 1D) * {started}, coalesce(low, {reach[0]}D)), coalesce(high, {reach[1]}D))"
+    return request_stats(rows).join(by_host, "host", "left").join(known, "host", "left").selectExpr(
+        "host", f"{rate} AS current_rate", *(f"{name} + coalesce(known_{name}, 0) AS {name}" for name in counts)
     )
 
 

@@ -623,17 +623,29 @@ def stream_severity_counts(spark, sf):
 
 @query
 def stream_rate_grants(spark, sf):
-    granted = LS.stream_rate_grants(_log_stream(spark, sf).select("host", "id", "t"), 2.0)
-    return _appended(granted, "stream-grants").selectExpr(
-        "host", "id", "round(granted, 6) AS granted", "round(waited, 6) AS waited"
-    )
+    path = scratch_path(spark, "stream-grants")
+    _drained(LS.write_rate_grants(_log_stream(spark, sf).select("host", "id", "t"), 2.0, path, f"{path}/state-of-stream"))
+    return LS.read_grants(spark, path).selectExpr("host", "id", "round(granted, 6) AS granted", "round(waited, 6) AS waited")
 
 
 @query
 def stream_adaptive_rates(spark, sf):
-    return _updated(LS.stream_adaptive_rates(_log_stream(spark, sf)), "stream-rates", "host").withColumn(
-        "current_rate", F.round("current_rate", 6)
-    )
+    path = scratch_path(spark, "stream-rates")
+    _drained(LS.write_adaptive_rates(_log_stream(spark, sf), path, f"{path}/state-of-stream"))
+    return LS.current_rates(spark, path).withColumn("current_rate", F.round("current_rate", 6))
+
+
+@query
+def stream_busy_rates(spark, sf):
+    """The log folded onto three hosts and fed in slices of time, one per micro-batch, each cut into many chunks."""
+    path = scratch_path(spark, "stream-busy")
+    log = _log(spark, sf).withColumn("host", F.col("host") % 3)
+    span = log.agg(F.max("t")).first()[0] / 4 + 1
+    for part in range(4):
+        log.where((F.col("t") >= part * span) & (F.col("t") < (part + 1) * span)).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    _drained(LS.write_adaptive_rates(stream, path, f"{path}/state-of-stream", bits=7))
+    return LS.current_rates(spark, path).withColumn("current_rate", F.round("current_rate", 6))
 
 
 # -- scan requests --------------------------------------------------------------------------------------

@@ -1,103 +1,94 @@
-"""Request limiters over live logs: one small state per host.
+"""Request limiters over live logs.
 
-A host's requests of one micro-batch are handled in one task, so the trigger's file or offset limit bounds
-what a busy host brings at a time. Backlogs are better worked off with the batch functions, which cut hosts
-into chunks.
+Every micro-batch is worked on by the batch functions, which cut each host's requests into chunks, fold the chunks apart and combine
+them; a host with a third of a backlog is many tasks. Between micro-batches only one small row per host is carried: when its last
+request went out, or its rate and counts. That state is a table written anew by every micro-batch beside the one before it, so a
+micro-batch that is repeated after a failure starts from the same state and replaces what it wrote.
+
+A log has to arrive in order of time from one micro-batch to the next; within one, order does not matter. The results then are
+those of the batch functions, however the log was split. A folder belongs to one checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sightline import vocab
+from sightline.operators import limiter
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+Step = Callable[[DataFrame, int], None]
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A host's requests of one micro-batch in time order."""
-    return pd.concat(batches, ignore_index=True).sort_values(["t", "id"], kind="stable")
+def _state(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What the micro-batch before ``number`` left."""
+    return spark.read.parquet(f"{path}/state/slot={(number - 1) % 2}") if number else None
 
 
-class GrantTimes(StatefulProcessor):
-    """Remembers when the host's last request went out."""
+def _keep(fresh: DataFrame, state: DataFrame | None, path: str, number: int) -> None:
+    """The state behind micro-batch ``number``: rows of its hosts replace older ones."""
+    rows = fresh if state is None else state.drop("batch").join(fresh.select("host"), "host", "left_anti").unionByName(fresh)
+    rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/state/slot={number % 2}")
 
-    def __init__(self, rate: float):
-        self.step = 1.0 / rate if rate > 0 else 0.0
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "granted double")
+def grant_step(rate: float, path: str, bits: int = limiter.CHUNK_BITS) -> Step:
+    """What to do with a micro-batch of requests (``host, id, t``): store its grants and what they leave per host."""
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        log = _ordered(rows)
-        known = self.last.get() if self.last.exists() else None
-        last = known[0] if known else None
-        granted = []
-        for t in log["t"]:
-            last = t if last is None or not self.step else max(t, last + self.step)
-            granted.append(last)
-        self.last.update((float(last),))
-        yield pd.DataFrame({
-            "host": key[0], "id": log["id"].to_numpy(), "granted": granted, "waited": granted - log["t"].to_numpy()
-        })
+    def step(batch: DataFrame, number: int) -> None:
+        spark, state = batch.sparkSession, _state(batch.sparkSession, path, number)
+        granted = limiter.rate_grants(batch, rate, bits, last=state, work=f"{path}/work")
+        granted.write.mode("overwrite").parquet(f"{path}/grants/batch={number}")
+        stored = spark.read.schema(granted.schema).parquet(f"{path}/grants/batch={number}")
+        _keep(stored.groupBy("host").agg(F.max("granted").alias("last")), state, path, number)
 
-    def close(self) -> None:
-        pass
+    return step
 
 
-class AdaptiveRate(StatefulProcessor):
-    """Remembers the host's rate and counts; emits them after every micro-batch."""
+def rate_step(initial: float, lowest: float, highest: float, path: str, bits: int = limiter.CHUNK_BITS) -> Step:
+    """What to do with a micro-batch of a request log: store the rates and counts of its hosts."""
 
-    def __init__(self, initial: float, lowest: float, highest: float):
-        self.initial, self.lowest, self.highest = initial, lowest, highest
+    def step(batch: DataFrame, number: int) -> None:
+        spark, state = batch.sparkSession, _state(batch.sparkSession, path, number)
+        rates = limiter.adaptive_rates(batch, initial, lowest, highest, bits, state=state, work=f"{path}/work")
+        rates.write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
+        _keep(spark.read.schema(rates.schema).parquet(f"{path}/updates/batch={number}"), state, path, number)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rate", "rate double, good long, bad long, slow long")
+    return step
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        rate, good, bad, slow = self.state.get() if self.state.exists() else (self.initial, 0, 0, 0)
-        log = _ordered(rows)
-        for is_error, seconds in zip(log["is_error"], log["response_time"]):
-            late = not is_error and seconds > vocab.SLOW_SECONDS
-            bad, good, slow = bad + bool(is_error), good + (not is_error), slow + bool(late)
-            if is_error or late:
-                rate = max(rate * vocab.SLOWDOWN, self.lowest)
-            elif good % vocab.SUCCESSES_PER_SPEEDUP == 0:
-                rate = min(rate * vocab.SPEEDUP, self.highest)
-        self.state.update((float(rate), int(good), int(bad), int(slow)))
-        yield pd.DataFrame({
-            "host": [key[0]], "current_rate": [rate], "success_count": [good], "error_count": [bad],
-            "slow_response_count": [slow],
-        })
 
-    def close(self) -> None:
-        pass
+def _started(log: DataFrame, step: Step, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return (
+        log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
 
 
-def _per_host(log: DataFrame, processor: StatefulProcessor, columns: str, mode: str) -> DataFrame:
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    host = log.schema["host"].dataType.simpleString()
-    return log.groupBy("host").transformWithStateInPandas(
-        processor, f"host {host}, {columns}", outputMode=mode, timeMode="None"
-    )
+def write_rate_grants(
+    log: DataFrame, rate: float, path: str, checkpoint: str, bits: int = limiter.CHUNK_BITS, **trigger
+) -> StreamingQuery:
+    """Store when each request of the stream may go out, a folder per micro-batch."""
+    return _started(log, grant_step(rate, path, bits), checkpoint, trigger)
+
+
+def read_grants(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/grants").drop("batch")
 
 
-def stream_rate_grants(log: DataFrame, rate: float) -> DataFrame:
-    """When each request of the stream may go out."""
-    return _per_host(log, GrantTimes(rate), "id bigint, granted double, waited double", "append")
+def write_adaptive_rates(
+    log: DataFrame, path: str, checkpoint: str, initial: float = vocab.INITIAL_RATE, lowest: float = vocab.MIN_RATE,
+    highest: float = vocab.MAX_RATE, bits: int = limiter.CHUNK_BITS, **trigger,
+) -> StreamingQuery:
+    """Store the rates and counts of the hosts of every micro-batch, a folder each."""
+    return _started(log, rate_step(initial, lowest, highest, path, bits), checkpoint, trigger)
 
 
-def stream_adaptive_rates(
-    log: DataFrame, initial: float = vocab.INITIAL_RATE, lowest: float = vocab.MIN_RATE, highest: float = vocab.MAX_RATE
-) -> DataFrame:
-    """The rate and counts of every host seen in a micro-batch."""
-    columns = "current_rate double, success_count bigint, error_count bigint, slow_response_count bigint"
-    return _per_host(log, AdaptiveRate(initial, lowest, highest), columns, "update")
+def current_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The rate and counts of every host seen so far."""
+    states = spark.read.parquet(f"{path}/state").drop("slot")
+    last = states.agg(F.max("batch").alias("batch"))
+    return states.join(F.broadcast(last), "batch", "left_semi").drop("batch")
 
 
 def write_updates(updates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

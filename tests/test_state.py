@@ -231,24 +231,46 @@ def test_first_sightings_within_watermark(spark, tmp_path):
 
 
 def test_limiter_streams_remember_hosts_between_batches(spark, tmp_path):
-    rows, log = make_log(spark, 21, size=120)
-    rows.sort(key=lambda r: r[2])
-    source = str(tmp_path / "in")
-    for n, part in enumerate((rows[:60], rows[60:])):
+    rows, log = make_log(spark, 21, size=300)
+    # One host has more than a third of all requests and spans many chunks of every micro-batch.
+    rows = sorted(((1 if r[1] % 2 else r[0], *r[1:]) for r in rows), key=lambda r: r[2])
+    log = spark.createDataFrame(rows, log.schema)
+    source, grants, rates = (str(tmp_path / name) for name in ("in", "grants", "rates"))
+    for part in (rows[:10], rows[10:150], rows[150:151], rows[151:]):
         spark.createDataFrame(part, log.schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(log.schema).parquet(source)
-        run(
-            LS.stream_rate_grants(stream.select("host", "id", "t"), 4.0).writeStream.format("parquet")
-            .option("path", str(tmp_path / "grants")).option("checkpointLocation", str(tmp_path / "g"))
-            .outputMode("append").trigger(availableNow=True).start()
-        )
-        run(LS.write_updates(LS.stream_adaptive_rates(stream), str(tmp_path / "rates"), str(tmp_path / "r")))
+    for again in range(2):
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run(LS.write_rate_grants(stream.select("host", "id", "t"), 4.0, grants, str(tmp_path / "g"), bits=3))
+        run(LS.write_adaptive_rates(stream, rates, str(tmp_path / "r"), bits=3))
     batch = {r.id: r.granted for r in L.rate_grants(log, 4.0).collect()}
-    live = {r.id: r.granted for r in spark.read.parquet(str(tmp_path / "grants")).collect()}
+    live = {r.id: r.granted for r in LS.read_grants(spark, grants).collect()}
     assert live.keys() == batch.keys() and all(abs(live[i] - batch[i]) < 1e-9 for i in batch)
     want = adaptive(rows)
-    for row in LS.latest_updates(spark, str(tmp_path / "rates"), "host").collect():
-        assert abs(row.current_rate - want[row.host][0]) < 1e-9
+    got = {r.host: r for r in LS.current_rates(spark, rates).collect()}
+    assert got.keys() == want.keys() and spark.read.parquet(f"{rates}/state").select("batch").distinct().count() == 2
+    for host, (rate, *counts) in want.items():
+        row = got[host]
+        assert abs(row.current_rate - rate) < 1e-9
+        assert [row.success_count, row.error_count, row.slow_response_count] == list(counts)
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    rows, log = make_log(spark, 22, size=90)
+    rows.sort(key=lambda r: r[2])
+    parts = [spark.createDataFrame(p, log.schema) for p in (rows[:40], rows[40:41], rows[41:])]
+    grant, rate = LS.grant_step(4.0, str(tmp_path / "g"), bits=2), LS.rate_step(2.0, 0.1, 10.0, str(tmp_path / "r"), bits=2)
+    for number, part in enumerate(parts):
+        for _ in range(2):
+            grant(part.select("host", "id", "t"), number)
+            rate(part, number)
+    empty = parts[0].where("false")
+    grant(empty.select("host", "id", "t"), 3)
+    rate(empty, 3)
+    batch = {r.id: r.granted for r in L.rate_grants(log, 4.0).collect()}
+    assert all(abs(r.granted - batch[r.id]) < 1e-9 for r in LS.read_grants(spark, str(tmp_path / "g")).collect())
+    want = adaptive(rows)
+    for row in LS.current_rates(spark, str(tmp_path / "r")).collect():
+        assert abs(row.current_rate - want[row.host][0]) < 1e-9 and row.error_count == want[row.host][2]
 
 
 def test_scratch_folder_is_the_session_setting(spark):
