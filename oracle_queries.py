@@ -433,6 +433,37 @@ SQL["scan_site"] = VISITS + """
 SELECT v.site, v.url, rank, outcome, CAST(coalesce(n, 0) AS INTEGER) AS total, CAST(coalesce(n, 0) AS INTEGER) AS critical,
        0 AS major, 0 AS minor
 FROM visits v LEFT JOIN (SELECT url, 1 AS n FROM node_url WHERE i % 3 = 0) x ON x.url = v.url AND outcome = 'ok'"""
+SQL["crawl_page_progress"] = VISITS + """,
+finds AS (
+  SELECT v.site, l.dst, min(v.rank) AS rank FROM visits v JOIN node_url u ON u.url = v.url JOIN links l ON l.i = u.i AND l.dst_site = l.site
+  WHERE outcome = 'ok' GROUP BY ALL),
+fresh AS (SELECT site, rank, count(*) AS n FROM finds WHERE dst NOT IN (SELECT url FROM start) GROUP BY ALL)
+SELECT v.site, url, v.rank, v.rank AS scanned, CAST(3 + coalesce(sum(n) OVER (
+  PARTITION BY v.site ORDER BY v.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS found
+FROM visits v LEFT JOIN fresh ON fresh.site = v.site AND fresh.rank = v.rank WHERE outcome = 'ok'"""
+REQUEST_VISITS = GRAPH + """,
+requests AS (SELECT i AS request, site, url, CASE WHEN i < 15 THEN 40 ELSE 25 END AS cap FROM node_url WHERE i >= 10 AND i < 20),
+start AS (
+  SELECT request, site, url, [0] AS path FROM requests
+  UNION ALL SELECT request, r.site, u.url, [CAST(1 + i // 5 AS INTEGER)] FROM requests r JOIN node_url u ON u.site = r.site AND i < 10),
+walk AS (
+  SELECT 0 AS level, request, site, url, min(path) AS path FROM start GROUP BY ALL
+  UNION ALL
+  SELECT w.level + 1, w.request, w.site, l.dst, min(list_append(w.path, CAST(l.pos AS INTEGER)))
+  FROM walk w JOIN node_url u ON u.url = w.url AND u.i % 15 <> 10 JOIN links l ON l.i = u.i AND l.dst_site = l.site
+  WHERE w.level < 60 GROUP BY w.level + 1, w.request, w.site, l.dst),
+visits AS (
+  SELECT request, site, url, row_number() OVER (PARTITION BY request ORDER BY level, path) AS rank, CAST(level AS INTEGER) AS level,
+         CASE WHEN url LIKE '%/private/%' THEN 'blocked' WHEN url LIKE '%/missing/%' THEN 'failed' ELSE 'ok' END AS outcome, cap
+  FROM (SELECT *, row_number() OVER (PARTITION BY request, url ORDER BY level, path) AS first FROM walk) JOIN (
+    SELECT request, cap FROM requests) USING (request) WHERE first = 1 QUALIFY rank <= cap),
+scanned AS (
+  SELECT v.*, outcome = 'ok' AND u.i % 3 = 0 AND request < 15 AS missing_alt FROM visits v LEFT JOIN node_url u ON u.url = v.url)
+"""
+SQL["scan_site_requests"] = REQUEST_VISITS + "SELECT request, site, url, rank, level, outcome, CAST(missing_alt AS INTEGER) AS total FROM scanned"
+SQL["site_scan_history"] = REQUEST_VISITS + """
+SELECT site, url, CASE WHEN arg_min(missing_alt, request) THEN 'IMG_MISSING_ALT' ELSE '' END AS codes, CAST(1700000000 AS BIGINT) AS ts
+FROM scanned WHERE outcome = 'ok' GROUP BY site, url"""
 SQL["crawl_basic"] = GRAPH + """,
 walk AS (
   SELECT 0 AS level, site, url, [0] AS path FROM node_url WHERE i >= 10 AND i < 15

@@ -410,14 +410,47 @@ def crawl_progress(spark, sf):
     return G.crawl_progress(_crawl(spark, sf)[1])
 
 
+def _crawl_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    graph = _graph(spark, sf)
+    rules = robots.choose_group(robots.parse_robots(corpora.robots_files(graph)), AGENT)
+    return graph, {"robots": rules, "sitemap": robots.parse_sitemap(corpora.sitemap_files(graph))}
+
+
+@query
+def crawl_page_progress(spark, sf):
+    """Pages visited and addresses found after each page that was fetched."""
+    graph, inputs = _crawl_inputs(spark, sf)
+    seeds = corpora.graph_seeds(graph)
+    visits = G.crawl(graph, seeds, max_pages=40, links=True, **inputs)
+    return G.page_progress(visits, seeds, inputs["sitemap"])
+
+
 @query
 def scan_site(spark, sf):
     """A crawl and its scan: issues of every visited address, in visiting order."""
-    graph, visits = _crawl(spark, sf)
-    scanned = G.scan_visits(graph, visits)
+    graph, inputs = _crawl_inputs(spark, sf)
+    scanned = G.scan_sites(graph, corpora.graph_seeds(graph), max_pages=40, **inputs)
     return scanned.select("site", "url", "rank", "outcome", "total", "critical", "major", "minor")
 
 
+@query
+def scan_site_requests(spark, sf):
+    """Two requests per site with starts, limits and left-out rules of their own, over one parse."""
+    graph, inputs = _crawl_inputs(spark, sf)
+    scanned = G.scan_sites(graph, corpora.graph_requests(graph), **inputs)
+    return scanned.select("request", "site", "url", "rank", "level", "outcome", "total")
+
+
+@query
+def site_scan_history(spark, sf):
+    """The history that the same requests leave: every fetched address once, with its issues."""
+    graph, inputs = _crawl_inputs(spark, sf)
+    path = scratch_path(spark, "site-history")
+    history.init_scan_store(spark, path)
+    G.scan_to_history(graph, corpora.graph_requests(graph), path, 1_700_000_000, **inputs)
+    return _codes(history.read_scan_history(spark, path))
+
+
 # -- history and runs -------------------------------------------------------------------------------
 
 

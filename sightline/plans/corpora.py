@@ -128,6 +128,16 @@ def graph_seeds(graph: DataFrame) -> DataFrame:
     )
 
 
+def graph_requests(graph: DataFrame) -> DataFrame:
+    """Two requests per site (``request, site, url, max_pages, exclude``): from its third and from its fourth lowest page."""
+    wanted = graph.where(f"page_id >= {2 * SITES} AND page_id < {4 * SITES}")
+    return wanted.selectExpr(
+        "page_id AS request", f"concat('s', page_id % {SITES}, '.test') AS site", "url",
+        f"CASE WHEN page_id < {3 * SITES} THEN 40 ELSE 25 END AS max_pages",
+        f"CASE WHEN page_id < {3 * SITES} THEN array('contrast') ELSE array('alt_text', 'media') END AS exclude",
+    )
+
+
 ROBOTS_TEXTS = [
     "User-agent: *\nDisallow: /a\nDisallow: /b # note\nCrawl-delay: 2.5",
     "User-agent: sightline-scanner\nDisallow: /own\nUser-agent: *\nDisallow: /all",

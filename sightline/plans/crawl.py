@@ -1,14 +1,14 @@
 """Following links through a snapshot of fetched pages.
 
-The crawl visits what a first-in-first-out crawler would: the start page, the sitemap, then links in the
-order their pages were visited. Each level of the search is one set of joins; only the visited
-addresses, never more than ``max_pages`` per site where that is set, pass from level to level, through files in the
-shared scratch folder.
+The crawl visits what a first-in-first-out crawler would: the start page, the sitemap, then links in the order their pages were
+visited. Any number of requests, also for one site, are crawled side by side, each with its own start, limit and ranks, over one
+index of the pages: their links and, for a scan, their issues, both from one parse. Each level of the search is one set of joins;
+only the visited addresses of each request pass from level to level, through files in the shared scratch folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -18,6 +18,7 @@ from sightline.operators.dom import with_dom
 from sightline.operators.rules import RuleSet, page_issues
 from sightline.operators.summaries import with_severity
 from sightline.session import broadcastable, materialize, scratch_path
+from sightline.sources.history import append_scan_results, scan_results
 from sightline.sources.pages import with_site
 from sightline.sources.robots import is_blocked
 
@@ -25,14 +26,18 @@ from sightline.sources.robots import is_blocked
 # Up to here Spark limits the rows of a group before they are shuffled.
 GROUP_LIMIT = 1000
 CHUNK_BITS = 16
+# Links of one page that a place in the queue has room for.
+POS_BITS = 24
 
 
-def link_index(pages: DataFrame, sites: DataFrame, *, keep_fragment: bool = False) -> DataFrame:
-    """Same-site link targets of every page of the given sites, one row per fetched address.
+def page_index(
+    pages: DataFrame, sites: DataFrame, *, keep_fragment: bool = False, scan: bool = False, rules: RuleSet | None = None
+) -> DataFrame:
+    """One row per fetched address of the given sites: ``ok``, same-site link ``targets``, and with ``scan`` the enriched ``issues``.
 
-    A short list of sites is broadcast and other sites' pages are dropped before parsing; with a long
-    one the pages are parsed where they lie and only their link lists are joined. Links are resolved
-    inside the page's row; of several fetches of one address the latest (highest ``page_id``) counts.
+    Links and issues come from one parse. A short list of sites is broadcast and other sites' pages are dropped before parsing;
+    with a long one the pages are parsed where they lie and only what was found is joined. Of several fetches of one address the
+    latest (highest ``page_id``) counts. Markup does not leave the task that read it.
     """
     chosen = sites.select("site").distinct()
     few = broadcastable(chosen)
@@ -41,14 +46,25 @@ def link_index(pages: DataFrame, sites: DataFrame, *, keep_fragment: bool = Fals
     target = resolve_url("url", "h") if keep_fragment else without_fragment(resolve_url("url", "h"))
     hrefs = "transform(filter(dom, e -> e.tag = 'a' AND e.attrs['href'] IS NOT NULL), e -> e.attrs['href'])"
     targets = f"array_distinct(filter(transform({hrefs}, h -> {target}), t -> {netloc('t')} = site))"
-    parsed = with_dom(wanted.withColumn("ok", F.expr("coalesce(html <> '', false)")), markup=False)
-    rows = parsed.selectExpr("site", "page_id", f"{without_fragment('url')} AS address", "ok", f"{targets} AS targets")
+    parsed = with_dom(wanted.withColumn("ok", F.expr("coalesce(html <> '', false)")), markup=scan)
+    rows = parsed.selectExpr(
+        "site", "page_id", f"{without_fragment('url')} AS address", "ok", f"{targets} AS targets", *(["dom"] if scan else [])
+    )
+    facts = ["ok", "targets"]
+    if scan:
+        rows = with_severity(page_issues(rows, rules))
+        facts += ["page_id", "issues"]
     kept = rows if few else rows.join(chosen, "site", "left_semi")
-    return kept.groupBy("address").agg(F.expr("max_by(struct(ok, targets), page_id) AS found")).select(
-        "address", "found.ok", "found.targets"
+    return kept.groupBy("address").agg(F.expr(f"max_by(struct({', '.join(facts)}), page_id) AS found")).select(
+        "address", *(f"found.{name}" for name in facts)
     )
 
 
+def link_index(pages: DataFrame, sites: DataFrame, *, keep_fragment: bool = False) -> DataFrame:
+    """The index of a crawl that does not scan."""
+    return page_index(pages, sites, keep_fragment=keep_fragment)
+
+
 def crawl(
     pages: DataFrame,
     seeds: DataFrame,
@@ -58,86 +74,105 @@ def crawl(
     sitemap: DataFrame | None = None,
     keep_fragment: bool = False,
     on_level: Callable[[int, int], None] | None = None,
+    links: bool = False,
 ) -> DataFrame:
-    """Addresses visited per site (``site, url, rank, level, outcome``), at most ``max_pages`` each, all that can be reached
-    if it is None.
+    """Addresses visited per request (``request, site, url, rank, level, outcome``), at most ``max_pages`` each, all that can be
+    reached if it is None.
 
-    ``seeds`` has one start address per site (``site, url``); ``robots`` the chosen rules
-    (``site, disallow``); ``sitemap`` locations (``site, pos, loc``). The outcome of a visit is ``ok``,
-    ``blocked`` or ``failed``; all three count. ``on_level`` is told the level and the number of
-    addresses visited so far.
+    ``seeds`` has a start address per request (``request, site, url``; without ``request`` there is one per site, and the result
+    has no such column either) and may have a limit of its own for each (``max_pages``, null: none); ``robots`` the chosen rules
+    (``site, disallow``); ``sitemap`` locations (``site, pos, loc``). ``pages`` may be a written ``page_index`` as well. The outcome of a
+    visit is ``ok``, ``blocked`` or ``failed``; all three count. ``on_level`` is told the level and the number of addresses visited so
+    far. ``links`` adds the ``targets`` of visits that are ok.
     """
     spark = pages.sparkSession
-    index = materialize(link_index(pages, seeds, keep_fragment=keep_fragment), "links")
+    keyed = "request" in seeds.columns
+    seeds = seeds if keyed else seeds.withColumn("request", F.col("site"))
+    index = pages if "targets" in pages.columns else materialize(link_index(pages, seeds, keep_fragment=keep_fragment), "links")
     store = scratch_path(spark, "crawl")
-    candidates = seeds.selectExpr("site", "url", "cast(0 AS BIGINT) AS parent", "0 AS pos")
+    own = "max_pages" in seeds.columns
+    limit = F.col("max_pages").cast("bigint") if own else F.lit(max_pages).cast("bigint")
+    limits = seeds.select("request", "site", "url", limit.alias("max_pages"))
+    if robots is None:
+        limits = limits.withColumn("disallow", F.lit(None).cast("array<string>"))
+    else:
+        limits = limits.join(robots.select("site", "disallow"), "site", "left")
+    # Read at every level, so written once: a row per request.
+    seeds = materialize(limits, "seeds")
+    limits = seeds.select("request", "max_pages", "disallow")
+    top = max_pages
+    if own:
+        top = seeds.agg(F.expr("CASE WHEN count(*) = count(max_pages) THEN max(max_pages) END")).first()[0]
+    candidates = seeds.selectExpr("request", "site", "url", "cast(0 AS BIGINT) AS place")
     if sitemap is not None:
-        listed = sitemap.join(seeds.select("site"), "site", "left_semi").where(f"{netloc('loc')} = site")
         candidates = candidates.unionByName(
-            listed.selectExpr("site", "loc AS url", "cast(0 AS BIGINT) AS parent", "pos + 1 AS pos")
+            _listed(seeds, sitemap).selectExpr("request", "site", "loc AS url", "cast(pos + 1 AS BIGINT) AS place")
         )
-    visited = None
-    level = 0
+    state = limits.withColumn("seen", F.lit(0).cast("bigint"))
+    visited, count, level = None, 0, 0
     while True:
-        accepted = _accept(candidates, visited, index, robots, max_pages)
+        accepted = _accept(candidates, visited, state, top)
         accepted.write.mode("overwrite").parquet(f"{store}/level={level}")
         fresh = spark.read.schema(accepted.schema).parquet(f"{store}/level={level}")
         visited = spark.read.schema(T.StructType([*accepted.schema.fields, T.StructField("level", T.IntegerType())])).parquet(store)
-        if fresh.isEmpty():
+        new = fresh.count()
+        if not new:
             break
+        count += new
         if on_level:
-            on_level(level, visited.count())
-        candidates = fresh.where("outcome = 'ok'").select(
-            "site", F.col("rank").alias("parent"), F.posexplode("targets").alias("pos", "url")
-        )
+            on_level(level, count)
+        # The file of the last level is small beside the index, which stays where it is if that can be broadcast.
+        leading = fresh.where("NOT blocked").select("request", "site", "rank", "address")
+        known = index.where("ok AND size(targets) > 0").select("address", "targets")
+        candidates = known.join(leading, "address").select(
+            "request", "site", "rank", F.posexplode("targets").alias("pos", "url")
+        ).selectExpr("request", "site", "url", f"shiftleft(rank, {POS_BITS}) + pos AS place")
+        # Ranks have no gaps, so the last one is the number of visits so far; requests without new visits are over.
+        state = fresh.groupBy("request").agg(F.max("rank").alias("seen")).join(limits, "request")
         level += 1
-    return visited.select("site", "url", "rank", "level", "outcome")
+    found = index.select("address", "ok", "targets") if links else index.select("address", "ok")
+    shown = ["request"] * keyed + ["site", "url", "rank", "level"]
+    outcome = "CASE WHEN blocked THEN 'blocked' WHEN coalesce(ok, false) THEN 'ok' ELSE 'failed' END AS outcome"
+    extra = ["CASE WHEN NOT blocked AND ok THEN targets END AS targets"] if links else []
+    return visited.join(found, "address", "left").selectExpr(*shown, outcome, *extra)
+
+
+def _listed(seeds: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """The sitemap locations that each request starts with besides its own address."""
+    return sitemap.where(f"{netloc('loc')} = site").join(seeds.select("request", "site"), "site")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Numbers the rows of each site in visiting order, however many they are, in chunks of neighbouring rows."""
-    order = ["site", "place.parent", "place.pos"]
+    """Numbers the rows of each request in visiting order, however many they are, in chunks of neighbouring rows."""
+    order = ["request", "place"]
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     held = materialize(laid.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "frontier")
-    sizes = held.groupBy("site", "chunk").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("site").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("site", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("site", "chunk").orderBy("place.parent", "place.pos")
-    numbered = held.withColumn("in_chunk", F.row_number().over(inside)).join(base, ["site", "chunk"])
+    sizes = held.groupBy("request", "chunk").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("request").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("request", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("request", "chunk").orderBy("place")
+    numbered = held.withColumn("in_chunk", F.row_number().over(inside)).join(base, ["request", "chunk"])
     return numbered.withColumn("row", F.col("base") + F.col("in_chunk")).drop("chunk", "base", "in_chunk")
 
 
-def _accept(candidates, visited, index, robots, max_pages) -> DataFrame:
-    """The candidates that are visited next, with rank, outcome and links."""
-    first = candidates.groupBy("site", "url").agg(F.expr("min(struct(parent, pos)) AS place"))
-    if visited is None:
-        unseen = first.withColumn("seen", F.lit(0).cast("bigint"))
-    else:
-        counts = visited.groupBy("site").agg(F.count("*").alias("seen"))
-        unseen = first.join(visited.select("site", "url"), ["site", "url"], "left_anti").join(counts, "site")
-    if max_pages is not None and max_pages <= GROUP_LIMIT:
+def _accept(candidates, visited, state, top) -> DataFrame:
+    """The candidates that are visited next, with their rank, whether rules block them, and where to look them up.
+
+    ``state`` has a row per request: the visits so far (``seen``), its limit and its rules.
+    """
+    first = candidates.groupBy("request", "site", "url").agg(F.min("place").alias("place"))
+    if visited is not None:
+        first = first.join(visited.select("request", "url"), ["request", "url"], "left_anti")
+    unseen = first.join(state, "request")
+    if top is not None and top <= GROUP_LIMIT:
         # The limit on the row number lets every task drop what cannot be visited before the shuffle.
-        in_site = Window.partitionBy("site").orderBy("place.parent", "place.pos")
-        ranked = unseen.withColumn("row", F.row_number().over(in_site)).where(f"row <= {max_pages}")
+        in_request = Window.partitionBy("request").orderBy("place")
+        ranked = unseen.withColumn("row", F.row_number().over(in_request)).where(f"row <= {int(top)}")
     else:
         ranked = _numbered(unseen)
-    taken = ranked.withColumn("rank", F.expr("cast(seen + row AS BIGINT)"))
-    if max_pages is not None:
-        taken = taken.where(f"rank <= {max_pages}")
-    if robots is None:
-        ruled = taken.withColumn("blocked", F.lit(False))
-    else:
-        ruled = taken.join(robots.select("site", "disallow"), "site", "left").withColumn(
-            "blocked", F.expr(is_blocked("url", "disallow"))
-        )
-    asked = ruled.withColumn("address", F.expr(without_fragment("url")))
-    # The small frontier meets the index in an inner join, in which it may be broadcast; the index stays where it is then.
-    known = index.join(asked.select("address").distinct(), "address")
-    fetched = asked.join(known, "address", "left")
-    return fetched.selectExpr(
-        "site", "url", "rank",
-        "CASE WHEN blocked THEN 'blocked' WHEN coalesce(ok, false) THEN 'ok' ELSE 'failed' END AS outcome",
-        "CASE WHEN NOT blocked AND ok THEN targets END AS targets",
+    taken = ranked.withColumn("rank", F.expr("cast(seen + row AS BIGINT)")).where("max_pages IS NULL OR rank <= max_pages")
+    return taken.selectExpr(
+        "request", "site", "url", "rank", f"coalesce({is_blocked('url', 'disallow')}, false) AS blocked", f"{without_fragment('url')} AS address",
     )
 
 
@@ -153,18 +188,87 @@ def crawl_progress(visits: DataFrame) -> DataFrame:
     return per_level.withColumn("scanned", F.sum("visited").over(so_far))
 
 
-def scan_visits(pages: DataFrame, visits: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Scan the pages a crawl fetched; blocked and failed addresses come out with no issues.
+def page_progress(visits: DataFrame, seeds: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
+    """What a crawler reports after each page it fetched: pages visited so far, addresses found so far, and the page.
 
-    One row per visit in the form of ``scan_pages``, with ``rank`` as scan order.
+    Takes a crawl with ``links``, its seeds and its sitemap. An address is found by the first visit that links to it, unless the
+    crawl started with it; numbers of first discoveries are added up over ranks in chunks, so a crawl of any length is many tasks.
+    A page's own links count from the next one on.
     """
-    latest = pages.selectExpr("page_id", f"{without_fragment('url')} AS address", "html")
-    wanted = visits.withColumn("address", F.expr(without_fragment("url")))
-    fetched = latest.join(wanted.where("outcome = 'ok'").select("address").distinct(), "address", "left_semi")
-    newest = fetched.groupBy("address").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p")).selectExpr(
-        "address", "p.page_id AS page_id", "p.html AS html"
+    key = "request" if "request" in visits.columns else "site"
+    seeds = seeds if "request" in seeds.columns else seeds.withColumn("request", F.col("site"))
+    visits = visits if key == "request" else visits.withColumn("request", F.col("site"))
+    fetched = visits.where("outcome = 'ok'")
+    start = seeds.select("request", "url")
+    begun = seeds.select("request", F.lit(1).cast("bigint").alias("n"))
+    if sitemap is not None:
+        listed = _listed(seeds, sitemap)
+        start = start.union(listed.select("request", "loc"))
+        begun = begun.unionByName(listed.groupBy("request").agg(F.count("*").alias("n")))
+    begun = begun.groupBy("request").agg(F.sum("n").alias("begun"))
+    finds = fetched.select("request", "rank", F.explode("targets").alias("url")).groupBy("request", "url").agg(F.min("rank").alias("rank"))
+    fresh = finds.join(start, ["request", "url"], "left_anti").groupBy("request", "rank").agg(F.count("*").alias("fresh"))
+    counted = fetched.select("request", "site", "url", "rank").join(fresh, ["request", "rank"], "left").selectExpr(
+        "*", "coalesce(fresh, 0) AS n", f"shiftright(rank, {CHUNK_BITS}) AS chunk"
+    )
+    sums = counted.groupBy("request", "chunk").agg(F.sum("n").alias("n"))
+    chunks_before = Window.partitionBy("request").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("request", "chunk", F.coalesce(F.sum("n").over(chunks_before), F.lit(0)).alias("base"))
+    rows_before = Window.partitionBy("request", "chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    local = counted.withColumn("so_far", F.coalesce(F.sum("n").over(rows_before), F.lit(0)))
+    joined = local.join(base, ["request", "chunk"]).join(begun, "request")
+    shown = ["request", "site"] if key == "request" else ["site"]
+    return joined.selectExpr(*shown, "url", "rank", "rank AS scanned", "begun + base + so_far AS found")
+
+
+COUNTS = ("total", "critical", "major", "minor")
+
+
+def scan_visits(pages: DataFrame, visits: DataFrame, rules: RuleSet | None = None, exclude: Iterable[str] = ()) -> DataFrame:
+    """The visits with what a scan finds: ``page_id``, ``issues`` and their counts; blocked and failed addresses have none.
+
+    ``pages`` may be an index made for a scan, which is then only looked up. Rules in ``exclude`` are left out, and for each visit those
+    in its own column ``exclude`` (names), where there is one.
+    """
+    index = pages if "issues" in pages.columns else page_index(pages, visits, scan=True, rules=rules)
+    wanted = visits.withColumn("address", F.expr(f"CASE WHEN outcome = 'ok' THEN {without_fragment('url')} END"))
+    joined = wanted.join(index.select("address", "page_id", "issues"), "address", "left").drop("address")
+    skipped = F.array(*map(F.lit, exclude)).cast("array<string>")
+    if "exclude" in visits.columns:
+        skipped = F.concat(skipped, F.coalesce("exclude", F.array().cast("array<string>")))
+    kept = joined.withColumn("skipped", skipped).withColumn(
+        "issues", F.expr("CASE WHEN size(skipped) = 0 THEN issues ELSE filter(issues, i -> NOT array_contains(skipped, i.analyzer)) END")
     )
-    scanned = with_severity(page_issues(with_dom(newest), rules)).drop("parse_error")
-    joined = wanted.join(scanned, "address", "left").drop("address")
-    zero = {name: F.coalesce(name, F.lit(0)) for name in ("total", "critical", "major", "minor")}
-    return joined.withColumns(zero)
+    counts = {name: f"size(filter(issues, i -> i.severity = '{name}'))" for name in vocab.SEVERITIES}
+    sizes = {"total": "size(issues)", **counts}
+    return kept.drop("skipped").withColumns({name: F.expr(f"greatest(coalesce({sizes[name]}, 0), 0)") for name in COUNTS})
+
+
+def scan_sites(
+    pages: DataFrame, seeds: DataFrame, *, rules: RuleSet | None = None, exclude: Iterable[str] = (), **crawl_options
+) -> DataFrame:
+    """Crawl and scan in one parse of the pages: the visits of ``crawl`` with issues and counts.
+
+    ``seeds`` may name rules to leave out per request (``exclude``). Links and issues are written once, by address; the crawl
+    reads the links of it, the result looks up the issues of what was visited.
+    """
+    index = materialize(
+        page_index(pages, seeds, keep_fragment=crawl_options.get("keep_fragment", False), scan=True, rules=rules), "page-index",
+    )
+    visits = crawl(index, seeds, **crawl_options)
+    if "exclude" in seeds.columns:
+        key = "request" if "request" in seeds.columns else "site"
+        visits = visits.join(seeds.select(key, "exclude"), key)
+    return scan_visits(index, visits, exclude=exclude)
+
+
+def scan_to_history(pages: DataFrame, seeds: DataFrame, path: str, ts: int | None = None, batch: str | None = None, **options) -> DataFrame:
+    """Crawl, scan and append to the history in one go. Only pages that were fetched are stored, an address once per site however
+    many requests visited it; returns all visits as written to the scratch folder."""
+    scanned = materialize(scan_sites(pages, seeds, **options), "site-scan")
+    fetched = scanned.where("outcome = 'ok'")
+    if "request" in scanned.columns:
+        # Requests may leave out different rules; the least request of an address speaks for it.
+        fetched = fetched.groupBy("site", "url").agg(F.min_by("issues", "request").alias("issues"))
+    append_scan_results(scan_results(fetched, ts), path, batch)
+    return scanned

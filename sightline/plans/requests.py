@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sightline.functions.urls import netloc, valid_scan_url, without_fragment
 from sightline.operators.rules import RuleSet
-from sightline.plans.crawl import crawl, scan_visits
+from sightline.plans.crawl import scan_sites
 from sightline.plans.scan import count_pages
 from sightline.sources.runs import EVENTS
 from sightline.vocab import CRAWL_MAX_PAGES
@@ -54,26 +54,33 @@ def run_page_requests(
     return _run_events(accepted.join(counted.withColumn("pages", F.lit(1)), "address", "left"))
 
 
-def run_site_requests(
+def scan_site_requests(
     pages: DataFrame,
     requests: DataFrame,
     *,
-    max_pages: int = CRAWL_MAX_PAGES,
+    max_pages: int | None = CRAWL_MAX_PAGES,
     robots: DataFrame | None = None,
     sitemap: DataFrame | None = None,
     rules: RuleSet | None = None,
+    exclude: Iterable[str] = (),
 ) -> DataFrame:
-    """Run every valid request for a whole site: crawl from the requested address, scan what was fetched.
+    """The visits of every valid request for a whole site, with what was found; ``request`` is the id of the run.
 
-    Several requests for one site share the crawl from the first of them. Returns the event log.
+    Every request is a crawl of its own, from its own address, under its own ``max_pages`` and without the rules in its own
+    ``exclude_analyzers``, where the requests have these columns; all share one parse of the pages.
     """
-    accepted = requests.where("valid").withColumn("site", F.expr(netloc("url")))
-    seeds = accepted.groupBy("site").agg(F.min_by("url", F.struct("requested_at", "url")).alias("url"))
-    visits = crawl(pages, seeds, max_pages=max_pages, robots=robots, sitemap=sitemap)
-    counted = scan_visits(pages, visits, rules).groupBy("site").agg(
+    options = ["max_pages"] if "max_pages" in requests.columns else []
+    skipped = ["exclude_analyzers AS exclude"] if "exclude_analyzers" in requests.columns else []
+    seeds = requests.where("valid").selectExpr("scan_id AS request", f"{netloc('url')} AS site", "url", *options, *skipped)
+    return scan_sites(pages, seeds, rules=rules, exclude=exclude, max_pages=max_pages, robots=robots, sitemap=sitemap)
+
+
+def run_site_requests(pages: DataFrame, requests: DataFrame, **options) -> DataFrame:
+    """Run every valid request for a whole site (``scan_site_requests``); returns the event log."""
+    counted = scan_site_requests(pages, requests, **options).groupBy(F.col("request").alias("scan_id")).agg(
         F.sum("total").alias("found"), F.count("*").alias("pages")
     )
-    return _run_events(accepted.join(counted, "site", "left"))
+    return _run_events(requests.where("valid").join(counted, "scan_id", "left"))
 
 
 def _run_events(joined: DataFrame) -> DataFrame:

@@ -128,3 +128,85 @@ def test_agrees_with_a_queue(spark, seed, cap, keep):
     )
     got = [(r.site, r["rank"], r.url, r.outcome) for r in visits.collect()]
     assert sorted(got) == sorted(want)
+
+
+def queue_log(pages, start, listed, cap):
+    """What a crawler reports after each fetched page: (visited, found, address)."""
+    host = urlparse(start).netloc
+    queue = [start] + [u for u in listed if urlparse(u).netloc == host]
+    seen, found, log = set(), len(queue), []
+    while queue and len(seen) < cap:
+        url = queue.pop(0)
+        if url in seen:
+            continue
+        seen.add(url)
+        if url not in pages:
+            continue
+        log.append((len(seen), found, url))
+        for href in pages[url]:
+            full = urljoin(url, href).split("#")[0]
+            if urlparse(full).netloc == host and full not in seen and full not in queue:
+                queue.append(full)
+                found += 1
+    return log
+
+
+def test_requests_are_crawls_of_their_own(spark, monkeypatch, tmp_path):
+    from sightline.operators import dom
+    from sightline.operators.rules import RuleSet, default_rules
+    from sightline.sources import history as H
+
+    monkeypatch.setattr(G, "CHUNK_BITS", 2)
+    draw = random.Random(11)
+    hosts = ("a.test", "b.test")
+    links = {
+        f"http://{h}/{n}": [draw.choice([f"/{draw.randrange(24)}", f"http://{h}/{draw.randrange(24)}#f", f"/no/{draw.randrange(4)}", "http://c.test/"])
+                            for _ in range(3)]
+        for h in hosts for n in range(20)
+    }
+    html = {u: "".join(f'<a href="{x}">t</a>' for x in hrefs) + "<img>" * (k % 3) for k, (u, hrefs) in enumerate(links.items())}
+    pages = snapshot(spark, html)
+    listed = {h: [f"http://{h}/{draw.randrange(20)}" for _ in range(3)] for h in hosts}
+    asked = [
+        ("r1", "a.test", "http://a.test/0", 9, None), ("r2", "a.test", "http://a.test/7", None, ["alt_text"]),
+        ("r3", "b.test", "http://b.test/3", 14, []), ("r4", "b.test", "http://b.test/nowhere", 2, None),
+    ]
+    seeds = spark.createDataFrame(asked, "request string, site string, url string, max_pages int, exclude array<string>")
+    sitemap = spark.createDataFrame([(h, k, u) for h in hosts for k, u in enumerate(listed[h])], "site string, pos int, loc string")
+
+    index = G.materialize(G.page_index(pages, seeds, scan=True), "index-test")
+    visits = G.crawl(index, seeds, sitemap=sitemap, links=True)
+    got = {(r.request, r["rank"], r.url, r.outcome) for r in visits.collect()}
+    want, logs = set(), set()
+    for request, site, start, cap, _ in asked:
+        steps = first_in_first_out(links, start, listed[site], [], cap or 10**9, False)
+        want |= {(request, k + 1, url, outcome) for k, (url, outcome) in enumerate(steps)}
+        logs |= {(request, *row) for row in queue_log(links, start, listed[site], cap or 10**9)}
+    assert got == want
+    assert {(r.request, r.scanned, r.found, r.url) for r in G.page_progress(visits, seeds, sitemap).collect()} == logs
+
+    path, parses = str(tmp_path / "scans"), []
+    parse = dom.with_dom
+    monkeypatch.setattr(G, "with_dom", lambda *a, **k: parses.append(1) or parse(*a, **k))
+    rules = RuleSet([r for r in default_rules().active() if r.name == "alt_text"])
+    scanned = G.scan_to_history(pages, seeds, path, 5, "one", rules=rules, sitemap=sitemap)
+    G.scan_to_history(pages, seeds, path, 5, "one", rules=rules, sitemap=sitemap)
+    assert len(parses) == 2
+    images = {u: h.count("<img>") for u, h in html.items()}
+    for r in scanned.collect():
+        assert r.total == (images[r.url] if r.outcome == "ok" and r.request != "r2" else 0)
+        assert (r.issues is None) == (r.outcome != "ok")
+    stored = [(r.site, r.url, len(r.issues)) for r in H.read_scan_history(spark, path).collect()]
+    first = {}
+    for request, _, url, outcome in sorted(want):
+        if outcome == "ok":
+            first.setdefault(url, 0 if request == "r2" else images[url])
+    assert sorted(stored) == sorted((urlparse(u).netloc, u, n) for u, n in first.items())
+
+
+def test_a_scan_parses_once_and_keeps_markup_in_its_task(spark):
+    pages = snapshot(spark, {"http://e.test/": "<img>"})
+    seeds = spark.createDataFrame([("e.test", "http://e.test/")], "site string, url string")
+    plan = G.page_index(pages, seeds, scan=True)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line or "MapInArrow" in line]
+    assert sum("MapInArrow" in line for line in exchanges) == 1 and not any("html" in line for line in exchanges if "Exchange hash" in line)
