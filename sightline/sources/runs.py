@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 EVENTS = (
     "scan_id string, event_time timestamp, status string, url string, pages_scanned int, total_issues int, "
     "started_at timestamp, completed_at timestamp, error string"
 )
 FIELDS = ("url", "pages_scanned", "total_issues", "started_at", "completed_at", "error")
+TEXTS = ("url", "error")
 DELETED = "deleted"
 LIFE = ("pending", "running", "failed", "completed", DELETED)
 
 
+def _latest(name: str):
+    return F.expr(f"max_by({name}, CASE WHEN {name} IS NOT NULL THEN moment END) AS {name}")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
@@ -24,16 +29,25 @@ def current_runs(events: DataFrame) -> DataFrame:
     appended later. Maxima combine before the shuffle, so a run with very many events costs no more than others.
     """
     known = ", ".join(f"'{status}'" for status in LIFE)
-    events = events.withColumn("moment", F.expr(f"struct(event_time, array_position(array({known}), status) AS stage, status)"))
-    latest = [
-        F.expr(f"max_by({name}, moment) FILTER (WHERE {name} IS NOT NULL) AS {name}") for name in FIELDS
-    ]
+    # One number to compare by; its remainder is the stage. Numbers and times are aggregated by hash; text, which few events have and
+    # which has to be sorted for it, apart from them. Both sides are grouped by run already when they meet.
+    if isinstance(events.schema["event_time"].dataType, T.TimestampNTZType):
+        micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', event_time)"
+    else:
+        micros = "unix_micros(event_time)"
+    stages = len(LIFE) + 1
+    events = events.withColumn("moment", F.expr(f"{micros} * {stages} + coalesce(array_position(array({known}), status), 0)"))
+    numbers = [_latest(name) for name in FIELDS if name not in TEXTS]
     state = events.groupBy("scan_id").agg(
-        F.max_by("status", "moment").alias("status"),
-        F.bool_or(F.col("status") == DELETED).alias("gone"), *latest,
+        F.max("moment").alias("moment"), F.max(F.col("status") == DELETED).alias("gone"), *numbers,
+    )
+    worded = events.where(f"url IS NOT NULL OR error IS NOT NULL OR pmod(moment, {stages}) = 0").groupBy("scan_id").agg(
+        *map(_latest, TEXTS), F.expr(f"max_by(status, CASE WHEN pmod(moment, {stages}) = 0 THEN moment END) AS other"),
     )
+    status = f"CASE WHEN pmod(moment, {stages}) = 0 THEN other ELSE get(array({known}), cast(pmod(moment, {stages}) - 1 AS INT)) END"
+    state = state.join(worded, "scan_id", "left").selectExpr("scan_id", f"{status} AS status", "gone", *FIELDS)
     counted = {name: F.coalesce(name, F.lit(0)) for name in ("pages_scanned", "total_issues")}
-    return state.where("not coalesce(gone, false)").drop("gone").withColumns(counted)
+    return state.where("NOT coalesce(gone, false)").drop("gone").withColumns(counted)
 
 
 def recent_runs(events: DataFrame, limit: int = 10) -> DataFrame:
