@@ -319,6 +319,53 @@ SELECT p.page_id, p.url,
        '{"issues":' || coalesce(to_json(l.issues), '[]') || ',"severity_summary":{"critical":' || critical || ',"major":'
        || major || ',"minor":' || minor || '},"version":"1"}' AS report, coalesce(c.summary, '') AS summary
 FROM page_counts p LEFT JOIN lists l USING (page_id) LEFT JOIN codes c USING (page_id)"""
+SQL["site_documents"] = WITH_EXPECTED + """
+, lists AS (
+  SELECT page_id, list({'code': code, 'message': message, 'context': context, 'analyzer': analyzer,
+                        'severity': severity, 'wcag': wcag, 'wcag_name': wcag_name, 'impact': impact} ORDER BY pos) AS issues
+  FROM enriched GROUP BY 1),
+codes AS (
+  SELECT page_id, string_agg('"' || code || '":' || n, ',' ORDER BY first) AS summary
+  FROM (SELECT page_id, code, count(*) AS n, min(pos) AS first FROM expected GROUP BY ALL) GROUP BY 1),
+lines AS (
+  SELECT site, 0 AS part, 0 AS page_id, '{"pages":{' AS line FROM planted GROUP BY site
+  UNION ALL
+  SELECT p.site, 1, p.page_id, CASE WHEN row_number() OVER (PARTITION BY p.site ORDER BY p.page_id) > 1 THEN ',' ELSE '' END || '"' || p.url
+    || '":{"issues":' || coalesce(to_json(l.issues), '[]') || ',"summary":{' || coalesce(c.summary, '') || '},"severity_summary":{"critical":'
+    || critical || ',"major":' || major || ',"minor":' || minor || '}}'
+  FROM page_counts p LEFT JOIN lists l USING (page_id) LEFT JOIN codes c USING (page_id)
+  UNION ALL
+  SELECT site, 2, 0, '},"version":"1","severity_summary":{"critical":' || sum(critical)::BIGINT || ',"major":' || sum(major)::BIGINT || ',"minor":'
+    || sum(minor)::BIGINT || '}}' FROM page_counts GROUP BY site)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY part, page_id) - 1 AS n, line FROM lines"""
+SQL["report_text"] = WITH_EXPECTED + f"""
+, details AS (
+  SELECT site, page_id, {PLACE} AS place, severity AS severity_class, {EMOJI} || ' ' || upper(severity) AS badge, code, coalesce(wcag, '-') AS wcag,
+         {esc('message')} AS message,
+         {esc('substring(context, 1, 100)')} || CASE WHEN length(context) > 100 THEN '...' ELSE '' END AS context
+  FROM enriched),
+pages_shown AS (SELECT *, {ANCHOR} AS anchor, {STATUS} AS status_class, {esc('url')} AS shown FROM page_counts),
+totals AS (
+  SELECT site, count(*) AS pages, sum(total)::BIGINT AS issues, sum(critical)::BIGINT AS critical, sum(major)::BIGINT AS major,
+         sum(minor)::BIGINT AS minor FROM page_counts GROUP BY site),
+lines AS (
+  SELECT site, 0 AS part, 0 AS weight, 0 AS page_id, 0 AS place, '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>'
+    || 'Accessibility Report</title></head><body><main><h1>Accessibility Report</h1><p>2024-01-01 00:00:00 / 1</p><p>' || pages || ' pages, '
+    || issues || ' issues: ' || critical || ' critical, ' || major || ' major, ' || minor || ' minor</p>'
+    || '<script type="application/json" id="chart">' || {CHART} || '</script><table>' AS line FROM totals
+  UNION ALL
+  SELECT site, 1, -total, page_id, 0, '<tr class="' || status_class || '"><td><a href="#' || anchor || '">' || shown || '</a></td><td>' || total
+    || '</td><td>' || critical || '</td><td>' || major || '</td><td>' || minor || '</td></tr>' FROM pages_shown
+  UNION ALL SELECT site, 1, 1, 0, 0, '</table>' FROM totals
+  UNION ALL
+  SELECT site, 2, 0, page_id, 0, '<section id="' || anchor || '"><h2><a href="' || shown || '">' || shown || '</a> ' || total
+    || ' issues</h2><table>' FROM pages_shown WHERE total > 0
+  UNION ALL
+  SELECT site, 2, 0, page_id, place + 1, '<tr class="severity-' || severity_class || '"><td>' || badge || '</td><td><code>' || code
+    || '</code></td><td>' || wcag || '</td><td>' || message || '</td><td><code>' || context || '</code></td></tr>' FROM details
+  UNION ALL SELECT site, 2, 0, page_id, total + 1, '</table></section>' FROM pages_shown WHERE total > 0
+  UNION ALL SELECT site, 3, 0, 0, 0, '</main></body></html>' FROM totals)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY part, weight, page_id, place) - 1 AS n, line FROM lines"""
 SQL["report_lines"] = WITH_EXPECTED + """
 SELECT site, 0 AS part, CAST(1 AS BIGINT) AS n_lines FROM planted GROUP BY site
 UNION ALL SELECT site, 3, 1 FROM planted GROUP BY site

@@ -278,6 +278,23 @@ def report_lines(spark, sf):
     return lines.groupBy("site", "part").agg(F.count("*").alias("n_lines"))
 
 
+@query
+def site_documents(spark, sf):
+    """The nested report of every site, line by line, as written to shared files and read back."""
+    path = scratch_path(spark, "documents")
+    P.write_documents(P.site_document(_kept_scan(spark, sf)), ["part", "page_id"], path)
+    return P.read_documents(spark, path)
+
+
+@query
+def report_text(spark, sf):
+    """The HTML report of every site, line by line, as written to shared files and read back."""
+    path = scratch_path(spark, "documents")
+    lines = P.report_lines(_kept_scan(spark, sf), GENERATED)
+    P.write_documents(lines, ["part", "weight", "page_id", "place"], path)
+    return P.read_documents(spark, path)
+
+
 # -- colours --------------------------------------------------------------------------------------
 
 

@@ -6,12 +6,14 @@ several reports read it several times: keep the scan with ``materialize`` first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sightline import vocab
 from sightline.functions import severity as S
 from sightline.functions.text import anchor_id, html_escape, lit
-from sightline.operators.summaries import severity_totals
+from sightline.operators.summaries import nested_report, severity_totals
 from sightline.session import materialize
 
 DEFAULT_TITLE = "Accessibility Report"
@@ -159,6 +161,77 @@ def write_site_report(pages: DataFrame, path: str, generated: str, title: str |
     ).text(path)
 
 
+def site_document(pages: DataFrame, fixed: DataFrame | None = None, version: str = "1") -> DataFrame:
+    """The nested report of every site as ordered lines (``site, part, page_id, line``) that join to one JSON object.
+
+    The first line opens ``pages``, a line per page in order of ``page_id`` holds its entry, the last one has the version and the
+    site's counts. ``fixed`` (an output of ``apply_fixes`` for the same pages) adds what was fixed and the start of the new markup, or why
+    not. A site is never gathered: lines are made in the row of their page, and only counts and the first page of a site are grouped.
+    """
+    nested = nested_report(pages, version)
+    entry = "to_json(struct(issues, summary, severity_summary), map('ignoreNullFields', 'false'))"
+    if fixed is not None:
+        done = (
+            "CASE WHEN fix_error IS NULL THEN to_json(struct(applied AS fixed_fixes, "
+            f"substring(fixed_html, 1, {vocab.SNIPPET_CHARS}) AS fixed_html_snippet), map('ignoreNullFields', 'false')) "
+            "ELSE to_json(struct(fix_error AS fixed_error)) END AS fix_entry"
+        )
+        nested = nested.join(fixed.selectExpr("page_id", done), "page_id", "left")
+        entry = f"concat(substring({entry}, 1, length({entry}) - 1), coalesce(concat(',', substring(fix_entry, 2)), '}}'))"
+    entries = nested.selectExpr("site", "1 AS part", "page_id", "to_json(named_struct('u', url)) AS name", f"{entry} AS entry")
+    first = pages.groupBy("site").agg(F.min("page_id").alias("page_id")).withColumn("leading", F.lit(""))
+    body = entries.join(first, ["site", "page_id"], "left").selectExpr(
+        "site", "part", "page_id", "concat(coalesce(leading, ','), substring(name, 6, length(name) - 6), ':', entry) AS line"
+    )
+    none = "cast(NULL AS BIGINT) AS page_id"
+    head = first.selectExpr("site", "0 AS part", none, """'{"pages":{' AS line""")
+    counts = "to_json(struct(critical, major, minor))"
+    foot = severity_totals(pages, "site").selectExpr(
+        "site", "2 AS part", none, f"""concat('}},"version":', {_json_text(version)}, ',"severity_summary":', {counts}, '}}') AS line"""
+    )
+    return head.unionByName(body).unionByName(foot)
+
+
+def _json_text(text: str) -> str:
+    return lit(json.dumps(text))
+
+
+def write_documents(lines: DataFrame, order: list[str], path: str) -> None:
+    """Write the lines of many sites' documents (``site``, the columns of ``order``, ``line``) in files shared by neighbouring sites.
+
+    Lines are range-partitioned, so the number of files follows from their bytes: small sites share one, a large site has
+    several. Beside them lies an index with the files of a site and its first and last line in each.
+    """
+    keys = ["site", *order]
+    laid = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    row = f"monotonically_increasing_id() & {(1 << 33) - 1}"
+    numbered = laid.selectExpr("site", "line", f"{row} AS row", "spark_partition_id() AS file")
+    numbered.write.partitionBy("file").parquet(f"{path}/lines")
+    stored = lines.sparkSession.read.parquet(f"{path}/lines")
+    stored.groupBy("site", "file").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row")).write.parquet(f"{path}/index")
+
+
+def document_index(spark: SparkSession, path: str) -> DataFrame:
+    """Where documents lie: ``site, file, first_row, last_row``."""
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all documents with their number in the document: ``site, n, line``."""
+    before = Window.partitionBy("site").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum(F.col("last_row") - F.col("first_row") + 1).over(before)
+    starts = document_index(spark, path).withColumn("start", F.coalesce(size, F.lit(0)))
+    rows = spark.read.parquet(f"{path}/lines").join(starts, ["site", "file"])
+    return rows.selectExpr("site", "start + row - first_row AS n", "line")
+
+
+def read_document(spark: SparkSession, path: str, site: str) -> DataFrame:
+    """The lines of one site's document in order; only its files are read."""
+    files = [r["file"] for r in document_index(spark, path).where(F.col("site") == site).select("file").collect()]
+    rows = spark.read.parquet(f"{path}/lines").where(F.col("file").isin(files) & (F.col("site") == site))
+    return rows.orderBy("file", "row").select("line")
+
+
 def write_json_report(report: DataFrame, path: str) -> None:
     """Write nested page reports as JSON lines."""
     report.write.option("ignoreNullFields", "false").json(path)

@@ -165,3 +165,44 @@ def test_prompts(pages_of):
     row = X.suggestion_prompts(page_issues(kept).withColumnRenamed("source", "html")).first()
     head, html = row.prompt.split("HTML snippet (truncated):\n")
     assert len(html) == 4000 and '"code":"IMG_MISSING_ALT"' in head
+
+
+def test_site_documents_in_shared_files(spark, pages_of, tmp_path):
+    sites = {f"http://s{n:02}.test": n % 4 + 1 for n in range(12)} | {"http://big.test": 300}
+    pages = None
+    for k, (site, n) in enumerate(sites.items()):
+        rows = pages_of(*[PAGE.format("<img src=a>" * (i % 3)) for i in range(n)], site=site).withColumn("page_id", F.col("page_id") + 1000 * k)
+        pages = rows if pages is None else pages.unionByName(rows)
+    odd = pages_of('<p style="color:rgb(1,2);background:#fff">"x"</p>', site='http://odd.test/"q"').withColumn("page_id", F.lit(-1).cast("long"))
+    pages = pages.unionByName(odd)
+    scanned = scan_pages(pages)
+    path = str(tmp_path / "documents")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        P.write_documents(P.site_document(scanned, X.apply_fixes(pages)), ["part", "page_id"], path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    index = P.document_index(spark, path).collect()
+    files = {}
+    for r in index:
+        files.setdefault(r.site, []).append(r.file)
+    assert len(files["big.test"]) > 1 and len({r.file for r in index}) <= int(before) < len(files)
+    whole = {}
+    for r in P.read_documents(spark, path).orderBy("site", "n").collect():
+        whole.setdefault(r.site, []).append((r.n, r.line))
+    assert whole.keys() == files.keys()
+    totals = {r.url: r for r in scanned.collect()}
+    for site, lines in whole.items():
+        assert [n for n, _ in lines] == list(range(len(lines)))
+        assert [r.line for r in P.read_document(spark, path, site).collect()] == [line for _, line in lines]
+        report = json.loads("".join(line for _, line in lines))
+        own = {u: r for u, r in totals.items() if r.site == site}
+        assert report["pages"].keys() == own.keys() and report["version"] == "1"
+        assert report["severity_summary"] == {c: sum(r[c] for r in own.values()) for c in ("critical", "major", "minor")}
+        for url, entry in report["pages"].items():
+            assert len(entry["issues"]) == own[url].total == sum(entry["summary"].values())
+            if site == "odd.test":
+                assert entry["fixed_error"] and "fixed_fixes" not in entry
+            else:
+                assert entry["fixed_html_snippet"].count("alt=") == len(entry["fixed_fixes"]) == entry["summary"].get("IMG_MISSING_ALT", 0)
