@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import WORD_GAP, id_and_text
+from sightline.llm.tables import WORD_GAP, fresh, id_and_text
 from sightline.session import materialize
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
@@ -117,8 +117,9 @@ def _verified(texts, alignments, items, span, percent):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without verified overlaps, with all their columns."""
+    leak_id, leak_key = fresh(docs, "leak_id"), fresh(docs, "leak_key")
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
-        F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key"),
+        F.col("doc_id").alias(leak_id), F.col("text_key").alias(leak_key),
     ).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("leak_key"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(leak_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(leak_key))
     return docs.join(found, same, "left_anti")

@@ -17,10 +17,10 @@ without being linked: n members of a region outside its largest component are n
 
 A pair at exactly 0.8 shares a region with probability 1 - (1 - 0.8**3)**16 = 0.99999, in a family of any size. Screening asks
 for 82 equal values of 128, which such a pair misses with probability 0.000009; both together find it with 0.99998, and a pair
-at 0.82 with 0.999997. Chains and step 1 only add to that. Confirmation is exact, so there are no false links.
+at 0.82 with 0.999997. Chains and step 1 only add to that. Confirmation compares full sets of hashes of 128 bits.
 
-Defined results: null, empty and blank texts have no shingles and stay alone; texts shorter than a shingle are one shingle;
-rows with one id count as one document; a null id gets no component and is kept; an empty table gives an empty table.
+Defined results: null, empty and blank texts have no shingles and stay alone; texts shorter than a shingle are one shingle; very
+long texts go through slices of words like any other; each row of one id is judged by its own text; a null id gets no component and is kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import wordarrays as wa
 from sightline.llm.components import components
-from sightline.llm.tables import id_and_text, signed
+from sightline.llm.tables import fresh, id_and_text, signed
 from sightline.session import materialize
 
 TREES, DEPTH, START = 16, 8, 3
@@ -76,11 +76,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one with the least id; repeated rows of one id collapse to one row."""
-    id_col = options.get("id_col", "doc_id")
-    verdicts = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).join(verdicts.hint("merge"), F.col(id_col) == F.col("kept_id"), "left_semi")
-    return once.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each group, the one with the least id. Rows of one id and text collapse to one row; different texts
+    under one id stay beside each other if the id stays. Columns of any further names are kept."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    kept = fresh(docs, "kept_id")
+    verdicts = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias(kept)).distinct()
+    once = docs.where(F.col(id_col).isNotNull()).join(verdicts.hint("merge"), F.col(id_col) == F.col(kept), "left_semi")
+    return once.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def _shingles(data, offsets, size):

@@ -79,8 +79,7 @@ class ChunkTokens:
         hashes = [np.empty(len(starts), np.uint64) for _ in range(2)]
         for lo, hi in self._blocks(starts, ends):
             at = starts[lo]
-            values = data[at : ends[hi - 1]].astype(np.uint64) + np.uint64(1)
-            for out, h in zip(hashes, wa.run_hashes(values, starts[lo:hi] - at, ends[lo:hi] - at)):
+            for out, h in zip(hashes, wa.byte_hashes(data[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)):
                 out[lo:hi] = h
         where = self._find(*hashes)
         if (where < 0).any():

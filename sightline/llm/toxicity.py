@@ -68,9 +68,8 @@ def _terms(data, words):
         for lo in range(0, len(data), wa.BLOCK):
             a, b = np.searchsorted(words.starts, (lo, lo + wa.BLOCK))
             long = a + np.flatnonzero(size[a:b] > width)
-            values = wa.LOWER[data[lo : lo + wa.BLOCK + width]].astype(np.uint64) + np.uint64(1)
             at = words.starts[long] - lo
-            term[long] = wa.mixed(wa.run_hashes(values, at, at + width, wa.BASES[:1])[0])
+            term[long] = wa.mixed(wa.byte_hashes(wa.LOWER[data[lo : lo + wa.BLOCK + width]], at, at + width, wa.BASES[:1])[0])
         out.append(term)
     return np.stack(out)
 

@@ -4,8 +4,11 @@ Arrow hands a text column over as one run of UTF-8 bytes with row offsets. Words
 bytes for many rows at once, without a Python object per word. Work goes through slices of about ``SLICE`` bytes, so
 memory follows the slice, or the longest single text.
 
-Hashes are polynomials modulo 2**64 taken from prefix sums (the Rabin-Karp form), then mixed. Two independent ones are
-kept where equality decides anything across documents.
+Hashes of bytes are sums of scrambled lanes of eight bytes, each keyed by its place in the run. Hashes of windows of words are
+polynomials modulo 2**64 over these, taken from prefix sums (the Rabin-Karp form), then mixed. Such polynomials are blind to
+Thue-Morse sequences of 1,024 values and more, so they are taken of at most ``PLAIN`` words, wider windows are chained from
+such, and bytes never go through them. Two independent hashes are kept where equality decides anything across documents:
+unequal runs agree in both with probability 2**-128 as long as nobody searches for collisions of these very constants.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow.compute as pc
 
 SLICE = 1 << 20
 BLOCK = 1 << 18
+PLAIN = 64
 
 _U = np.uint64
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
@@ -107,7 +111,7 @@ def spans(space: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bases=BASES) -> list[np.ndarray]:
-    """One hash per base of ``values[start:end]`` (unsigned 64-bit values)."""
+    """One hash per base of ``values[start:end]`` (unsigned 64-bit values, a few)."""
     out = []
     for base in bases:
         up, down = powers(base, len(values) + 1)
@@ -117,6 +121,25 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bases=B
     return out
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bases=BASES) -> list[np.ndarray]:
+    """One hash per base of the bytes ``data[start:end]``, of any length."""
+    sizes = ends - starts
+    lanes = (sizes + 7) >> 3
+    first = prefix(lanes)
+    place = np.arange(first[-1]) - np.repeat(first[:-1], lanes)
+    at = np.repeat(starts, lanes) + 8 * place
+    left = np.repeat(ends, lanes) - at
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))[at] & _LOW_BYTES[np.minimum(left, 8)]
+    place = place.astype(np.uint64) + _U(1)
+    out = []
+    for base in bases:
+        # Twice scrambled: with one round two lanes could trade a difference that the scrambling carries over unchanged.
+        sums = prefix(mixed(mixed(eights ^ (place * base)) + base))
+        out.append(mixed(sums[first[1:]] - sums[first[:-1]] + sizes.astype(np.uint64) * _U(0x2545F4914F6CDD1D)))
+    return out
+
+
 class Words:
     """The words of some texts: byte bounds, word offsets per text and hashes. With another ``gap``, lines or the like."""
 
@@ -144,6 +167,12 @@ class Words:
 def window_hashes(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     """The hash of every ``size`` neighbouring values, whatever text they belong to."""
     n = len(values)
+    if size > PLAIN:
+        parts = window_hashes(values, PLAIN, base)
+        out = np.zeros(max(0, n - size + 1), np.uint64)
+        for k in [*range(0, size - PLAIN, PLAIN), size - PLAIN]:
+            out = mixed(out * base ^ parts[k : k + len(out)])
+        return out
     up, down = powers(base, n + 1)
     sums = prefix(values * up[:n])
     return mixed((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1])
@@ -163,8 +192,7 @@ def _run_blocks(data, offsets, fold, bases, gap):
         part = data[at:stop]
         lo, hi = np.searchsorted(offsets, (at, stop))
         starts, ends = spans(gap[part], offsets[lo:hi] - at)
-        values = fold[part].astype(np.uint64) + _U(1) if bases else part
-        yield (starts + at, ends + at, *run_hashes(values, starts, ends, bases))
+        yield (starts + at, ends + at, *(byte_hashes(fold[part], starts, ends, bases) if bases else ()))
         at = stop
 
 
