@@ -55,9 +55,10 @@ hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR mild_failed) AS bad FROM judged WHERE source IS NOT NULL GROUP BY source),
 fit AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM hosts),
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM fit),
-verdicts AS (SELECT source, (bad + m * s) / (n + s) > 0.5 AS rejected FROM hosts, prior)
+rates AS (SELECT source, n, m, s, (bad + m * s) / (n + s) AS rate FROM hosts, prior),
+verdicts AS (SELECT source, rate + sqrt(rate * (1 - rate) / (n + s + 1)) >= m AS rejected FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(rejected, false) AND mild_failed) AS kept
+  NOT base_failed AND NOT (coalesce(rejected, true) AND mild_failed) AS kept
 FROM judged LEFT JOIN verdicts USING (source)
 """
 

@@ -3,14 +3,15 @@
 Counts per document feed fixed rules. Failures are added up by host; a host's rate of failing documents is shrunk towards
 the rate of all hosts by a beta prior that is itself fitted to the hosts (method of moments), so that a host with three
 documents is not judged like one with three million. Documents that fail a base rule go. Documents that fail one of the milder
-rules go as well, unless their host is known to fail less than expected: its posterior rate lies ``SURE`` standard deviations below
-the prior mean. So junk that is spread evenly over hosts goes, and a host of otherwise good documents keeps its odd ones. With
-a fixed ``limit``, only hosts whose shrunk rate is above it lose them. A document without failures always stays.
+rules go as well, unless their host is known to fail less than expected: its posterior rate lies more than ``SURE`` standard
+deviations below the prior mean. So junk that is spread evenly over hosts goes, and a host of otherwise good documents keeps its
+odd ones. A document without failures always stays.
 
 Counting is one pass over the text; only counts are shuffled, added up per task first, so a host with a third of all
 documents is as cheap as any. The prior is two numbers. Defined results: null and empty texts have no words and fail;
-documents with a null host are judged alone, so that nothing excuses a mild failure unless ``limit`` is given; repeated rows are judged one by one and each counts for its host; the result
-has the named columns only; an empty table gives an empty table.
+documents with a null host are judged alone, so that nothing excuses a mild failure; very long texts are counted in slices of whole
+rows; repeated rows are judged one by one and each counts for its host; counts and verdicts have the named columns only, whatever
+further columns the input has, and ``passing_documents`` has those of its input; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ MAX_REPEAT_PERCENT = 20
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 MEAN_WORD_CHARS = (2, 20)
-HOST_LIMIT = 0.5
-SURE = 2.0
+SURE = 1.0
 PRIOR_STRENGTH = (1.0, 1e6)
 
 SYMBOLS = np.zeros(256, bool)
@@ -85,7 +85,7 @@ def mild_failed() -> F.Column:
     )
 
 
-def host_rates(judged: DataFrame, host_col: str = "source", limit: float | None = None) -> DataFrame:
+def host_rates(judged: DataFrame, host_col: str = "source") -> DataFrame:
     """Per host: documents, failures, the shrunk rate and the verdict (whether mild failures count)."""
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(host_col).agg(
         F.count("*").alias("host_docs"), F.sum((F.col("base_failed") | F.col("mild_failed")).cast("long")).alias("host_failed"),
@@ -97,21 +97,18 @@ def host_rates(judged: DataFrame, host_col: str = "source", limit: float | None
         strength = min(max(mean * (1 - mean) / spread - 1, PRIOR_STRENGTH[0]), PRIOR_STRENGTH[1])
     shrunk = (F.col("host_failed") + (mean or 0.0) * strength) / (F.col("host_docs") + strength)
     rated = hosts.withColumn("host_rate", shrunk)
-    if limit is not None:
-        return rated.withColumn("host_rejected", F.col("host_rate") > limit)
     deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + strength + 1))
     return rated.withColumn("host_rejected", F.col("host_rate") + SURE * deviation >= (mean or 0.0))
 
 
-def judged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                     limit: float | None = None) -> DataFrame:
+def judged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, host, counts, ``base_failed``, ``mild_failed``, ``host_rate``, ``host_rejected``, ``kept``."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
     judged = materialize(
         text_counts(plain).withColumn("base_failed", base_failed()).withColumn("mild_failed", mild_failed()), "quality",
     )
-    hosts = host_rates(judged, "source", limit).select("source", "host_rate", "host_rejected")
-    rejected = F.coalesce(F.col("host_rejected"), F.lit(limit is None))
+    hosts = host_rates(judged, "source").select("source", "host_rate", "host_rejected")
+    rejected = F.coalesce(F.col("host_rejected"), F.lit(True))
     return judged.join(hosts, "source", "left").withColumn("host_rejected", rejected).withColumn(
         "kept", ~F.col("base_failed") & ~(rejected & F.col("mild_failed")),
     )

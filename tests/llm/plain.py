@@ -135,7 +135,7 @@ def passing(rows):
     excused = set()
     for s, n in docs.items():
         rate = (failed[s] + mean * strength) / (n + strength)
-        if rate + 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 < mean:
+        if rate + (rate * (1 - rate) / (n + strength + 1)) ** 0.5 < mean:
             excused.add(s)
     return {i for i, source, base, mild in judged if not base and (not mild or source in excused)}
 
