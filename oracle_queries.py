@@ -684,3 +684,40 @@ SQL["site_request_results"] = VISITS + """
 SELECT min(CASE WHEN level = 0 AND rank = 1 THEN v.url END) AS url, 'completed' AS status,
        CAST(count(*) AS INTEGER) AS pages_scanned, CAST(count(x.url) AS INTEGER) AS total_issues
 FROM visits v LEFT JOIN (SELECT url FROM node_url WHERE i % 3 = 0) x ON x.url = v.url AND outcome = 'ok' GROUP BY site"""
+
+SQL["served_run_pages"] = REQUEST_VISITS + """
+SELECT request, url, rank, CAST(coalesce(missing_alt, false) AS INTEGER) AS total, CASE WHEN missing_alt THEN 'IMG_MISSING_ALT critical' ELSE '' END AS issues
+FROM scanned WHERE outcome = 'ok'
+UNION ALL SELECT 1000000 + i, url, 1, CAST(i % 3 = 0 AS INTEGER), CASE WHEN i % 3 = 0 THEN 'IMG_MISSING_ALT critical' ELSE '' END FROM node_url"""
+SQL["served_runs"] = REQUEST_VISITS + """
+SELECT request, r.url, 'completed' AS status, CAST(n AS INTEGER) AS pages_scanned, CAST(found AS INTEGER) AS total_issues,
+       CAST(NULL AS VARCHAR) AS error, true AS in_order
+FROM requests r JOIN (SELECT request, count(*) AS n, count(*) FILTER (missing_alt) AS found FROM scanned WHERE outcome = 'ok' GROUP BY 1)
+  USING (request)
+UNION ALL SELECT 1000000 + i, url, 'completed', 1, CAST(i % 3 = 0 AS INTEGER), NULL, true FROM node_url
+UNION ALL SELECT 2000000 + i, 'http://nowhere.test/' || i, 'failed', 0, 0, 'page not found', true FROM node_url"""
+
+# Slices of five days arrive one after the other, some rows two or three slices late; an address is known for six days past the watermark.
+SQL["stream_seen_again"] = """
+WITH RECURSIVE late AS (
+  SELECT 'http://user.test/' || user_id AS url, ts, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS BIGINT) // 432000000000
+         + CASE event_id % 17 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS slice FROM events),
+arrived AS (SELECT slice, url, min(ts) AS ts FROM late GROUP BY ALL),
+marks AS (
+  SELECT slice, (SELECT max(a.ts) FROM arrived a WHERE a.slice < s.slice - 1) - INTERVAL 6 DAY AS mark FROM (SELECT DISTINCT slice FROM arrived) s),
+timely AS (
+  SELECT url, ts, mark, row_number() OVER (PARTITION BY url ORDER BY slice) AS n FROM arrived JOIN marks USING (slice)
+  WHERE mark IS NULL OR ts > mark),
+walk AS (
+  SELECT url, n, ts, ts AS known, true AS fresh FROM timely WHERE n = 1
+  UNION ALL
+  SELECT t.url, t.n, t.ts, CASE WHEN w.known + INTERVAL 6 DAY <= t.mark THEN t.ts ELSE w.known END,
+         coalesce(w.known + INTERVAL 6 DAY <= t.mark, false)
+  FROM walk w JOIN timely t ON t.url = w.url AND t.n = w.n + 1)
+SELECT url, ts AS seen FROM walk WHERE fresh"""
+
+SQL["site_prompts"] = """
+SELECT site, 'You are an accessibility expert. Given the site HTML and list of issues, '
+       || 'provide concise, actionable fixes for each issue.' || chr(10) || chr(10) || 'Found issues: []' || chr(10) || chr(10)
+       || 'HTML snippet (truncated):' || chr(10) || substring(string_agg(url, chr(10) ORDER BY page_id), 1, 4000) AS prompt
+FROM (SELECT 'http://s' || (page_id % 3) || '.test/' || url AS url, page_id, 's' || (page_id % 3) || '.test' AS site FROM pages) GROUP BY site"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sightline import vocab
 from sightline.functions.color import (
@@ -190,6 +190,24 @@ def write_fixed_html(fixed: DataFrame, path: str, *, file_per_page: bool = False
         named.write.parquet(path)
 
 
+def site_prompts(scanned: DataFrame) -> DataFrame:
+    """A request text per site, about its list of pages (by ``page_id``); needs ``site``.
+
+    An address takes at least one character and a line break, so no more rows of a site than the text has room for can
+    matter; the limit is applied before the shuffle, and a site of any size is one small list.
+    """
+    room = vocab.PROMPT_HTML_CHARS
+    first = Window.partitionBy("site").orderBy("page_id", "url")
+    listed = scanned.where("url IS NOT NULL AND url <> ''").select("site", "page_id", "url")
+    kept = listed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= room // 2)
+    pages = kept.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("place", "url"))).alias("pages"))
+    return pages.selectExpr(
+        "site",
+        f"concat({lit(vocab.PROMPT_INTRO)}, '\\n\\nFound issues: []\\n\\nHTML snippet (truncated):\\n', "
+        f"substring(array_join(pages.url, '\\n'), 1, {room})) AS prompt",
+    )
+
+
 def suggestion_prompts(scanned: DataFrame) -> DataFrame:
     """A request text per page for a model that suggests fixes; needs ``html`` and ``issues``."""
     shown = "to_json(transform(issues, i -> struct(i.code, i.message, i.context, i.analyzer)))"

@@ -12,7 +12,7 @@ from sightline.operators import fixes as X, limiter as L, rules as R, summaries
 from sightline.operators.dom import elements, with_dom
 from sightline.operators.links import page_links
 from sightline.operators.nodes import HEADINGS, descendants
-from sightline.plans import corpora, crawl as G, report as P, requests as V
+from sightline.plans import corpora, crawl as G, report as P, requests as V, run_store
 from sightline.plans.scan import scan_issues, scan_pages, site_severity_summary
 from sightline.session import materialize, scratch_path
 from sightline.sources import history, robots, runs
@@ -570,6 +570,15 @@ def suggestion_prompts(spark, sf):
     return X.suggestion_prompts(scanned)
 
 
+@query
+def site_prompts(spark, sf):
+    """Request texts about whole sites; pages are put on three sites, each with more of them than a text has room for."""
+    sited = _pages(spark, sf).selectExpr(
+        "page_id", "concat('s', page_id % 3, '.test') AS site", "concat('http://s', page_id % 3, '.test/', url) AS url"
+    )
+    return X.site_prompts(sited)
+
+
 # -- request logs -------------------------------------------------------------------------------------
 
 
@@ -666,6 +675,17 @@ def stream_seen_urls(spark, sf):
     return _appended(SS.first_sightings(doubled), "stream-seen")
 
 
+@query
+def stream_seen_again(spark, sf):
+    """Addresses that arrive in slices of five days, some rows late: one seen again after its state has ended counts anew."""
+    path = scratch_path(spark, "stream-again")
+    visits = materialize(corpora.late_visits(_table(spark, sf, "events")), "late-visits")
+    for part in range(visits.agg(F.max("slice")).first()[0] + 1):
+        visits.where(F.col("slice") == part).drop("slice").coalesce(1).write.mode("append").parquet(f"{path}/log")
+    stream = spark.readStream.schema(visits.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    return _appended(SS.first_sightings(stream, "ts", "6 days"), "stream-again").selectExpr("url", "cast(ts AS TIMESTAMP_NTZ) AS seen")
+
+
 @query
 def stream_severity_counts(spark, sf):
     return _updated(SS.running_severity_counts(_page_stream(spark, sf)), "stream-counts", "site")
@@ -729,3 +749,41 @@ def site_request_results(spark, sf):
     asked = V.with_scan_ids(corpora.graph_seeds(graph).selectExpr("url", "timestamp_seconds(1700000000) AS requested_at"))
     events = V.run_site_requests(graph, asked, max_pages=40, robots=rules, sitemap=listed)
     return runs.current_runs(events).select("url", "status", "pages_scanned", "total_issues")
+
+
+def _served(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Requests for sites, for every page and for pages that do not exist, served in two batches, one of them twice."""
+    graph, inputs = _crawl_inputs(spark, sf)
+    at = "timestamp_seconds(1700000000) AS requested_at"
+    sites = corpora.graph_requests(graph).selectExpr(
+        "request AS request_key", "url", at, "true AS scan_site", "max_pages", "exclude AS exclude_analyzers"
+    )
+    single = graph.selectExpr(
+        "explode(array(struct(1000000 + page_id AS request_key, url), struct(2000000 + page_id AS request_key, "
+        "concat('http://nowhere.test/', page_id) AS url))) AS r", "page_id",
+    ).selectExpr("r.request_key", "r.url", at, "false AS scan_site", "cast(NULL AS INT) AS max_pages", "array('media') AS exclude_analyzers")
+    asked = sites.unionByName(single)
+    path = scratch_path(spark, "served")
+    again = asked.where("NOT scan_site AND request_key % 2 = 0")
+    for batch, rows in (("a", again), ("b", asked.where("scan_site OR request_key % 2 = 1")), ("a", again)):
+        run_store.serve_requests(graph, rows, path, batch, **inputs)
+    return V.with_scan_ids(asked).select("scan_id", F.col("request_key").alias("request"), "requested_at"), path
+
+
+@query
+def served_runs(spark, sf):
+    """What became of every request, and whether its times are in order."""
+    asked, path = _served(spark, sf)
+    return runs.current_runs(run_store.read_events(spark, path)).join(asked, "scan_id").selectExpr(
+        "request", "url", "status", "pages_scanned", "total_issues", "error",
+        "requested_at < started_at AND started_at < completed_at AS in_order",
+    )
+
+
+@query
+def served_run_pages(spark, sf):
+    """The results of the runs, page by page."""
+    asked, path = _served(spark, sf)
+    return run_store.read_results(spark, path).join(asked, "scan_id").selectExpr(
+        "request", "url", "rank", "total", "array_join(transform(issues, i -> concat(i.code, ' ', i.severity)), ',') AS issues",
+    )

@@ -255,3 +255,12 @@ def page_requests(pages: DataFrame) -> DataFrame:
         "explode(array(url, concat('ftp://nowhere.test/', page_id), concat('http://nowhere.test/', page_id))) AS url",
         f"{at} AS requested_at",
     )
+
+
+def late_visits(events: DataFrame) -> DataFrame:
+    """Events as visits (``slice, url, ts``) in the slice of five days they arrive with, some two or three slices late; one of each
+    address per slice."""
+    days = "floor((unix_micros(cast(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01')) / 432000000000)"
+    late = "CASE event_id % 17 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END"
+    rows = events.selectExpr(f"{days} + {late} AS slice", "concat('http://user.test/', user_id) AS url", "cast(ts AS TIMESTAMP) AS ts")
+    return rows.groupBy("slice", "url").agg(F.min("ts").alias("ts"))
