@@ -721,3 +721,28 @@ SELECT site, 'You are an accessibility expert. Given the site HTML and list of i
        || 'provide concise, actionable fixes for each issue.' || chr(10) || chr(10) || 'Found issues: []' || chr(10) || chr(10)
        || 'HTML snippet (truncated):' || chr(10) || substring(string_agg(url, chr(10) ORDER BY page_id), 1, 4000) AS prompt
 FROM (SELECT 'http://s' || (page_id % 3) || '.test/' || url AS url, page_id, 's' || (page_id % 3) || '.test' AS site FROM pages) GROUP BY site"""
+
+# The planted page as the parser writes it, and its edits.
+PARSED = WITH_EXPECTED + """
+, edited AS (SELECT page_id, url, k, CASE k """ + " ".join(
+    f"WHEN {k} THEN replace(html, {q(a)}, {q(b)})"
+    for k, (a, b) in ({k: ("<footer>", x + "<footer>") for k, x in SNIPPETS.items()} | EDITS).items()
+) + """ ELSE html END AS html FROM planted),
+closed AS (
+  SELECT page_id, url, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(html,
+    '<!DOCTYPE html>', '<!DOCTYPE html>' || chr(10)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+    '<(img|input|meta|track|br)([^>]*[^/>])?>', '<\\1\\2/>', 'g'), '<br/>(<p>|</ar|</main)', '<br/></b></p>\\1', 'g'),
+    ' (autoplay|muted|controls|hidden|loop)([ />])', ' \\1=""\\2', 'g'), ' (autoplay|muted|controls|hidden|loop)([ />])', ' \\1=""\\2', 'g') AS html
+  FROM edited),
+parsed AS (SELECT page_id, url, k, html || CASE WHEN contains(html, '</body>') THEN '' ELSE '</body>' END
+                  || CASE WHEN contains(html, '</html>') THEN '' ELSE '</html>' END AS html FROM closed),
+edits(k, old, new) AS (VALUES
+  (1, '<img src="logo.png"/>', '<img src="logo.png" alt="logo.png"/>'), (2, '<img src="i.png"/>', '<img src="i.png" alt="Icon"/>'),
+  (3, '<img src="b.png" alt="  "/>', '<img src="b.png" alt="b.png"/>'),
+  (7, '<p style="color: #777777; background-color: #ffffff">', '<p style="color: #000000;  background-color: #ffffff">'))
+"""
+SQL["fixed_pages"] = PARSED + """
+SELECT page_id, url, CASE WHEN old IS NULL THEN html ELSE replace(html, old, new) END AS fixed_html FROM parsed LEFT JOIN edits USING (k)"""
+SQL["undone_pages"] = PARSED + "SELECT page_id, url, html FROM parsed"
+SQL["fix_edits"] = PARSED + """
+SELECT page_id, 0 AS pos, CAST(strpos(html, old) - 1 AS INTEGER) AS at, old, new FROM parsed JOIN edits USING (k)"""

@@ -27,7 +27,7 @@ NODE = T.StructType([
     T.StructField("markup", T.StringType()),
     T.StructField("outer_len", T.IntegerType()),
 ])
-PIECES = [T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType())]
+PIECES = [T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("at", T.IntegerType())]
 
 BATCH_CHARS = 8_000_000
 SMALL_INPUT_BYTES = 1 << 30
@@ -43,7 +43,7 @@ class _Batch:
         self.chars = 0
         self.offsets = [0]
         self.cols: dict[str, list] = {name: [] for name in NODE.names}
-        self.cols |= {"lead": [], "tail": []}
+        self.cols |= {"lead": [], "tail": [], "at": []}
         self.attr_offsets, self.keys, self.values = [0], [], []
         self.errors: list[str | None] = []
         self.prologs: list[str | None] = []
@@ -82,6 +82,7 @@ class _Batch:
                 lead, tail = page.pieces(i)
                 cols["lead"].append(lead)
                 cols["tail"].append(tail)
+            cols["at"].extend(map(page.start, range(count)))
             self.prologs.append(page.prolog())
         self.offsets.append(self.offsets[-1] + count)
 
@@ -104,6 +105,7 @@ class _Batch:
         if self.pieces:
             fields["lead"] = pa.array(self.cols["lead"], text)
             fields["tail"] = pa.array(self.cols["tail"], text)
+            fields["at"] = pa.array(self.cols["at"], ints)
         nodes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
         out = {
             "dom": pa.ListArray.from_arrays(pa.array(self.offsets, ints), nodes),
@@ -132,7 +134,7 @@ def with_dom(pages: DataFrame, *, markup: bool = True, pieces: bool = False) ->
 
     All other columns are kept. ``markup=False`` leaves out the quoted markup for jobs that only
     count. ``pieces=True`` adds what is needed to write the page back: per element its start tag
-    (``lead``) and what follows it (``tail``), and per page a ``prolog``. A page that cannot be
+    (``lead``), what follows it (``tail``) and where it begins (``at``), and per page a ``prolog``. A page that cannot be
     read keeps its row, with an empty list and a ``parse_error``.
     """
     kept = [field for field in pages.schema.fields if field.name != "html"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sightline import vocab
 from sightline.functions.color import (
@@ -104,13 +105,17 @@ def _alt_maps(pages: DataFrame, alt_lookup: DataFrame) -> DataFrame:
     )
 
 
-def apply_fixes(pages: DataFrame, alt_lookup: dict[str, str] | DataFrame | None = None) -> DataFrame:
+def apply_fixes(pages: DataFrame, alt_lookup: dict[str, str] | DataFrame | None = None, *, edits: bool = False) -> DataFrame:
     """Pages with ``fixed_html``, the ``applied`` fixes in order, and ``fix_error``.
 
     Problems are found again on the page itself. ``alt_lookup`` gives alternative texts by image
     ``src`` or ``id``: a small dictionary, or a table ``(key, alt)`` of any size. A page with an
     unreadable rgb() colour is left alone and gets a ``fix_error``. Apart from joining such a table
     everything happens in the row of the page.
+
+    ``edits=True`` adds the same rewriting as a script: ``parsed_html``, the page as the parser writes it, and ``edits``, a list of
+    ``at`` (place in ``parsed_html``), ``old`` and ``new`` text in order of place. Every edit is one whole start tag, with both fixes of it
+    in one, so edits never overlap. ``spliced`` applies a script or takes it back.
     """
     if isinstance(alt_lookup, DataFrame):
         mapped = _alt_maps(pages, alt_lookup)
@@ -121,20 +126,20 @@ def apply_fixes(pages: DataFrame, alt_lookup: dict[str, str] | DataFrame | None
     parsed = with_dom(mapped, markup=False, pieces=True)
     decided = parsed.selectExpr(
         *keys, "prolog", f"{MALFORMED} AS malformed",
-        "transform(dom, e -> struct(e.node_id, e.subtree_end, e.outer_len, e.tag, e.attrs, e.lead, e.tail, "
+        "transform(dom, e -> struct(e.node_id, e.subtree_end, e.outer_len, e.tag, e.attrs, e.lead, e.tail, e.at, "
         f"CASE WHEN {NEEDS_ALT} THEN {SUGGESTION} END AS alt, {_style_fix()} AS style)) AS parts",
     )
     named = decided.selectExpr(
         *keys, "prolog", "malformed",
         "transform(transform(parts, e -> struct(e.node_id, e.subtree_end, e.outer_len, e.tag, "
         f"CASE WHEN e.alt IS NULL THEN e.attrs ELSE {_with_attr('e.attrs', 'alt', 'e.alt')} END AS attrs, "
-        "e.lead, e.tail, e.alt, e.style)), e -> struct(e.node_id, e.subtree_end, e.outer_len, e.tag, e.attrs, e.lead, "
-        f"e.tail, e.alt, e.style, CASE WHEN e.alt IS NULL THEN e.lead ELSE {_start_tag('e.tag', 'e.attrs')} END "
+        "e.lead, e.tail, e.at, e.alt, e.style)), e -> struct(e.node_id, e.subtree_end, e.outer_len, e.tag, e.attrs, e.lead, "
+        f"e.tail, e.at, e.alt, e.style, CASE WHEN e.alt IS NULL THEN e.lead ELSE {_start_tag('e.tag', 'e.attrs')} END "
         "AS alt_lead)) AS parts",
     )
     styled = named.selectExpr(
         *keys, "prolog", "malformed",
-        "transform(parts, e -> struct(e.node_id, e.subtree_end, e.outer_len, e.lead, e.tail, e.alt, e.style, e.alt_lead, "
+        "transform(parts, e -> struct(e.node_id, e.subtree_end, e.outer_len, e.lead, e.tail, e.at, e.alt, e.style, e.alt_lead, "
         "length(e.alt_lead) - length(e.lead) AS grown, CASE WHEN e.style IS NULL THEN e.alt_lead ELSE "
         f"{_start_tag('e.tag', _with_attr('e.attrs', 'style', 'e.style.style'))} END AS new_lead)) AS parts",
     )
@@ -147,17 +152,54 @@ def apply_fixes(pages: DataFrame, alt_lookup: dict[str, str] | DataFrame | None
         f"concat('set color=', e.style.color) AS fix, {_context('e.new_lead')} AS context))"
     )
     html = "concat(prolog, array_join(transform(parts, e -> concat(e.new_lead, e.tail)), ''))"
+    script = [
+        "concat(prolog, array_join(transform(parts, e -> concat(e.lead, e.tail)), '')) AS parsed_html",
+        "CASE WHEN malformed THEN array() ELSE transform(filter(parts, e -> e.new_lead <> e.lead), "
+        "e -> struct(e.at, e.lead AS old, e.new_lead AS new)) END AS edits",
+    ]
     return styled.selectExpr(
         *keys,
         f"CASE WHEN NOT malformed THEN {html} END AS fixed_html",
         f"CASE WHEN malformed THEN array() ELSE concat({alts}, {styles}) END AS applied",
         f"{FIX_ERROR} AS fix_error",
+        *(script if edits else []),
     )
 
 
+def _splice(markup: str, edits, undo: bool) -> str:
+    out, done, shift = [], 0, 0
+    for edit in edits:
+        old, new = (edit["new"], edit["old"]) if undo else (edit["old"], edit["new"])
+        at = edit["at"] + shift if undo else edit["at"]
+        if at < done or markup[at : at + len(old)] != old:
+            raise ValueError(f"the edit at {edit['at']} does not fit the markup")
+        out += [markup[done:at], new]
+        done = at + len(old)
+        shift += len(edit["new"]) - len(edit["old"])
+    return "".join([*out, markup[done:]])
+
+
+def spliced(markup: str, edits: str, *, undo: bool = False) -> Column:
+    """The markup column with its edits applied, or taken back; null if either is null. An edit whose old text is not found at
+    its place, or that overlaps the one before, is an error."""
+
+    @F.pandas_udf("string")
+    def splice(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or e is None else _splice(t, e, undo) for t, e in zip(texts, lists)], dtype=object)
+
+    return splice(markup, edits)
+
+
+def edit_rows(fixed: DataFrame) -> DataFrame:
+    """One row per edit: the keys of the page, ``pos``, ``at``, ``old`` and ``new``, narrow enough to store instead of rewritten pages."""
+    keys = [name for name in fixed.columns if name not in ("fixed_html", "applied", "fix_error", "parsed_html", "edits")]
+    rows = fixed.select(*keys, F.posexplode_outer("edits").alias("pos", "e")).where("e IS NOT NULL")
+    return rows.select(*keys, "pos", "e.at", "e.old", "e.new")
+
+
 def fix_rows(fixed: DataFrame) -> DataFrame:
     """One row per applied fix, in order."""
-    keys = [name for name in fixed.columns if name not in ("fixed_html", "applied", "fix_error")]
+    keys = [name for name in fixed.columns if name not in ("fixed_html", "applied", "fix_error", "parsed_html", "edits")]
     rows = fixed.select(*keys, F.posexplode_outer("applied").alias("pos", "f")).where("f IS NOT NULL")
     return rows.select(*keys, "pos", "f.code", "f.fix", "f.context")
 

@@ -152,6 +152,10 @@ class Page:
         following = self._span[i + 1][0] if i + 1 < len(self._span) else len(self.canonical)
         return self.canonical[first:opened], self.canonical[opened:following]
 
+    def start(self, i: int) -> int:
+        """Where the element begins in the canonical markup."""
+        return self._span[i][0]
+
     def prolog(self) -> str:
         return self.canonical[: self._span[0][0]] if self._span else self.canonical
 

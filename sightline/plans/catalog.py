@@ -555,6 +555,19 @@ def fixed_pages(spark, sf):
     return X.apply_fixes(_injected(spark, sf), ALT_TEXTS).select("page_id", "url", "fixed_html")
 
 
+@query
+def fix_edits(spark, sf):
+    """The rewriting as a script of edits."""
+    return X.edit_rows(X.apply_fixes(_injected(spark, sf), ALT_TEXTS, edits=True)).select("page_id", "pos", "at", "old", "new")
+
+
+@query
+def undone_pages(spark, sf):
+    """The rewritten pages with their edits taken back."""
+    fixed = X.apply_fixes(_injected(spark, sf), ALT_TEXTS, edits=True)
+    return fixed.select("page_id", "url", X.spliced("fixed_html", "edits", undo=True).alias("html"))
+
+
 @query
 def refixed_pages(spark, sf):
     """Fixes still needed after fixing, and the issues of the fixed pages."""

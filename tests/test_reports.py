@@ -206,3 +206,22 @@ def test_site_documents_in_shared_files(spark, pages_of, tmp_path):
                 assert entry["fixed_error"] and "fixed_fixes" not in entry
             else:
                 assert entry["fixed_html_snippet"].count("alt=") == len(entry["fixed_fixes"]) == entry["summary"].get("IMG_MISSING_ALT", 0)
+
+
+def test_edits_apply_and_undo(pages_of):
+    sources = ['<p>é<img src=a><img src="a" alt=" "><p style="color:#777;background:#fff">x</p>', "<p>plain", "", None,
+               '<img style="color:#777;background-color:#fff">', '<img src=b><p style="color:rgb(1,2);background:#fff">x']
+    fixed = X.apply_fixes(pages_of(*sources), {"a": 'say "é" 😀'}, edits=True).select(
+        "*", X.spliced("parsed_html", "edits").alias("again"), X.spliced("fixed_html", "edits", undo=True).alias("back"))
+    rows = {r.page_id: r for r in fixed.collect()}
+    assert [len(rows[k].edits) for k in range(6)] == [3, 0, 0, 0, 1, 0]
+    for k, r in rows.items():
+        if r.fix_error is None:
+            assert (r.again, r.back) == (r.fixed_html, r.parsed_html)
+        for e in r.edits:
+            assert r.parsed_html[e.at : e.at + len(e.old)] == e.old
+    # Both fixes of one start tag are one edit, and a page that cannot be read is left as it is.
+    assert len(rows[4].applied) == 2 and rows[5].fixed_html is None and rows[5].back is None and rows[5].again == rows[5].parsed_html
+    assert [(r.page_id, r.pos) for r in X.edit_rows(fixed.drop("again", "back")).orderBy("page_id", "pos").collect()] == [(0, 0), (0, 1), (0, 2), (4, 0)]
+    with pytest.raises(Exception, match="does not fit"):
+        fixed.where("page_id = 0").select(X.spliced("fixed_html", "edits")).collect()
