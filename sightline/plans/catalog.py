@@ -663,14 +663,18 @@ def _updated(frame: DataFrame, label: str, key: str) -> DataFrame:
     return LS.latest_updates(spark, f"{path}/out", key)
 
 
+def _arriving(sf: str, name: str) -> str:
+    """A table for a stream to read, be it one file or a folder of them; Spark takes a path that is no pattern for a folder."""
+    return f"{sf}/{{{name}}}.parquet"
+
+
 def _page_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return corpora.injected(SS.stream_pages(spark, sf, glob="pages.parquet"))
+    return corpora.injected(SS.stream_pages(spark, _arriving(sf, "pages"), glob="*"))
 
 
 def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = _table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return L.request_log(events, TICK_MICROS)
+    return L.request_log(spark.readStream.schema(schema).parquet(_arriving(sf, "events")), TICK_MICROS)
 
 
 @query

@@ -29,6 +29,14 @@ def test_query_agrees_with_its_sql(spark, database, name):
     assert verdict.startswith("ok"), verdict
 
 
+@pytest.mark.parametrize("name", ["stream_scan", "stream_severity_counts", "stream_seen_urls", "stream_rate_grants", "stream_adaptive_rates"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    for table in ("pages", "events"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    expected, found = (QUERIES[name](spark, folder) for folder in (SMALL, str(tmp_path)))
+    assert expected.count() and sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_registration():
     assert set(oracle_sql()) <= set(queries())
     assert set(QUERIES) <= set(queries())
