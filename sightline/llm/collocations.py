@@ -72,7 +72,7 @@ class _Run:
     """Words under dense numbers, and the exact number of times each phrase of some words occurs."""
 
     def __init__(self):
-        self.n, self.langs, self.word_hash = 0, {}, None
+        self.n, self.langs = 0, {}
         self.bytes, self.sizes, self.joined, self.lang = [], [], [], []
 
     def add(self, data, offsets, names, codes):
@@ -92,46 +92,86 @@ class _Run:
         self.bytes.append(folded[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
         self.sizes.append(ends - starts)
         self.joined.append(joined)
-        self.lang.append(numbers[codes[row]])
+        self.lang.append(numbers[codes[row]].astype(np.int32))
         self.n += len(starts)
 
     def counted(self):
-        """(first words of the phrases, word numbers after them ...) per phrase length with exact counts: see ``phrases``."""
+        """Per phrase length: the number of each phrase's beginning (one word shorter), that of its last word, and exact counts.
+
+        Only what the next length needs is held meanwhile; ``members`` goes back over the lengths that were yielded.
+        """
         data, sizes = np.concatenate(self.bytes), np.concatenate(self.sizes)
-        bounds = wa.prefix(sizes)
         joined, lang = np.concatenate(self.joined), np.concatenate(self.lang)
-        words = pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
-        self.words = words.dictionary
+        self.bytes = self.sizes = self.joined = self.lang = None
+        words = pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(wa.prefix(sizes)), pa.py_buffer(data)).dictionary_encode()
+        del data, sizes
         # The same word in two languages is two words here.
-        of_word, of_lang = words.indices.to_numpy().astype(np.int64), np.int64(len(self.langs))
-        numbers, number = np.unique(of_word * of_lang + lang, return_inverse=True)
-        self.word_of, self.lang_of = numbers // of_lang, numbers % of_lang
+        of_lang = np.int64(len(self.langs))
+        numbers, number = _numbered(words.indices.to_numpy().astype(np.int64) * of_lang + lang)
+        self.words = words.dictionary
+        del words, lang
+        self.word_of, self.lang_of = (numbers // of_lang).astype(np.int32), (numbers % of_lang).astype(np.int32)
         n_words = np.int64(len(numbers))
-        counts = np.bincount(number, minlength=len(numbers))
-        yield np.arange(n_words)[:, None], counts
-        known, shorter = number, np.arange(n_words)[:, None]
-        possible = np.ones(self.n, bool)
+        counts = np.bincount(number, minlength=n_words)
+        self.steps = [(None, np.arange(n_words, dtype=np.int32))]
+        yield *self.steps[0], counts
+        known, possible = number, np.ones(self.n, bool)
         for size in range(2, LONGEST + 1):
             # ``known[i]`` numbers the phrase of size - 1 words that ends at word i - 1 of a phrase that goes on there.
             possible = np.append(False, possible[:-1]) & joined
-            at = np.flatnonzero(possible)
-            keys, again, counts = np.unique(known[at - 1] * n_words + number[at], return_inverse=True, return_counts=True)
-            members = np.column_stack([shorter[keys // n_words], keys % n_words])
-            yield members, counts
-            known = np.zeros(self.n, np.int64)
-            known[at], shorter = again, members
-
-    def hashes(self, members: np.ndarray) -> np.ndarray:
-        """One hash per phrase, of its language and words."""
-        if self.word_hash is None:
-            word, lang = (_text_hashes(x) for x in (self.words, pa.array(list(self.langs), pa.string())))
-            self.word_hash = wa.mixed(word[self.word_of] ^ wa.mixed(lang[self.lang_of]))
-        out = np.zeros(len(members), np.uint64)
-        for column in members.T:
-            out = wa.mixed(out * _U(0x9E3779B97F4A7C15) + self.word_hash[column])
+            at = np.flatnonzero(possible).astype(np.int32)
+            keys = known[at - 1].astype(np.int64)
+            keys *= n_words
+            keys += number[at]
+            known = None
+            if size < LONGEST:
+                keys, again = _numbered(keys)
+                counts = np.bincount(again, minlength=len(keys))
+                known = np.zeros(self.n, np.int32)
+                known[at] = again
+                del again
+            else:
+                keys.sort()
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+                counts, keys = np.diff(first, append=len(keys)), keys[first]
+                del first
+            del at
+            self.steps.append(((keys // n_words).astype(np.int32), (keys % n_words).astype(np.int32)))
+            del keys
+            yield *self.steps[-1], counts
+
+    def hashed(self):
+        """Per phrase length: one hash per phrase, of its language and words, and the counts."""
+        hashes = None
+        for beginning, last, counts in self.counted():
+            if hashes is None:
+                word, lang = (_text_hashes(x) for x in (self.words, pa.array(list(self.langs), pa.string())))
+                word_hash = wa.mixed(word[self.word_of] ^ wa.mixed(lang[self.lang_of]))
+                hashes = wa.mixed(word_hash[last])
+            else:
+                hashes = wa.mixed(hashes[beginning] * _U(0x9E3779B97F4A7C15) + word_hash[last])
+            yield hashes, counts
+
+    def members(self, size: int, which: np.ndarray) -> np.ndarray:
+        """The word numbers of some phrases of ``size`` words, a row each."""
+        out = np.empty((len(which), size), np.int32)
+        for place in range(size - 1, -1, -1):
+            beginning, last = self.steps[place]
+            out[:, place] = last[which]
+            which = beginning[which] if place else None
         return out
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for each key its number among them."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return keys[first], number
+
+
 def _text_hashes(column: pa.Array) -> np.ndarray:
     """Hashes that find the place of a phrase. Equality never rests on them, so the beginning of a long word will do."""
     data, offsets = wa.text_buffers(column)
@@ -202,24 +242,13 @@ def frequent_filter(docs: DataFrame, threshold: int = THRESHOLD, text_col: str =
     run_words, filter_bits = RUN_WORDS, FILTER_BITS
 
     def pack(batches):
-        for run in _runs(batches, run_words):
-            found = [(run.hashes(members), counts) for members, counts in run.counted()]
-            hashes, counts = (np.concatenate(x) for x in zip(*found))
-            parts = (hashes >> _U(64 - part_bits)).astype(np.uint32)
-            order = np.argsort(parts.astype(np.uint16) if part_bits <= 16 else parts, kind="stable")
-            hashes, counts, parts = hashes[order], counts[order].astype(np.uint32), parts[order]
-            first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-            ends = np.append(first[1:], len(parts))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(parts[first].astype(np.int32)),
-                pa.array([hashes[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-                pa.array([counts[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-            ], ["part", "hashes", "counts"])
+        return _packed_runs(batches, run_words, part_bits)
 
     def fold(batches):
         part, summary = None, None
         for batch in batches:
-            for number, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, hashes, counts in zip(*batch.columns):
+                number, hashes, counts = number.as_py(), hashes.as_buffer(), counts.as_buffer()
                 if number != part:
                     if summary is not None:
                         yield _stretch(part, summary, part_bits, filter_bits)
@@ -243,6 +272,25 @@ def frequent_filter(docs: DataFrame, threshold: int = THRESHOLD, text_col: str =
     return bits
 
 
+def _packed_runs(batches: Iterator[pa.RecordBatch], run_words: int, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """What the first pass sends: the hashes of each run and phrase length with their counts."""
+    for run in _runs(batches, run_words):
+        for hashes, counts in run.hashed():
+            if len(hashes):
+                yield _packed(hashes, counts, part_bits)
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray, part_bits: int) -> pa.RecordBatch:
+    """Hashes with counts, a row per hash partition."""
+    parts = (hashes >> _U(64 - part_bits)).astype(np.uint16 if part_bits <= 16 else np.uint32)
+    order = np.argsort(parts, kind="stable").astype(np.int32)
+    hashes, counts, parts = hashes[order], counts[order].astype(np.uint32), parts[order]
+    first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    bounds = np.append(first, len(parts)).astype(np.int32)
+    columns = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in (hashes, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(parts[first].astype(np.int32)), *columns], ["part", "hashes", "counts"])
+
+
 def _bit(hashes: np.ndarray, filter_bits: int) -> np.ndarray:
     return (hashes >> _U(64 - filter_bits)).astype(np.int64)
 
@@ -268,17 +316,20 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "
     def count(batches):
         for run in _runs(batches, run_words):
             langs, words = list(run.langs), None
-            totals = np.bincount(np.concatenate(run.lang), minlength=len(langs))
-            yield _counted_rows(langs, np.zeros(len(langs), np.int64), [""] * len(langs), totals)
-            for members, counts in run.counted():
-                words = words or run.words.to_pylist()
-                at = _bit(run.hashes(members), filter_bits)
+            for size, (hashes, counts) in enumerate(run.hashed(), 1):
+                if size == 1:
+                    words = run.words.to_pylist()
+                    totals = np.bincount(run.lang_of, counts, len(langs)).astype(np.int64)
+                    yield _counted_rows(langs, np.zeros(len(langs), np.int64), [""] * len(langs), totals)
+                at = _bit(hashes, filter_bits)
                 keep = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                del at
                 for lo in range(0, len(keep), 1 << 16):
-                    part = members[keep[lo : lo + (1 << 16)]]
+                    which = keep[lo : lo + (1 << 16)]
+                    part = run.members(size, which)
                     texts = [" ".join([words[w] for w in row]) for row in run.word_of[part].tolist()]
                     of = run.lang_of[part[:, 0]].tolist()
-                    yield _counted_rows([langs[k] for k in of], np.full(len(part), part.shape[1]), texts, counts[keep[lo : lo + (1 << 16)]])
+                    yield _counted_rows([langs[k] for k in of], np.full(len(part), size), texts, counts[which])
 
     rows = _columns(docs, text_col, lang_col).mapInArrow(count, "lang string, size int, phrase string, a long")
     found = rows.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= threshold) | (F.col("size") == 0))

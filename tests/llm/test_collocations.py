@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,18 @@ def test_the_summary_stays_small():
     assert len(summary.keys) <= summary.capacity and not len(summary.survivors())
 
 
+def test_a_run_takes_little_memory():
+    draw = np.random.default_rng(3)
+    words = draw.zipf(1.2, 300_000) % 30_000
+    texts = [" ".join(f"w{w}" for w in part) for part in np.split(words, 100)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr"] * 50, "text": texts})
+    tracemalloc.start()
+    sent = sum(1 for _ in col._packed_runs(iter([batch]), 10**6, 6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == col.LONGEST and peak < 120 * len(words)
+
+
 def test_exact_scores_beyond_64_bits(spark):
     row = [(10**14, 10**14 + 1, 10**15)]
     exact = "(CAST({0} AS DECIMAL(16, 0)) * CAST({1} AS DECIMAL(16, 0)))"
