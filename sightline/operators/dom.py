@@ -29,7 +29,7 @@ NODE = T.StructType([
 ])
 PIECES = [T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("at", T.IntegerType())]
 
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000
 SMALL_INPUT_BYTES = 1 << 30
 SPLIT_BYTES = 1 << 16
 
@@ -129,6 +129,30 @@ def widened(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if size < SMALL_INPUT_BYTES and parts > 1 else df
 
 
+def parsed_batches(
+    batches: Iterator[pa.RecordBatch], names: list[str], markup: bool, pieces: bool
+) -> Iterator[pa.RecordBatch]:
+    """The columns ``names`` and the element lists of a task's pages, about ``BATCH_CHARS`` of markup at a time.
+
+    Elements take many times the memory of their markup, so a task holds no more of them than those of one run.
+    """
+    for batch in batches:
+        source = batch.column(batch.schema.get_field_index("html"))
+        first = 0
+        while first < batch.num_rows:
+            work = _Batch(markup, pieces)
+            while first + work.pages < batch.num_rows and work.chars < BATCH_CHARS:
+                work.add(source[first + work.pages].as_py())
+            part = batch.slice(first, work.pages)
+            columns = {name: part.column(part.schema.get_field_index(name)) for name in names}
+            parsed = pa.RecordBatch.from_pydict(columns | work.columns())
+            first += work.pages
+            del work, part, columns
+            yield parsed
+            del parsed
+        del batch, source  # before the next one is read
+
+
 def with_dom(pages: DataFrame, *, markup: bool = True, pieces: bool = False) -> DataFrame:
     """Replace ``html`` by ``dom``, the list of the page's elements in document order.
 
@@ -145,17 +169,7 @@ def with_dom(pages: DataFrame, *, markup: bool = True, pieces: bool = False) ->
     names = [field.name for field in kept]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source = batch.column(batch.schema.get_field_index("html"))
-            first = 0
-            while first < batch.num_rows:
-                work = _Batch(markup, pieces)
-                while first + work.pages < batch.num_rows and work.chars < BATCH_CHARS:
-                    work.add(source[first + work.pages].as_py())
-                part = batch.slice(first, work.pages)
-                columns = {name: part.column(part.schema.get_field_index(name)) for name in names}
-                yield pa.RecordBatch.from_pydict(columns | work.columns())
-                first += work.pages
+        return parsed_batches(batches, names, markup, pieces)
 
     return widened(pages).mapInArrow(parse, T.StructType(kept + added))
 

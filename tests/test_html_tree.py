@@ -1,5 +1,9 @@
+import tracemalloc
+
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from sightline.operators import dom
 from sightline.operators.html_tree import Page
 
 
@@ -93,3 +97,13 @@ def test_any_input_gives_a_well_formed_tree(parts):
 def test_large_hostile_inputs_stay_linear():
     for text in ("<a b='" * 50_000, "<" * 100_000, "</x>" * 50_000, "<div>" * 20_000, "<!--" * 50_000):
         Page(text)
+
+
+def test_a_task_holds_few_elements_at_a_time():
+    html = "<html lang=en><body>" + "<p class=a>word</p>" * 3000
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [html] * 100})
+    tracemalloc.start()
+    pages = [part.num_rows for part in dom.parsed_batches(iter([batch]), ["page_id"], True, True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(pages) == 100 and max(pages) < 20 and peak < 60_000_000
