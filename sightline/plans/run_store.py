@@ -53,15 +53,14 @@ def _log(runs: DataFrame, path: str, batch: str, part: str, status, moment: date
 def _page_results(pages: DataFrame, wanted: DataFrame, rules: RuleSet | None) -> DataFrame:
     """Results of requests for single pages.
 
-    While the requested addresses are few (counted), all other pages are dropped before they are parsed; beyond that
-    pages are parsed where they lie. Only issues are joined to requests, never markup. Of several fetches of an
-    address the latest counts; an empty page was not fetched.
+    All other pages are dropped before they are parsed, which takes far longer than moving them: by a broadcast while the
+    requested addresses are few (counted), by a shuffle beyond that. Only issues are joined to requests, never markup. Of
+    several fetches of an address the latest counts; an empty page was not fetched.
     """
     wanted = wanted.withColumn("address", F.expr(without_fragment("url")))
     asked = wanted.select("address").distinct()
     sources = pages.where("html <> ''").withColumn("address", F.expr(without_fragment("url")))
-    if broadcastable(asked):
-        sources = sources.join(F.broadcast(asked), "address", "left_semi")
+    sources = sources.join(F.broadcast(asked) if broadcastable(asked) else asked, "address", "left_semi")
     index = scan_pages(sources, rules=rules).groupBy("address").agg(
         F.expr("max_by(struct(page_id, issues), page_id) AS found")
     ).select("address", "found.*")

@@ -123,3 +123,14 @@ def test_a_prompt_has_room_for_the_first_pages_of_a_site(spark):
     assert set(made) == {"s", "t", None}
     listed = "\n".join(f"http://s.test/{k}" for k in range(1, 6000, 2))[:4000]
     assert made["s"].endswith("Found issues: []\n\nHTML snippet (truncated):\n" + listed)
+
+
+def test_pages_that_no_request_names_are_not_parsed(spark, pages_of, monkeypatch):
+    from sightline.plans import run_store
+
+    parsed, scan = [], run_store.scan_pages
+    monkeypatch.setattr(run_store, "broadcastable", lambda *_: False)
+    monkeypatch.setattr(run_store, "scan_pages", lambda pages, **options: parsed.append(pages.count()) or scan(pages, **options))
+    wanted = spark.createDataFrame([("r", "http://a.test/1", [])], "scan_id string, url string, exclude_analyzers array<string>")
+    rows = run_store._page_results(pages_of("<p>a", "<p>b", "<p>c"), wanted, None).collect()
+    assert parsed == [1] and [r.url for r in rows] == ["http://a.test/1"]
