@@ -126,8 +126,6 @@ def test_a_prompt_has_room_for_the_first_pages_of_a_site(spark):
 
 
 def test_pages_that_no_request_names_are_not_parsed(spark, pages_of, monkeypatch):
-    from sightline.plans import run_store
-
     parsed, scan = [], run_store.scan_pages
     monkeypatch.setattr(run_store, "broadcastable", lambda *_: False)
     monkeypatch.setattr(run_store, "scan_pages", lambda pages, **options: parsed.append(pages.count()) or scan(pages, **options))
