@@ -2,8 +2,12 @@
 
 The crawl visits what a first-in-first-out crawler would: the start page, the sitemap, then links in the order their pages were
 visited. Any number of requests, also for one site, are crawled side by side, each with its own start, limit and ranks, over one
-index of the pages: their links and, for a scan, their issues, both from one parse. Each level of the search is one set of joins;
-only the visited addresses of each request pass from level to level, through files in the shared scratch folder.
+index of the pages: their links and, for a scan, their issues, both from one parse.
+
+A crawl with a small limit goes by levels, each one set of joins; only the visited addresses of each request pass from level to level,
+through files in the shared scratch folder. It has at most as many levels as visits. Without such a limit a site may have as many
+levels as pages, so sites whose links fit in a task are searched there, all in one job (``operators/walk.py``); only larger ones, and
+what cannot be told apart by numbers, go by levels.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from sightline.functions.urls import netloc, resolve_url, without_fragment
 from sightline.operators.dom import with_dom
 from sightline.operators.rules import RuleSet, page_issues
 from sightline.operators.summaries import with_severity
+from sightline.operators.walk import ALIAS, PAGE, REQUEST, walk
 from sightline.session import broadcastable, materialize, scratch_path
 from sightline.sources.history import append_scan_results, scan_results
 from sightline.sources.pages import with_site
@@ -28,6 +33,10 @@ GROUP_LIMIT = 1000
 CHUNK_BITS = 16
 # Links of one page that a place in the queue has room for.
 POS_BITS = 24
+# Links of a site, pages and starts counted in, up to which one task searches it; at 40 bytes a link that is 320 MB.
+WALK_LINKS = 1 << 23
+# The number of an address. Sites on which two addresses share one go by levels.
+ADDRESS_ID = "xxhash64({})"
 
 
 def page_index(
@@ -85,11 +94,9 @@ def crawl(
     visit is ``ok``, ``blocked`` or ``failed``; all three count. ``on_level`` is told the level and the number of addresses visited so
     far. ``links`` adds the ``targets`` of visits that are ok.
     """
-    spark = pages.sparkSession
     keyed = "request" in seeds.columns
     seeds = seeds if keyed else seeds.withColumn("request", F.col("site"))
     index = pages if "targets" in pages.columns else materialize(link_index(pages, seeds, keep_fragment=keep_fragment), "links")
-    store = scratch_path(spark, "crawl")
     own = "max_pages" in seeds.columns
     limit = F.col("max_pages").cast("bigint") if own else F.lit(max_pages).cast("bigint")
     limits = seeds.select("request", "site", "url", limit.alias("max_pages"))
@@ -99,17 +106,50 @@ def crawl(
         limits = limits.join(robots.select("site", "disallow"), "site", "left")
     # Read at every level, so written once: a row per request.
     seeds = materialize(limits, "seeds")
-    limits = seeds.select("request", "max_pages", "disallow")
     top = max_pages
     if own:
         top = seeds.agg(F.expr("CASE WHEN count(*) = count(max_pages) THEN max(max_pages) END")).first()[0]
-    candidates = seeds.selectExpr("request", "site", "url", "cast(0 AS BIGINT) AS place")
-    if sitemap is not None:
-        candidates = candidates.unionByName(
-            _listed(seeds, sitemap).selectExpr("request", "site", "loc AS url", "cast(pos + 1 AS BIGINT) AS place")
-        )
+    visits, waiting, count = [], {}, 0
+
+    def report(level: int, new: int) -> None:
+        nonlocal count
+        count += new + waiting.pop(level, 0)
+        on_level(level, count)
+
+    if top is None or top > GROUP_LIMIT:
+        asked, walked = _walked(index, seeds, sitemap)
+        visits.append(walked)
+        if on_level:
+            waiting = {r.level: r.n for r in walked.groupBy("level").agg(F.count("*").alias("n")).collect()}
+        seeds = materialize(seeds.join(asked.select("request"), "request", "left_anti"), "seeds")
+    if not visits or not seeds.isEmpty():
+        visits.append(_by_levels(index, seeds, sitemap, top, report if on_level else None))
+    for level in sorted(waiting):
+        report(level, 0)
+    visited = visits[0] if len(visits) == 1 else visits[0].unionByName(visits[1])
+    found = index.select("address", "ok", "targets") if links else index.select("address", "ok")
+    shown = ["request"] * keyed + ["site", "url", "rank", "level"]
+    outcome = "CASE WHEN blocked THEN 'blocked' WHEN coalesce(ok, false) THEN 'ok' ELSE 'failed' END AS outcome"
+    extra = ["CASE WHEN NOT blocked AND ok THEN targets END AS targets"] if links else []
+    return visited.join(found, "address", "left").selectExpr(*shown, outcome, *extra)
+
+
+def _candidates(seeds: DataFrame, sitemap: DataFrame | None) -> DataFrame:
+    """What each request starts with (``request, site, url, place``): its own address, then the sitemap."""
+    own = seeds.selectExpr("request", "site", "url", "cast(0 AS BIGINT) AS place")
+    if sitemap is None:
+        return own
+    return own.unionByName(_listed(seeds, sitemap).selectExpr("request", "site", "loc AS url", "cast(pos + 1 AS BIGINT) AS place"))
+
+
+def _by_levels(index, seeds, sitemap, top, on_level) -> DataFrame:
+    """The visits of all requests, level by level."""
+    spark = index.sparkSession
+    store = scratch_path(spark, "crawl")
+    limits = seeds.select("request", "max_pages", "disallow")
+    candidates = _candidates(seeds, sitemap)
     state = limits.withColumn("seen", F.lit(0).cast("bigint"))
-    visited, count, level = None, 0, 0
+    visited, level = None, 0
     while True:
         accepted = _accept(candidates, visited, state, top)
         accepted.write.mode("overwrite").parquet(f"{store}/level={level}")
@@ -117,10 +157,9 @@ def crawl(
         visited = spark.read.schema(T.StructType([*accepted.schema.fields, T.StructField("level", T.IntegerType())])).parquet(store)
         new = fresh.count()
         if not new:
-            break
-        count += new
+            return visited
         if on_level:
-            on_level(level, count)
+            on_level(level, new)
         # The file of the last level is small beside the index, which stays where it is if that can be broadcast.
         leading = fresh.where("NOT blocked").select("request", "site", "rank", "address")
         known = index.where("ok AND size(targets) > 0").select("address", "targets")
@@ -130,11 +169,76 @@ def crawl(
         # Ranks have no gaps, so the last one is the number of visits so far; requests without new visits are over.
         state = fresh.groupBy("request").agg(F.max("rank").alias("seen")).join(limits, "request")
         level += 1
-    found = index.select("address", "ok", "targets") if links else index.select("address", "ok")
-    shown = ["request"] * keyed + ["site", "url", "rank", "level"]
-    outcome = "CASE WHEN blocked THEN 'blocked' WHEN coalesce(ok, false) THEN 'ok' ELSE 'failed' END AS outcome"
-    extra = ["CASE WHEN NOT blocked AND ok THEN targets END AS targets"] if links else []
-    return visited.join(found, "address", "left").selectExpr(*shown, outcome, *extra)
+
+
+def _walked(index: DataFrame, seeds: DataFrame, sitemap: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The requests that are searched in one task each or together with others of their site, and their visits.
+
+    A request is if it starts on its own site, its rows in ``seeds`` are all alike, and its site has at most ``WALK_LINKS`` links, no
+    two addresses of one number among them. Links lead to the same site, so that is all a search needs. Many requests to one site are
+    dealt to more tasks, each with the site's links, so that none has much more than that to follow.
+    """
+    alike = seeds.where("request IS NOT NULL").groupBy("request").agg(
+        F.count("*").alias("copies"),
+        F.expr("count(DISTINCT struct(site, url, max_pages, disallow)) AS kinds"),
+        F.expr("any_value(struct(site, url, max_pages, disallow)) AS own"),
+    ).where("kinds = 1").select("request", "copies", "own.*").where(f"{netloc('url')} = site")
+    known = index.where("ok AND size(targets) > 0").select(F.expr(f"{netloc('address')} AS site"), "address", "targets")
+    sizes = known.selectExpr("site", "cast(size(targets) + 1 AS BIGINT) AS n")
+    if sitemap is not None:
+        sizes = sizes.unionByName(sitemap.where(f"{netloc('loc')} = site").selectExpr("site", "1L AS n"))
+    # The rules of a request are those of its site.
+    per_site = alike.groupBy("site").agg(F.count("*").alias("requests"), F.expr("any_value(disallow) AS disallow"))
+    weighed = per_site.join(sizes.groupBy("site").agg(F.sum("n").alias("n")), "site", "left").withColumn("n", F.expr("coalesce(n, 0) + 1"))
+    small = weighed.where(f"n <= {WALK_LINKS}")
+    sites = materialize(small.selectExpr("site", "disallow", f"cast(ceil(requests * n / {WALK_LINKS}) AS INT) AS buckets"), "sites")
+
+    fetched = known.join(sites, "site")
+    begun = alike.select("site", "url")
+    if sitemap is not None:
+        begun = begun.union(sitemap.where(f"{netloc('loc')} = site").select("site", "loc"))
+    begun = begun.join(sites.select("site"), "site", "left_semi")
+    urls = fetched.select("site", F.explode("targets").alias("url")).union(fetched.select("site", "address")).union(begun)
+    nodes = materialize(urls.distinct().withColumn("id", F.expr(ADDRESS_ID.format("url"))), "addresses")
+    unclear = nodes.groupBy("site", "id").agg(F.count("*").alias("n")).where("n > 1").select("site").distinct()
+    asked = materialize(
+        alike.drop("disallow").join(sites, "site").join(unclear, "site", "left_anti").withColumn("bucket", F.expr("cast(pmod(xxhash64(request), buckets) AS INT)")),
+        "asked",
+    )
+
+    buckets = "explode(sequence(0, buckets - 1)) AS bucket"
+    blank = "cast(NULL AS BIGINT) AS max_pages, cast(NULL AS BIGINT) AS copies"
+    request = f"cast(NULL AS {dict(asked.dtypes)['request']}) AS request"
+    # Blocked pages are not followed. Rules look at the path alone, so an address and its page are blocked alike.
+    pages = fetched.where(f"NOT {is_blocked('address', 'disallow')}").selectExpr(
+        "site", buckets, f"{PAGE} AS kind", f"{ADDRESS_ID.format('address')} AS id", f"transform(targets, t -> {ADDRESS_ID.format('t')}) AS ids",
+        request, *blank.split(", "),
+    )
+    aliases = nodes.where("contains(url, '#')").join(sites, "site").selectExpr(
+        "site", buckets, f"{ALIAS} AS kind", "id", f"array({ADDRESS_ID.format(without_fragment('url'))}) AS ids", request, *blank.split(", "),
+    )
+    first = _candidates(asked, sitemap).groupBy("request", "url").agg(F.min("place").alias("place"))
+    starts = first.groupBy("request").agg(F.expr(
+        f"transform(array_sort(collect_list(struct(place, {ADDRESS_ID.format('url')} AS id))), x -> x.id) AS ids"
+    ))
+    requests = asked.join(starts, "request").selectExpr(
+        "site", "bucket", f"{REQUEST} AS kind", "cast(NULL AS BIGINT) AS id", "ids", "request", "max_pages", "copies",
+    )
+    rows = pages.unionByName(aliases).unionByName(requests).repartition("site", "bucket").sortWithinPartitions("site", "bucket", "kind")
+    schema = T.StructType([
+        T.StructField("site", T.StringType()), asked.schema["request"], T.StructField("max_pages", T.LongType()),
+        T.StructField("copies", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("first", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.LongType())),
+    ])
+    runs = materialize(rows.mapInArrow(walk, schema), "runs")
+    # A request that is there several times visits everything as often.
+    places = runs.select("*", F.posexplode("ids").alias("pos", "id")).selectExpr(
+        "*", "explode(sequence(1L, copies)) AS copy"
+    ).withColumn("rank", F.expr("(first + pos) * copies + copy")).where("max_pages IS NULL OR rank <= max_pages")
+    visits = places.join(nodes, ["site", "id"]).join(sites.select("site", "disallow"), "site").selectExpr(
+        "request", "site", "url", "rank", f"coalesce({is_blocked('url', 'disallow')}, false) AS blocked", f"{without_fragment('url')} AS address", "level",
+    )
+    return asked, materialize(visits, "visits")
 
 
 def _listed(seeds: DataFrame, sitemap: DataFrame) -> DataFrame:

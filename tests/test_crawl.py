@@ -210,3 +210,94 @@ def test_a_scan_parses_once_and_keeps_markup_in_its_task(spark):
     plan = G.page_index(pages, seeds, scan=True)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line or "MapInArrow" in line]
     assert sum("MapInArrow" in line for line in exchanges) == 1 and not any("html" in line for line in exchanges if "Exchange hash" in line)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_a_long_chain_is_one_search_not_a_level_each(spark, monkeypatch, keep):
+    levels, told = [], []
+    accept = G._accept
+    monkeypatch.setattr(G, "_accept", lambda *a: levels.append(1) or accept(*a))
+    start = "http://e.test/0"
+    links = {f"http://e.test/{n}": [f"/{n + 1}#x", f"/{n - 9}", f"/private/{n}", "/0"] for n in range(30)}
+    html = {u: "".join(f'<a href="{x}">t</a>' for x in hrefs) for u, hrefs in links.items()}
+    listed = ["http://e.test/4#top", "http://e.test/0", "http://o.test/"]
+    visits = G.crawl(
+        snapshot(spark, html), spark.createDataFrame([("e.test", start)], "site string, url string"), max_pages=None, keep_fragment=keep,
+        robots=spark.createDataFrame([("e.test", ["/private"])], "site string, disallow array<string>"),
+        sitemap=spark.createDataFrame([("e.test", i, u) for i, u in enumerate(listed)], "site string, pos int, loc string"),
+        on_level=lambda *a: told.append(a),
+    )
+    rows = visits.orderBy("rank").collect()
+    want = first_in_first_out(links, start, listed, ["/private"], 10**9, keep)
+    assert [(r.url, r.outcome) for r in rows] == want and [r["rank"] for r in rows] == list(range(1, len(want) + 1))
+    by_level = [sum(r.level <= k for r in rows) for k in range(max(r.level for r in rows) + 1)]
+    assert told == list(enumerate(by_level)) and len(told) > 20
+    assert not levels
+
+
+@pytest.mark.parametrize("size,number", [(80, "xxhash64({})"), (1 << 23, "length({})")])
+def test_large_and_unclear_sites_go_by_levels(spark, monkeypatch, size, number):
+    monkeypatch.setattr(G, "WALK_LINKS", size)
+    monkeypatch.setattr(G, "ADDRESS_ID", number)
+    monkeypatch.setattr(G, "CHUNK_BITS", 2)
+    draw = random.Random(5)
+    sizes = {"a.test": 8, "b.test": 30, "c.test": 14}
+    links = {f"http://{h}/{n}": [f"/{draw.randrange(n + 4)}" for _ in range(3)] + [f"/{n + 1}"] for h, m in sizes.items() for n in range(m)}
+    html = {u: "".join(f'<a href="{x}">t</a>' for x in hrefs) for u, hrefs in links.items()}
+    asked = [(n, h, f"http://{h}/{n % 3}", None if n % 2 else 5 + n) for n, h in enumerate(["a.test", "b.test", "c.test", "a.test"] * 2)]
+    # One that starts on another site than its own, and one with two starts.
+    asked += [(50, "a.test", "http://b.test/7", None), (51, "c.test", "http://c.test/0", None), (51, "c.test", "http://c.test/3", 6)]
+    seeds = spark.createDataFrame(asked, "request long, site string, url string, max_pages int")
+    told = []
+    visits = G.crawl(snapshot(spark, html), seeds, on_level=lambda *a: told.append(a)).collect()
+    for request, _, start, cap in asked[:-2]:
+        got = [(r.url, r.outcome) for r in sorted(visits, key=lambda r: r["rank"]) if r.request == request]
+        assert got == first_in_first_out(links, start, [], [], cap or 10**9, False)
+    assert told == [(k, sum(r.level <= k for r in visits)) for k in range(len(told))] and told[-1][1] == len(visits)
+    both = [r for r in visits if r.request == 51]
+    assert {r.url for r in both if r.level == 0} == {"http://c.test/0", "http://c.test/3"}
+
+
+def test_a_request_twice_visits_twice(spark, monkeypatch):
+    pages = snapshot(spark, {"http://e.test/": '<a href="/1">t</a><a href="/2">t</a>', "http://e.test/1": '<a href="/3">t</a>'})
+    rows = [("r", "e.test", "http://e.test/", 7)] * 2 + [("s", "e.test", "http://e.test/1", None), (None, "e.test", "http://e.test/", None)]
+    seeds = spark.createDataFrame(rows, "request string, site string, url string, max_pages int")
+    want = {("r", k + 1, f"http://e.test/{n or ''}") for k, n in enumerate([0, 0, 1, 1, 2, 2, 3])}
+    want |= {("s", 1, "http://e.test/1"), ("s", 2, "http://e.test/3")}
+    for size in (1 << 23, 0):
+        monkeypatch.setattr(G, "WALK_LINKS", size)
+        got = [(r.request, r["rank"], r.url) for r in G.crawl(pages, seeds).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_walk_over_cut_batches(monkeypatch):
+    import pyarrow as pa
+
+    from sightline.operators import walk as W
+
+    monkeypatch.setattr(W, "ROW_IDS", 3)
+    draw, rows, want = random.Random(3), [], {}
+    for name, size in (("a", 40), ("b", 1), ("c", 17)):
+        graph = {n * 7 - 50: [draw.randrange(size + 5) * 7 - 50 for _ in range(draw.randrange(4))] + [n * 7 - 43] for n in range(size)}
+        for bucket in (0, 1):
+            rows += [(name, bucket, W.PAGE, n, ids, None, None, None) for n, ids in graph.items()]
+            rows.append((name, bucket, W.ALIAS, 10**6, [-50], None, None, None))
+            for k, cap in enumerate((None, 9, 0)):
+                starts = [10**6, -50, 10**9] if k else [-50]
+                rows.append((name, bucket, W.REQUEST, None, starts, f"{name}{bucket}{k}", cap, 2))
+                queue = list(starts)
+                for n in queue:
+                    queue += dict.fromkeys(t for t in graph.get(-50 if n == 10**6 else n, []) if t not in queue)
+                want[f"{name}{bucket}{k}"] = queue if cap is None else queue[:-(-cap // 2)]
+    schema = pa.schema([
+        ("site", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())),
+        ("request", pa.string()), ("max_pages", pa.int64()), ("copies", pa.int64())])
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
+    cut = pa.RecordBatch.from_arrays(columns, schema=schema)
+    out = [r for b in W.walk(cut.slice(k, 11) for k in range(0, cut.num_rows, 11)) for r in b.to_pylist()]
+    assert max(len(r["ids"]) for r in out) == 3 and len({r["level"] for r in out}) > 5
+    got = {k: [] for k in want}
+    for r in out:
+        assert r["first"] == len(got[r["request"]]) and r["site"] == r["request"][0] and r["copies"] == 2
+        got[r["request"]] += r["ids"]
+    assert got == want
