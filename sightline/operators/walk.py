@@ -1,7 +1,7 @@
 """First-in-first-out searches of whole sites, each in one task over numbered links.
 
 A search that goes by levels needs a round of joins for each, and a site of long chains has as many levels as pages. Here a site's
-links are integers in one task, about 40 bytes a link at most, and a search is a queue over them. The plan sends only sites that
+links are integers in one task, under 50 bytes for each link and page, and a search is a queue over them. The plan sends only sites that
 fit; the rows of a site come in one run, its pages before its requests.
 """
 
@@ -55,9 +55,9 @@ def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _searched(starts, begin, end, links, nodes: int, room: int | None) -> tuple[array, list[int]]:
+def _searched(starts, begin, end, links, nodes: int, room: int | None) -> tuple[array, array]:
     """The queue of a search in visiting order, ``room`` long at most, and where its levels end."""
-    seen, queue, ends, at = bytearray(nodes), array("i"), [], 0
+    seen, queue, ends, at = bytearray(nodes), array("i"), array("i"), 0
     add = queue.append
     for node in starts:
         if not seen[node]:
@@ -91,7 +91,7 @@ class _Out:
         self.sites, self.asked, self.levels, self.firsts, self.sizes, self.ids = [], [], [], [], [], []
         self.held = 0
 
-    def add(self, site: str, asked: pa.RecordBatch, ids: np.ndarray, ends: list[int]) -> Iterator[pa.RecordBatch]:
+    def add(self, site: str, asked: pa.RecordBatch, ids: np.ndarray, ends: array) -> Iterator[pa.RecordBatch]:
         """``asked`` is the request's row. Yields what is full."""
         last = rows = 0
         for level, end in enumerate(ends):

@@ -33,7 +33,7 @@ GROUP_LIMIT = 1000
 CHUNK_BITS = 16
 # Links of one page that a place in the queue has room for.
 POS_BITS = 24
-# Links of a site, pages and starts counted in, up to which one task searches it; at 40 bytes a link that is 320 MB.
+# Links of a site, pages and starts counted in, up to which one task searches it; that takes it under 400 MB.
 WALK_LINKS = 1 << 23
 # The number of an address. Sites on which two addresses share one go by levels.
 ADDRESS_ID = "xxhash64({})"
